@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import leaks, site_lines, splitting, tokens
+from quillspark.llm import leaks, site_lines, splitting, tokens, truncation
 
 QUERIES = {
     "p1_found": splitting.p1_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p7_ids": tokens.p7_ids,
     "p8_found": leaks.p8_found,
     "p8_report": leaks.p8_report,
+    "p9_found": truncation.p9_found,
+    "p9_sources": truncation.p9_sources,
 }
 
 SQL = {"p1_found": splitting.P1_FOUND_SQL, "p3_found": site_lines.P3_FOUND_SQL}
