@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillspark.llm import leaks, site_lines, splitting, tokens, truncation
+from quillspark.llm import leaks, neighbours, site_lines, splitting, tokens, truncation
 
 QUERIES = {
     "p1_found": splitting.p1_found,
     "p1_pieces": splitting.p1_pieces,
     "p3_found": site_lines.p3_found,
     "p3_clean": site_lines.p3_clean,
+    "p4_found": neighbours.p4_found,
+    "p4_neighbours": neighbours.p4_neighbours,
     "p7_ids": tokens.p7_ids,
     "p8_found": leaks.p8_found,
     "p8_report": leaks.p8_report,
