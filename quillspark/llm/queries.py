@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import leaks, neighbours, site_lines, splitting, tokens, truncation
+from quillspark.llm import leaks, lookalikes, neighbours, site_lines, splitting, tokens, truncation
 
 QUERIES = {
     "p1_found": splitting.p1_found,
     "p1_pieces": splitting.p1_pieces,
+    "p2_found": lookalikes.p2_found,
+    "p2_forms": lookalikes.p2_forms,
     "p3_found": site_lines.p3_found,
     "p3_clean": site_lines.p3_clean,
     "p4_found": neighbours.p4_found,
