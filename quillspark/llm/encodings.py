@@ -27,28 +27,51 @@ from quillspark.session import cut_lineage, spread
 SINGLE = ("latin-1", "cp1252", "cp1251", "cp1250", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "cp1253", "cp1254")
 DOUBLE = ("gb18030", "cp950", "cp932", "cp949")
 WRITTEN = ("utf-8", "gb18030")
-#: Nats by which a deciphered record must be likelier, nats a character below which a result is no language, rounds.
-LEAST_GAIN, WORST, ROUNDS = 9.0, -9.5, 4
-_UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})+")
-_GB = re.compile(rb"(?:[\xa1-\xa9\xb0-\xf7][\xa1-\xfe])+")
+#: Nats by which a deciphered record must be likelier, and each of its pairs; the mean of pairs below which a result is no language; rounds.
+LEAST_GAIN, LEAST_RISE, SURE_RISE, WORST, ROUNDS = 1.5, 1.2, 0.3, -12.5, 4
+#: A pair is rare under this share (in nats); so many rare pairs in a row are looked into.
+RARE, RARE_RUN = -10.8, 5
+#: Characters from which the high bytes of the single-byte pages are made, two in a row.
+_HIGH = r"\x80-\xff\u0100-\u017f\u0192\u02c6-\u02dd\u0370-\u04ff\u2013-\u203a\u20ac\u2122\u2126\u2200-\u22ff\u2310-\u2321\u2500-\u259f\u25a0\u25ca\uf8ff\ufb01\ufb02"
+_ODD = re.compile(f"[{_HIGH}]{{2}}")
+_UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}){2,}")
+_GB = re.compile(rb"(?:[\xa1-\xa9\xb0-\xf7][\xa1-\xfe]){2,}")
 _LOST = re.compile("�|锟斤拷")
+SWAPS = [(page, written) for page in SINGLE + DOUBLE for written in WRITTEN if page != written]
 FOUND = "rec_id long, source string, swap string, gain double, stretches int, restored string"
 
 
 @cache
-def _page(name: str) -> tuple[dict[int, int], frozenset[str]]:
-    """translate() table of a single-byte page to the characters of the bytes' values; what it can't write is 0."""
-    table = {}
+def _page(name: str) -> tuple[dict[int, int], dict[str, re.Pattern]]:
+    """translate() table of a single-byte page to the characters of the bytes' values, and what the bytes of each encoding look like in it."""
+    table, signs = {}, {}
     for byte in range(128, 256):
         try:
             char = bytes([byte]).decode(name)
         except UnicodeDecodeError:
             char = chr(byte)
         table[ord(char)] = byte
+        signs[byte] = {char}
     if name != "latin-1":
         for byte in range(128, 160):  # places without a sign are often kept as control characters
-            table.setdefault(byte, byte)
-    return table, frozenset(map(chr, table))
+            if table.setdefault(byte, byte) == byte:
+                signs[byte].add(chr(byte))
+    of = lambda a, b: "[" + "".join(re.escape(c) for byte in range(a, b + 1) for c in sorted(signs[byte])) + "]"
+    tail = of(0x80, 0xBF)
+    utf8 = f"(?:{of(0xC2, 0xDF)}{tail}|{of(0xE0, 0xEF)}{tail}{{2}}|{of(0xF0, 0xF0)}{tail}{{3}})+"
+    gb = f"(?:(?:{of(0xA1, 0xA9)}|{of(0xB0, 0xF7)}){of(0xA1, 0xFE)}){{2,}}"
+    return table, {"utf-8": re.compile(utf8), "gb18030": re.compile(gb)}
+
+
+def _single_stretches(text: str, page: str, written: str) -> list[tuple[int, int, str]]:
+    """Characters from and to that can be bytes of the other encoding, and what these say."""
+    table, looks = _page(page)
+    found = []
+    for match in looks[written].finditer(text):
+        said = match.group().translate(table).encode("latin-1", "replace").decode(written, "ignore")
+        if said:
+            found.append((*match.span(), said))
+    return found
 
 
 @cache
@@ -59,61 +82,60 @@ def _written(char: str, page: str) -> bytes:
         return b"\0"
 
 
-def _bytes(text: str, page: str) -> tuple[bytes, np.ndarray | None]:
-    """The text's bytes in a page, 0 for what it can't write; the place of each character's first byte if they differ."""
-    if page in SINGLE:
-        table, high = _page(page)
-        return "".join(c if c < "\x80" or c in high else "\0" for c in text).translate(table).encode("latin-1", "replace"), None
-    parts = [_written(c, page) for c in text]
-    return b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-
-
-def _stretches(text: str, page: str, written: str) -> list[tuple[int, int, str]]:
-    """Characters from and to that can be bytes of the other encoding, and what these say."""
-    raw, places = _bytes(text, page)
+def _double_stretches(text: str, page: str, written: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """The same for a page with characters of two bytes, inside the spans only."""
     found = []
-    for match in (_UTF8 if written == "utf-8" else _GB).finditer(raw):
-        a, b = match.span()
-        if places is not None:
-            start, end = int(np.searchsorted(places, a)), int(np.searchsorted(places, b, "right")) - 1
-            if end - start < 2 or written == "utf-8" and b - a < 6:
-                continue
-            a, b = int(places[start]), int(places[end])
-        else:
-            start, end = a, b
-            if written != "utf-8" and b - a < 4:
-                continue
-        said = raw[a:b].decode(written, "ignore")
-        if said and not any(0x80 <= ord(c) < 0xA0 for c in said) or written == "utf-8" and said:
-            found.append((start, end, said))
+    for first, last in spans:
+        parts = [_written(c, page) for c in text[first:last]]
+        places = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+        raw = b"".join(parts)
+        for match in (_UTF8 if written == "utf-8" else _GB).finditer(raw):
+            start, end = int(np.searchsorted(places, match.start())), int(np.searchsorted(places, match.end(), "right")) - 1
+            if end - start >= 2:
+                said = raw[places[start] : places[end]].decode(written, "ignore")
+                if said:
+                    found.append((first + start, first + end, said))
     return found
 
 
-def _gains(text: str, page: str, written: str, language: Language, own: np.ndarray, depth: int = 0) -> list[tuple[int, int, str, float]]:
+def _gains(text: str, page: str, written: str, language: Language, own: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
     """Stretches that the language finds likelier deciphered, with the difference in nats."""
     kept = []
-    for start, end, said in _stretches(text, page, written):
-        if depth == 0 and page in ("latin-1", "cp1252") and written == "utf-8":  # garbled twice
-            again = _gains(said, page, written, language, language.log_each(said), 1)
-            for a, b, deeper, _ in reversed(again):
-                said = said[:a] + deeper + said[b:]
+    single = page in SINGLE
+    for start, end, said in _single_stretches(text, page, written) if single else _double_stretches(text, page, written, spans):
         before, after = text[start - 1 : start] or "\n", text[end : end + 1]
-        line = same_digits(codes_of(before + said + after))
-        each = language.log_next(line[:-1], line[1:])
-        was = own[start : end + 1]
-        mean = float(each[: len(said)].mean())
-        gain = float(each.sum() - was.sum())
-        if said.strip("�") and mean > WORST and gain > 2.0 or depth and mean > WORST and gain > 0:
-            kept.append((start, end, said, gain))
+        best = None
+        for depth in (1, 2):
+            line = same_digits(codes_of(before + said + after))
+            each = language.log_pair(line[:-1], line[1:])
+            if said.strip("�") and (best is None or each.mean() > best[0]):
+                best = (float(each.mean()), said, len(each))
+            again = _single_stretches(said, "cp1252", "utf-8") if depth == 1 and page in ("latin-1", "cp1252") and written == "utf-8" else []
+            if not again:
+                break
+            for a, b, deeper in reversed(again):  # garbled twice
+                said = said[:a] + deeper + said[b:]
+        if best:
+            mean, said, size = best
+            was = float(own[start : end + 1].mean())
+            least = SURE_RISE if single and written == "utf-8" and end - start >= 3 else LEAST_RISE
+            if mean > WORST and mean > was + least:
+                kept.append((start, end, said, (mean - was) * size))
     return kept
 
 
-def _suspicious(own: np.ndarray, text: str) -> bool:
-    """Whether a few neighbouring characters are all unlikely."""
-    if len(own) < 3:
-        return bool(len(own) and own.min() < -9)
-    three = own[:-2] + own[1:-1] + own[2:]
-    return bool(three.min() < -22.0) or any("\x80" <= c < "\xa0" for c in text)
+def _rare_spans(own: np.ndarray) -> list[tuple[int, int]]:
+    """Stretches of text around runs of rare pairs."""
+    usual = np.flatnonzero(np.concatenate(([True], own >= RARE, [True])))
+    long = np.flatnonzero(np.diff(usual) > RARE_RUN)
+    spans: list[tuple[int, int]] = []
+    for k in long:
+        a, b = max(0, int(usual[k]) - 3), min(len(own), int(usual[k + 1]) + 3)
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], b)
+        else:
+            spans.append((a, b))
+    return spans
 
 
 def decipherings(records: DataFrame, language: Language) -> DataFrame:
@@ -124,24 +146,25 @@ def decipherings(records: DataFrame, language: Language) -> DataFrame:
         model = shared.value
         for batch in batches:
             rows = []
-            for rec, source, text in zip(batch["rec_id"], batch["source"], batch["text"], strict=True):
-                own = model.log_each(text)
+            texts = batch["text"].tolist()
+            scores, at = model.log_pairs("\n".join(texts)), 0
+            for rec, source, text in zip(batch["rec_id"], batch["source"], texts, strict=True):
+                own = scores[at : at + len(text)]
+                at += len(text) + 1
                 if _LOST.search(text):
                     rows.append((rec, source, "", 0.0, 0, None))
-                if not _suspicious(own, text):
-                    continue
-                for page in SINGLE + DOUBLE:
-                    for written in WRITTEN:
-                        if page == written:
-                            continue
-                        kept = _gains(text, page, written, model, own)
-                        gain = sum(k[3] for k in kept)
-                        if gain < LEAST_GAIN:
-                            continue
-                        whole = text
-                        for a, b, said, _ in reversed(kept):
-                            whole = whole[:a] + said + whole[b:]
-                        rows.append((rec, source, f"{written}>{page}", gain, len(kept), whole))
+                spans, odd = _rare_spans(own), _ODD.search(text)
+                for page, written in SWAPS:
+                    if not (odd if page in SINGLE else spans):
+                        continue
+                    kept = _gains(text, page, written, model, own, spans)
+                    gain = sum(k[3] for k in kept)
+                    if gain < LEAST_GAIN:
+                        continue
+                    whole = text
+                    for a, b, said, _ in reversed(kept):
+                        whole = whole[:a] + said + whole[b:]
+                    rows.append((rec, source, f"{written}>{page}", gain, len(kept), whole))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
 
     texts = records.select("rec_id", F.coalesce("book_id", F.lit("")).alias("source"), "text").where(F.length("text") >= 1)

@@ -41,10 +41,16 @@ class Language:
         alone = self.singles[_single_place(second)] / self.total
         return np.log(0.85 * np.minimum(after, 1.0) + 0.15 * alone + _FLOOR).astype(np.float32)
 
-    def log_each(self, text: str) -> np.ndarray:
-        """Of each character after the one before it, the first after a line break."""
+    def log_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Of two neighbours among all neighbours, so that what always follows a rare character stays rare."""
+        together = self.pairs[_pair_place(first, second)] / self.total
+        apart = self.singles[_single_place(first)] * self.singles[_single_place(second)] / self.total**2
+        return np.log(0.95 * together + 0.05 * apart + _FLOOR).astype(np.float32)
+
+    def log_pairs(self, text: str) -> np.ndarray:
+        """Of each character with the one before it, the first with a line break."""
         codes = same_digits(codes_of(text))
-        return self.log_next(np.concatenate((np.array([10], dtype=np.uint32), codes[:-1])), codes)
+        return self.log_pair(np.concatenate((np.array([10], dtype=np.uint32), codes[:-1])), codes)
 
 
 def same_digits(codes: np.ndarray) -> np.ndarray:
