@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -11,7 +14,8 @@ from pyspark.sql import functions as F
 
 from quillspark.session import spread
 
-PAIR_BITS, SINGLE_BITS = 20, 16
+PAIR_BITS, SINGLE_BITS, WORD_BITS = 20, 16, 18
+_WORD = re.compile("[A-Za-z]+")
 _FLOOR = 1e-9
 
 
@@ -31,16 +35,10 @@ def _single_place(codes: np.ndarray) -> np.ndarray:
 class Language:
     """Probability of a character after another; counts of all digits are shared among the digits."""
 
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray):
-        self.pairs, self.singles = pairs, singles
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, words: np.ndarray):
+        self.pairs, self.singles, self.words = pairs, singles, words
         self.total = max(1.0, float(singles.sum()))
 
-    def log_next(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        """Of arrays of codes, digits as 0."""
-        after = self.pairs[_pair_place(first, second)] / np.maximum(self.singles[_single_place(first)], 1.0)
-        alone = self.singles[_single_place(second)] / self.total
-        return np.log(0.85 * np.minimum(after, 1.0) + 0.15 * alone + _FLOOR).astype(np.float32)
-
     def log_pair(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Of two neighbours among all neighbours, so that what always follows a rare character stays rare."""
         together = self.pairs[_pair_place(first, second)] / self.total
@@ -57,18 +55,31 @@ def same_digits(codes: np.ndarray) -> np.ndarray:
     return np.where((codes >= 48) & (codes <= 57), np.uint32(48), codes)
 
 
-def learn(texts: DataFrame, column: str = "text") -> Language:
-    """Counts over every row; the driver gets no more rows than the two tables have places, whatever the input."""
+def word_place(word: str) -> int:
+    return crc32(word.encode("utf-8", "surrogatepass")) >> (32 - WORD_BITS)
+
+
+def learn(texts: DataFrame, column: str = "text", words: bool = False) -> Language:
+    """Counts over every row; the driver gets no more rows than the tables have places, whatever the input.
+
+    With ``words`` a third table counts the words of ASCII letters.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, singles = np.zeros(1 << PAIR_BITS, dtype=np.int64), np.zeros(1 << SINGLE_BITS, dtype=np.int64)
+        seen: Counter[str] = Counter()
         for batch in batches:
             values = batch[column].tolist()
             for start in range(0, len(values), 500):
                 codes = same_digits(codes_of("\n" + "\n".join(values[start : start + 500])))
                 pairs += np.bincount(_pair_place(codes[:-1], codes[1:]), minlength=len(pairs))
                 singles += np.bincount(_single_place(codes), minlength=len(singles))
-        for kind, table in ((0, pairs), (1, singles)):
+                if words:
+                    seen.update(_WORD.findall("\n".join(values[start : start + 500])))
+        spelled = np.zeros(1 << WORD_BITS, dtype=np.int64)
+        for word, n in seen.items():
+            spelled[word_place(word)] += n
+        for kind, table in ((0, pairs), (1, singles), (2, spelled)):
             place = np.flatnonzero(table)
             yield pd.DataFrame({"kind": np.full(len(place), kind, dtype=np.int32), "place": place, "n": table[place]})
 
@@ -77,4 +88,6 @@ def learn(texts: DataFrame, column: str = "text") -> Language:
     kind, place, n = (np.asarray(got[c]) for c in ("kind", "place", "n"))
     pairs, singles = np.zeros(1 << PAIR_BITS, dtype=np.float32), np.zeros(1 << SINGLE_BITS, dtype=np.float32)
     pairs[place[kind == 0]], singles[place[kind == 1]] = n[kind == 0], n[kind == 1]
-    return Language(pairs, singles)
+    spelled = np.zeros(1 << WORD_BITS, dtype=np.float32)
+    spelled[place[kind == 2]] = n[kind == 2]
+    return Language(pairs, singles, spelled)

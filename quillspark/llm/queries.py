@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import encodings, leaks, lookalikes, neighbours, site_lines, splitting, tokens, truncation
+from quillspark.llm import encodings, leaks, lookalikes, neighbours, scans, site_lines, splitting, tokens, truncation
 
 QUERIES = {
     "p1_found": splitting.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p3_clean": site_lines.p3_clean,
     "p4_found": neighbours.p4_found,
     "p4_neighbours": neighbours.p4_neighbours,
+    "p5_found": scans.p5_found,
+    "p5_paragraphs": scans.p5_paragraphs,
     "p6_found": encodings.p6_found,
     "p6_restored": encodings.p6_restored,
     "p7_ids": tokens.p7_ids,
