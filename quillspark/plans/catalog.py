@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quillspark.plans import cleaning  # noqa: F401
+from quillspark.plans.registry import QUERIES, SQL  # noqa: F401
