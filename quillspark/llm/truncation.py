@@ -8,43 +8,43 @@ texts of a source have than the lengths around it. Only the training rows are a
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Iterator
+from zlib import crc32
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.session import cut_lineage
+
 #: Rows the classifier is fitted on, at most.
 TRAIN_ROWS = 12_000
-HASH_BITS, THRESHOLD = 14, 0.5
+HASH_BITS, THRESHOLD = 14, 0.4
 #: Marks of omission and the broken ends of character references, escapes and tags.
 OMISSION = r"(?:…+|\.{3,}|。{3,})\s*$"
 MARKUP = r"(?:\x{fffd}+|%[0-9A-Fa-f]{0,2}(?:%[0-9A-Fa-f]{0,2})*|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?[A-Za-z0-9]{0,8}|</?[A-Za-z]*[^<>]{0,60})$"
 _END = "。！？!?.…”\"’』」）)】]"
+_STOPS = "。！？!?…\n"
 _SPIKE_ROWS, _SPIKE_TIMES, _AROUND = 5, 6.0, 25
 
 
-def _classes(text: Column) -> Column:
-    """Each character as its class."""
-    out = text
-    for rule, mark in ((r"\p{IsHan}", "H"), (r"\p{Lu}", "U"), (r"[\p{L}&&[^\p{IsHan}HU]]", "l"), (r"\p{N}", "9"), (r"\n", "n"), (r"[^\S\n]", "_"), (r"[。！？!?.]", "."), (r"[，、：；,:;]", ","), (r"[”’』」）)】\]\"]", ")"), (r"[^HUl9n_.,)]", "*")):
-        out = F.regexp_replace(out, rule, mark)
-    return out
-
-
 def _measured(rows: DataFrame) -> DataFrame:
-    """The end of each text without marks of omission and broken markup, and the lengths of the rest."""
-    body = F.regexp_replace(F.col("text"), r"(?U)\s+$", "")
-    end = F.right(body, F.lit(120))
-    omitted = end.rlike(OMISSION) & ~end.rlike(r"[。！？!?”\"]\s*" + OMISSION)
-    plain = F.when(omitted, F.regexp_replace(end, OMISSION, "")).otherwise(end)
-    broken = plain.rlike(MARKUP)
-    core = F.regexp_replace(F.when(broken, F.regexp_replace(plain, MARKUP, "")).otherwise(plain), r"[ \t]+$", "")
-    lost = F.length(end) - F.length(core)
+    """The end of each text without marks of omission and broken markup, and the lengths of the rest.
+
+    Each step is a column of its own, so that none is worked out again inside the next.
+    """
+    col = F.col
     return (
-        rows.withColumn("omitted", omitted).withColumn("broken", broken).withColumn("core", core)
-        .withColumn("chars", F.length(body) - lost)
-        .withColumn("bytes", F.octet_length(body) - (F.octet_length(end) - F.octet_length(core)))
+        rows.withColumn("raw", F.right("text", F.lit(160))).withColumn("end", F.regexp_replace("raw", r"(?U)\s+$", ""))
+        .withColumn("omitted", col("end").rlike(OMISSION) & ~col("end").rlike(r"[。！？!?”\"]\s*" + OMISSION))
+        .withColumn("plain", F.when(col("omitted"), F.regexp_replace("end", OMISSION, "")).otherwise(col("end")))
+        .withColumn("broken", col("plain").rlike(MARKUP))
+        .withColumn("core", F.when(col("broken"), F.regexp_replace("plain", MARKUP, "")).otherwise(F.regexp_replace("plain", r"[ \t]+$", "")))
+        .withColumn("chars", F.length("text") - F.length("raw") + F.length("core"))
+        .withColumn("bytes", F.octet_length("text") - F.octet_length("raw") + F.octet_length("core"))
+        .drop("raw", "end", "plain")
     )
 
 
@@ -66,49 +66,73 @@ def length_limits(rows: DataFrame) -> DataFrame:
     return around.where((F.col("texts") >= _SPIKE_ROWS) & (F.col("texts") >= _SPIKE_TIMES * F.greatest(usual, F.lit(0.25)))).select("source", "unit", "size", "texts")
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """Hashed tokens of each row's end; needs core, omitted, broken and at_limit."""
-    tail = F.regexp_extract("core", r"([^。！？!?…\n]*)$", 1)
-    last_line = F.regexp_extract("core", r"([^\n]*)$", 1)
-    before = F.substring(F.expr("substring(core, 1, greatest(0, length(core) - length(tail)))"), -1, 1)
-    rows = rows.withColumn("tail", tail).withColumn("line", last_line).withColumn("before", before)
-    last = F.right("core", F.lit(1))
-    shape = _classes(F.right("core", F.lit(4)))
-    size = F.least(F.floor(F.log2(1 + F.length("tail"))), F.lit(6)).cast("string")
-    ended = last.isin(*_END)
-    opened = F.length(F.regexp_replace("core", "[^“「『（【(]", "")) > F.length(F.regexp_replace("core", "[^”」』）】)]", ""))
-    limit = F.col("at_limit").cast("string")
-    named = lambda name, *parts: F.concat_ws("|", F.lit(name), *parts)
-    closing = F.right("tail", F.lit(8))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(closing) - 1, F.lit(1))), lambda i: F.concat(F.lit("g|"), F.substring(closing, i, F.lit(2))))
-    tokens = F.concat(
-        F.array(
-            named("last", last), named("shape", shape), named("size", size, F.col("before")), named("ended", ended.cast("string"), limit),
-            named("open", opened.cast("string"), ended.cast("string")), named("limit", limit, F.right(shape, F.lit(1))),
-            named("mark", F.col("omitted").cast("string"), F.col("broken").cast("string"), ended.cast("string")),
-            named("start", F.left("tail", F.lit(2))), named("line", F.least(F.floor(F.length("line") / 6), F.lit(8)).cast("string"), F.right(shape, F.lit(1)), F.col("before")),
-            named("begin", F.left("line", F.lit(1)), F.least(F.floor(F.length("line") / 12), F.lit(3)).cast("string")),
-        ),
-        grams,
-    )
-    return rows.withColumn("tokens", F.filter(tokens, lambda t: t.isNotNull()))
-
-
-def _prepared(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _class(char: str) -> str:
+    """One sign for the kind of a character."""
+    if "㐀" <= char <= "鿿":
+        return "H"
+    for kind, chars in ((".", "。！？!?."), (",", "，、：；,:;"), (")", "”’』」）)】]\""), ("n", "\n")):
+        if char in chars:
+            return kind
+    if char.isspace():
+        return "_"
+    return "9" if char.isnumeric() else "U" if char.isupper() else "l" if char.isalpha() else "*"
+
+
+def tokens(core: str, omitted: bool, broken: bool, at_limit: bool) -> list[str]:
+    """What the classifier sees of a text's end: always as many tokens."""
+    stop = max(core.rfind(c) for c in _STOPS)
+    tail, line = core[stop + 1 :], core[core.rfind("\n") + 1 :]
+    before, last = core[stop : stop + 1] if stop >= 0 else "", core[-1:]
+    shape = "".join(map(_class, core[-4:]))
+    kind, ended = shape[-1:], last in _END if last else False
+    opened = sum(core.count(c) for c in "“「『（【(") > sum(core.count(c) for c in "”」』）】)")
+    closing = tail[-8:]
+    size = min(int(math.log2(1 + len(tail))), 6)
+    return [
+        f"last|{last}", f"shape|{shape}", f"size|{size}|{before}", f"ended|{ended}|{at_limit}", f"open|{opened}|{ended}", f"limit|{at_limit}|{kind}", f"mark|{omitted}|{broken}|{ended}",
+        f"start|{tail[:2]}", f"line|{min(len(line) // 6, 8)}|{kind}|{before}", f"begin|{line[:1]}|{min(len(line) // 12, 3)}", *[f"g|{closing[k : k + 2]}" for k in range(7)],
+    ]
+
+
+def hashed(rows: pd.DataFrame) -> np.ndarray:
+    """Places of each row's tokens in the table of weights."""
+    mask = (1 << HASH_BITS) - 1
+    each = zip(rows["core"], rows["omitted"], rows["broken"], rows["at_limit"], strict=True)
+    return np.array([[crc32(t.encode("utf-8", "surrogatepass")) & mask for t in tokens(*row)] for row in each], dtype=np.int64).reshape(len(rows), -1)
+
+
+def fit(places: np.ndarray, labels: np.ndarray, rounds: int = 300, decay: float = 1e-4) -> np.ndarray:
+    """Weights and, last, the constant of a logistic regression, by gradient steps scaled to each weight."""
+    weights, seen = np.zeros((1 << HASH_BITS) + 1), np.full((1 << HASH_BITS) + 1, 1e-8)
+    for _ in range(rounds):
+        error = _probability(weights, places) - labels
+        slope = np.bincount(places.ravel(), np.repeat(error, places.shape[1]), minlength=len(weights)) / len(labels) + decay * weights
+        slope[-1] = error.mean()
+        seen += slope**2
+        weights -= 0.3 * slope / np.sqrt(seen)
+    return weights
+
+
+def _probability(weights: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[places].sum(axis=1) + weights[-1], -30, 30)))
+
+
+def _prepared(documents: DataFrame) -> DataFrame:
     usable = documents.where(F.col("text").rlike(r"(?U)\S")).select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"))
-    measured = _measured(usable).select("doc_id", "source", "omitted", "broken", "core", "chars", "bytes")
+    measured = cut_lineage(_measured(usable).select("doc_id", "source", "omitted", "broken", "core", "chars", "bytes"))
     limits = length_limits(measured)
     flat = lambda unit: limits.where(F.col("unit") == unit).select("source", F.col("size").alias(unit), F.lit(True).alias(f"at_{unit}"))
     marked = measured.join(flat("chars"), ["source", "chars"], "left").join(flat("bytes"), ["source", "bytes"], "left")
-    return usable, marked.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False)))
+    return marked.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False)))
 
 
-def _training(usable: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
+def _training(marked: DataFrame, rows: int) -> DataFrame:
     """Intact rows, and the same rows cut at a place and in a way drawn from the row's hash."""
     intact = marked.where(~F.col("at_limit") & ~F.col("broken") & ~F.col("omitted"))
     chosen = intact.select("doc_id", "core", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(rows)
-    as_is = chosen.select("core", F.lit(False).alias("omitted"), F.lit(False).alias("broken"), F.lit(False).alias("at_limit"), F.lit(0.0).alias("label"))
     dice = lambda k, sides: F.pmod(F.xxhash64("draw", F.lit(k)), F.lit(sides))
+    # Some intact texts end at a limit by chance.
+    as_is = chosen.select("core", F.lit(False).alias("omitted"), F.lit(False).alias("broken"), (dice(6, 8) == 0).alias("at_limit"), F.lit(0.0).alias("label"))
     length = F.length("core")
     cut = chosen.where((length >= 30) & F.right("core", F.lit(1)).isin("。", ".", "”", '"')).where(dice(1, 2) == 0).select(
         F.left("core", (length * (40 + dice(2, 56)) / 100).cast("int")).alias("core"), (dice(3, 4) == 0).alias("omitted"), (dice(4, 6) == 0).alias("broken"), (dice(5, 2) == 0).alias("at_limit"), F.lit(1.0).alias("label"),
@@ -122,17 +146,19 @@ def scored(documents: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     Needs doc_id, text and source. Null, empty and blank texts are no cases and have no row; a null source counts
     as one source. With no intact row to learn from the result is empty.
     """
-    usable, marked = _prepared(documents)
-    hashing = HashingTF(numFeatures=1 << HASH_BITS, binary=True, inputCol="tokens", outputCol="features")
-    training = hashing.transform(_features(_training(usable, marked, train_rows))).select("features", "label").persist()
-    try:
-        if training.where("label = 1").isEmpty():
-            return marked.select("doc_id", "source", "at_limit", F.lit(0.0).alias("probability")).where(F.lit(False))
-        model = LogisticRegression(maxIter=40, regParam=2e-4, aggregationDepth=2).fit(training)
-    finally:
-        training.unpersist()
-    features = hashing.transform(_features(marked)).select("doc_id", "source", "at_limit", "features")
-    return model.transform(features).select("doc_id", "source", "at_limit", vector_to_array("probability")[1].alias("probability"))
+    marked = _prepared(documents)
+    training = _training(marked, train_rows).toPandas()  # bounded by train_rows
+    if not (training["label"] == 1).any():
+        return marked.select("doc_id", "source", "at_limit", F.lit(0.0).alias("probability")).where(F.lit(False))
+    weights = fit(hashed(training), training["label"].to_numpy())
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch[["doc_id", "source", "at_limit"]].assign(probability=_probability(weights, hashed(batch)))
+
+    ends = marked.select("doc_id", "source", "core", "omitted", "broken", "at_limit")
+    return ends.mapInPandas(score, "doc_id long, source string, at_limit boolean, probability double")
 
 
 def p9_found(spark, folder: str) -> DataFrame:
