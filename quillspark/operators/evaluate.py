@@ -43,13 +43,13 @@ def distinct_in_order(hits: DataFrame, group: str) -> DataFrame:
 
 
 def coverage(anchor: Column, text: Column) -> Column:
-    """Share of the anchor's characters found in the text in order, each looked for after the one before it."""
+    """Share of the anchor that is found in the text in order, up to its first character that isn't found any more."""
     chars = F.filter(F.split(anchor, ""), lambda c: c != "")
     start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"))
 
     def step(s: Column, c: Column) -> Column:
-        place = F.locate_from(c, text, s["at"]) if hasattr(F, "locate_from") else F.call_function("locate", c, text, s["at"])
-        return F.when(place > 0, F.struct((place + 1).alias("at"), (s["n"] + 1).alias("n"))).otherwise(s)
+        place = F.when(s["at"] > 0, F.call_function("locate", c, text, s["at"])).otherwise(F.lit(0))
+        return F.when(place > 0, F.struct((place + 1).alias("at"), (s["n"] + 1).alias("n"))).otherwise(F.struct(F.lit(0).alias("at"), s["n"].alias("n")))
 
     return F.when(F.length(anchor) > 0, F.aggregate(chars, start, step, lambda s: s["n"] / F.length(anchor))).otherwise(F.lit(0.0))
 

@@ -124,6 +124,35 @@ def context_text(hits: DataFrame, chapter: str, text: str, order: str) -> DataFr
     return listed.select("query_id", F.array_join(F.col("x.b"), "\n\n---\n\n").alias("context"))
 
 
+#: How hits, parents and neighbours are headed.
+LABELS = {"hit": "来源", "parent": "父块", "neighbor": "邻居"}
+
+
+def expanded_context(hits: DataFrame) -> DataFrame:
+    """query_id and one text of expanded hits (query_id, ord, chapter, kind, text), by chapter in the order first seen.
+
+    Within a chapter hits stand before parents before neighbours; a text that another holds is left out, and one that
+    holds an earlier text takes its place. Empty texts are left out. A query's hits are few.
+    """
+    tier = F.when(F.col("kind") == "hit", 0).when(F.col("kind") == "parent", 1).otherwise(2)
+    named = hits.where("text <> ''").select("query_id", F.when(F.col("chapter") != "", F.col("chapter")).otherwise("未知").alias("chapter"), F.struct(tier.alias("tier"), "ord", "kind", "text").alias("x"))
+    bucket = named.groupBy("query_id", "chapter").agg(F.min("x.ord").alias("seen"), F.array_sort(F.collect_list("x")).alias("items"))
+    none = F.array().cast("array<struct<kind:string,text:string>>")
+
+    def keep(kept: Column, item: Column) -> Column:
+        overlaps = F.transform(kept, lambda k: F.contains(k["text"], item["text"]) | F.contains(item["text"], k["text"]))
+        place = F.array_position(overlaps, True)
+        own = F.struct(item["kind"].alias("kind"), item["text"].alias("text"))
+        put = F.transform(kept, lambda k, i: F.when((i + 1 == place) & (F.length(item["text"]) > F.length(k["text"])), own).otherwise(k))
+        return F.when(place == 0, F.concat(kept, F.array(own))).otherwise(put)
+
+    label = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+    kept = F.aggregate("items", none, keep)
+    block = F.array_join(F.transform(kept, lambda k: F.concat(F.lit("["), label[k["kind"]], F.lit(":"), F.col("chapter"), F.lit("]\n"), k["text"])), "\n\n")
+    blocks = bucket.select("query_id", F.struct("seen", block.alias("block")).alias("b")).groupBy("query_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    return blocks.select("query_id", F.array_join(F.col("b.block"), "\n\n---\n\n").alias("context"))
+
+
 def hash_encode(text: Column, dimensions: int = 64) -> Column:
     """A stand-in encoder: counts of characters by code modulo the dimensions, of unit length."""
 

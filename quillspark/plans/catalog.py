@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillspark.plans import chunks, cleaning, evaluation, retrieval, structure  # noqa: F401
+from quillspark.plans import chunks, cleaning, evaluation, retrieval, streams, structure  # noqa: F401
 from quillspark.plans.registry import QUERIES, SQL  # noqa: F401
