@@ -129,7 +129,9 @@ def _prepared(documents: DataFrame) -> DataFrame:
 def _training(marked: DataFrame, rows: int) -> DataFrame:
     """Intact rows, and the same rows cut at a place and in a way drawn from the row's hash."""
     intact = marked.where(~F.col("at_limit") & ~F.col("broken") & ~F.col("omitted"))
-    chosen = intact.select("doc_id", "core", F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(rows)
+    drawn = intact.select("doc_id", "core", F.xxhash64("doc_id").alias("draw"))
+    share = min(1.0, 1.5 * rows / max(1, intact.count()))  # so that no task sorts more than the sample needs
+    chosen = drawn.where(F.pmod("draw", F.lit(1_000_003)) < int(share * 1_000_003) + 1).orderBy("draw", "doc_id").limit(rows)
     dice = lambda k, sides: F.pmod(F.xxhash64("draw", F.lit(k)), F.lit(sides))
     # Some intact texts end at a limit by chance.
     as_is = chosen.select("core", F.lit(False).alias("omitted"), F.lit(False).alias("broken"), (dice(6, 8) == 0).alias("at_limit"), F.lit(0.0).alias("label"))
