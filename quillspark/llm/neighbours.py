@@ -95,7 +95,9 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _fit(vectors: DataFrame, rows: int, dimensions: int, sample_rows: int, trees: int, leaf_rows: int) -> Forest:
-    drawn = vectors.select("embeddings", F.xxhash64("vec_id").alias("draw"), "vec_id").orderBy("draw", "vec_id").limit(sample_rows).select("embeddings").toArrow()
+    share = int(min(1.0, 1.5 * sample_rows / rows) * 1_000_003) + 1  # so that no task sorts more than the sample needs
+    hashed = vectors.select("embeddings", F.xxhash64("vec_id").alias("draw"), "vec_id").where(F.pmod("draw", F.lit(1_000_003)) < share)
+    drawn = hashed.orderBy("draw", "vec_id").limit(sample_rows).select("embeddings").toArrow()
     sample = _unit(_matrix(drawn["embeddings"], dimensions))
     depth = int(np.ceil(np.log2(max(1, rows / leaf_rows))))
     return Forest(sample, trees, max(0, min(depth, int(np.log2(max(1, len(sample) / LEAST_SAMPLE))))))
