@@ -10,6 +10,7 @@ QUERIES = {
     "p2_found": lookalikes.p2_found,
     "p2_forms": lookalikes.p2_forms,
     "p3_found": site_lines.p3_found,
+    "p3_lines": site_lines.p3_lines,
     "p3_clean": site_lines.p3_clean,
     "p4_found": neighbours.p4_found,
     "p4_neighbours": neighbours.p4_neighbours,
