@@ -17,8 +17,11 @@ from quillspark.session import spread
 PARENT_LEAST, PARENT_MOST, PARENT_MEMBERS = 800, 1500, 4
 
 
-def cut_texts(texts: DataFrame, keys: list[str], cut: Callable[[str], list[tuple[int, int]]], text: str = "text") -> DataFrame:
-    """keys, chunk_no (from 1), start, end and chunk of each text by a function of one text; null texts have no row."""
+def cut_texts(texts: DataFrame, keys: list[str], cut: Callable[[str], list[tuple[int, int]]], text: str = "text", scanned: bool = True) -> DataFrame:
+    """keys, chunk_no (from 1), start, end and chunk of each text by a function of one text; null texts have no row.
+
+    scanned says that the texts come from a scan, whose partitions may be too few; after a shuffle they aren't.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -30,7 +33,7 @@ def cut_texts(texts: DataFrame, keys: list[str], cut: Callable[[str], list[tuple
 
     chosen = texts.where(F.col(text).isNotNull()).select(*keys, F.col(text))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return spread(chosen, *keys).mapInPandas(run, f"{kinds}, chunk_no int, start int, end int, chunk string")
+    return (spread(chosen, *keys) if scanned else chosen).mapInPandas(run, f"{kinds}, chunk_no int, start int, end int, chunk string")
 
 
 def chunk_fixed(texts: DataFrame, key: str, size: int, overlap: int) -> DataFrame:
@@ -46,9 +49,9 @@ def chunk_recursive(texts: DataFrame, keys: list[str], spec: splitters.Spec | No
     return cut_texts(texts, keys, lambda t: splitters.recursive(t, s.min_chars, s.max_chars, s.overlap_chars, s.target_chars if targeted else None, s.overlap_ratio if targeted else None))
 
 
-def chunk_tokenwise(texts: DataFrame, keys: list[str], spec: splitters.Spec | None = None) -> DataFrame:
+def chunk_tokenwise(texts: DataFrame, keys: list[str], spec: splitters.Spec | None = None, scanned: bool = True) -> DataFrame:
     s = spec or splitters.Spec()
-    return cut_texts(texts, keys, lambda t: splitters.Cutter(t, s).chunks()).withColumn("chunk", strip("chunk"))
+    return cut_texts(texts, keys, lambda t: splitters.Cutter(t, s).chunks(), scanned=scanned).withColumn("chunk", strip("chunk"))
 
 
 def with_last_sentences(chunks: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -72,7 +75,7 @@ def build_chunks(documents: DataFrame, key: str = "doc_id", spec: splitters.Spec
     """Chunk records of every document: ids by chapter and document, links, scene, prefix, sizes and parent."""
     chapters = parse_structure(documents, key)
     bodies = chapters.select(key, "chapter_id", "text")
-    pieces = chunk_tokenwise(bodies, [key, "chapter_id"], spec)
+    pieces = chunk_tokenwise(bodies, [key, "chapter_id"], spec, scanned=False)
     found = scenes(bodies.withColumn("place", F.struct(key, "chapter_id")), "place").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("start", "scene_no", "summary"))).alias("scenes"))
     marked = pieces.join(found.select("place.*", "scenes"), [key, "chapter_id"], "left").join(chapters.select(key, "chapter_id", "title", "hash", F.col("start").alias("chapter_start"), F.substring("chapter_id", 2, 9).cast("int").alias("chapter_no")), [key, "chapter_id"])
     upto = F.filter("scenes", lambda s: s["start"] <= F.col("start"))

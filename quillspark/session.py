@@ -49,7 +49,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition by the keys only where the scan gives fewer partitions than there are cores.
 
-    Large inputs keep their scan's partitions, so that no shuffle is added at scale.
+    Large inputs keep their scan's partitions, so that no shuffle is added at scale. For scans without a shuffle
+    only: asking for the partitions of another plan would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
