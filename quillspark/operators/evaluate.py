@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import cut_into_sentences, grams_of
+from quillspark.functions.text import cut_into_sentences, grams_of, strip
 from quillspark.operators.structure import chapter_number
 
 #: Words that stand for a person without a name, longest first.
@@ -62,7 +62,7 @@ def meta_terms(question: Column) -> Column:
 
 def merge_queries(question: Column, others: Column, most: int = 3) -> Column:
     """The question and up to three others, trimmed, without blanks and repeats."""
-    listed = F.transform(F.concat(F.array(question), F.coalesce(others, F.array().cast("array<string>"))), F.trim)
+    listed = F.transform(F.concat(F.array(question), F.coalesce(others, F.array().cast("array<string>"))), strip)
     return F.slice(F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & (x != ""))), F.lit(1), F.lit(most + 1))
 
 
@@ -91,12 +91,21 @@ def problems(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("problem"))
 
 
-def systematic_sample(rows: DataFrame, by: str, key: str, count: int) -> DataFrame:
-    """count rows of each group at even distances in the order of the key; all rows of smaller groups."""
-    order = Window.partitionBy(by).orderBy(key)
-    placed = rows.withColumn("_at", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+def systematic_sample(rows: DataFrame, by: str, key: str, count: int, block: int = 100_000) -> DataFrame:
+    """count rows of each group at even distances in the order of a whole-number key; all rows of smaller groups.
+
+    Rows are ranked within blocks of keys and moved on by the sizes of the blocks before, so that a large group is
+    the work of many tasks. Rows with a null key are left out.
+    """
+    blocked = rows.where(F.col(key).isNotNull()).withColumn("_b", F.floor(F.col(key) / block))
+    sizes = blocked.groupBy(by, "_b").agg(F.count(F.lit(1)).alias("_size"))
+    whole = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_size").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(by).alias("_g"), F.col("_b").alias("_o"), before.alias("_before"), F.sum("_size").over(whole).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(by, "_b").orderBy(key)) - 1
+    placed = blocked.withColumn("_in", rank).join(sizes, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_b") == F.col("_o"))).withColumn("_at", F.col("_in") + F.col("_before"))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.least(F.col("_n") - 1, F.floor((i + 0.5) / count * F.col("_n"))))
-    return placed.where(F.array_contains(wanted, F.col("_at").cast("long"))).drop("_at", "_n")
+    return placed.where(F.array_contains(wanted, F.col("_at").cast("long"))).select(*rows.columns)
 
 
 def best_sentences(records: DataFrame, terms: DataFrame) -> DataFrame:

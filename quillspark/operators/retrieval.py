@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,12 +26,16 @@ def keyword_hits(texts: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     query set go to every task, in blocks of bounded size; texts with a term are then joined to the queries that ask.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''")
-    terms = asked.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-asked.select("term").distinct().count() // TERM_BLOCK)))))
-    blocks = terms.groupBy("block").agg(F.collect_list("term").alias("all"))
-    lowered = texts.select(key, F.lower("text").alias("text")).where(F.length("text") > 0)
+    terms = asked.select("term").distinct()
+    blocks = max(1, -(-terms.count() // TERM_BLOCK))
+    lowered = spread(texts.select(key, F.lower("text").alias("text")).where(F.length("text") > 0), key)
     places = F.filter(F.transform("all", lambda t: F.struct(t.alias("term"), F.instr(F.col("text"), t).alias("at"))), lambda x: x["at"] > 0)
-    # One row for each block of terms: the size of this side is bounded by TERM_BLOCK.
-    found = spread(lowered, key).join(F.broadcast(blocks), how="cross").select(key, F.explode(places).alias("x"))
+    parts = []
+    for block in range(blocks):
+        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).agg(F.collect_list("term").alias("all"))
+        # One row of about TERM_BLOCK terms at most.
+        parts.append(lowered.join(F.broadcast(own), how="cross").select(key, F.explode(places).alias("x")))
+    found = reduce(DataFrame.unionByName, parts)
     at = F.col("x.at")
     weight = F.lit(1.0) + F.when(at <= 100, 0.5).when(at <= 500, 0.25).otherwise(0.0)
     scored = found.select(key, F.col("x.term").alias("term"), weight.alias("weight"))

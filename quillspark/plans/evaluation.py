@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quillspark.operators import context as X
 from quillspark.operators import evaluate as E
+from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import query
 from quillspark.session import table
@@ -129,6 +130,16 @@ def best_sentence(spark, d):
     return E.best_sentences(records, X.book_terms(records))
 
 
+@query()
+def question_items(spark, d):
+    """Questions made from the chunks: the best sentence is the answer, its entity the gap; each entity once, at its first record."""
+    records = I.latest_records(table(spark, d, "metadata")).where("length(text) >= 60")
+    best = E.best_sentences(records, X.book_terms(records)).join(records.select("rec_id", "book_id", "chapter"), "rec_id")
+    first = best.groupBy("book_id", "entity").agg(F.min("rec_id").alias("rec_id"))
+    chosen = best.join(first, ["book_id", "entity", "rec_id"])
+    return chosen.select("rec_id", "book_id", "chapter", "entity", E.kind_of(F.col("entity")).alias("kind"), F.replace(F.col("sentence"), F.col("entity"), F.lit("____")).alias("question"), F.col("sentence").alias("answer"))
+
+
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n <= 20")
 def history_last_n(spark, d):
     """The last twenty entries of each user's history."""

@@ -185,6 +185,19 @@ def context_assemble(spark, d):
     return R.context_text(hits, "chapter", "text", "place")
 
 
+@query()
+def context_expanded(spark, d):
+    """One text of each question's hits with what stands around them."""
+    records = I.latest_records(table(spark, d, "metadata")).select("book_id", "chapter", "chapter_id", "chunk_id", "parent_id", "text")
+    parents = table(spark, d, "parent_chunks")
+    hits = cut_lineage(_final(spark, d).where("book_id is not null").select("query_id", "place", "book_id", "chunk_id").dropDuplicates(["query_id", "place"]))
+    found = cut_lineage(R.expand(hits, records, parents))
+    chunks = found.where("kind <> 'parent'").withColumn("chunk_id", F.col("id").cast("int")).join(records, ["book_id", "chunk_id"]).select("query_id", "ord", "kind", "chapter", "text")
+    members = found.where("kind = 'parent'").join(parents.select("book_id", F.col("parent_id").alias("id"), F.posexplode("child_chunk_ids").alias("n", "chunk_id")), ["book_id", "id"]).join(records, ["book_id", "chunk_id"])
+    whole = members.groupBy("query_id", "ord", "kind").agg(F.min("chapter").alias("chapter"), F.array_join(F.array_sort(F.collect_list(F.struct("n", "text")))["text"], "").alias("text"))
+    return R.expanded_context(chunks.unionByName(whole))
+
+
 @query()
 def hybrid_retrieve(spark, d):
     """Vectors of a stand-in encoder and keywords fused for each question, best record of each chapter."""
