@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import WS, col, lines, strip, unlines
@@ -74,7 +75,7 @@ def remove_page_numbers(text: Column | str) -> Column:
 
 
 def is_site_line(line: Column) -> Column:
-    found = reduce(lambda a, b: a | b, [F.contains(line, F.lit(m)) for m in SITE_MARKERS])
+    found = line.rlike("|".join(re.escape(m) for m in SITE_MARKERS))
     return (line != "") & (F.length(line) <= LONGEST_SITE_LINE) & found
 
 
@@ -137,14 +138,17 @@ RULES = {
 DEFAULT_RULES = tuple(name for name in RULES if name != "merge_paragraphs")
 
 
-def clean(text: Column | str, rules: Sequence[str] | None = None, custom_words: Sequence[str] = ()) -> Column:
-    """The rules in their fixed order; none or an empty list means the defaults. A null text comes out empty."""
+def clean(rows: DataFrame, rules: Sequence[str] | None = None, custom_words: Sequence[str] = (), text: str = "text", to: str = "out") -> DataFrame:
+    """Adds the text after the rules in their fixed order; none or an empty list means the defaults.
+
+    A null text comes out empty. Each rule is a step of its own, so that no rule works out the one before it again.
+    """
     wanted = set(rules or DEFAULT_RULES)
     unknown = wanted - set(RULES)
     if unknown:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
-    out = col(text)
+    rows = rows.withColumn(to, F.col(text))
     for name, rule in RULES.items():
         if name in wanted and name != "normalize_structure":
-            out = rule(out, custom_words) if name == "remove_ads" else rule(out)
-    return normalize_structure(out)
+            rows = rows.withColumn(to, rule(to, custom_words) if name == "remove_ads" else rule(to))
+    return rows.withColumn(to, normalize_structure(to))

@@ -44,13 +44,14 @@ def character_table(records: DataFrame, most: int = MOST_NAMES) -> DataFrame:
 
     Needs book_id, rec_id and text. First means the smaller rec_id, then the place in its text, then the shorter gram.
     """
-    runs = records.select("book_id", "rec_id", F.posexplode(han_runs("text", 2)).alias("run_no", "run"))
-    sized = [runs.select("book_id", "rec_id", "run_no", F.lit(n).alias("size"), F.posexplode(grams_of(F.col("run"), n)).alias("at", "gram")) for n in (2, 3)]
-    each = sized[0].unionByName(sized[1])
     wanted = ~F.col("gram").isin(NOT_NAMES) & ~F.right("gram", F.lit(1)).isin(*NOT_ENDINGS)
-    counted = each.where(wanted).groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rec_id", "run_no", "at", "size")).alias("first")).where(F.col("n") >= LEAST_NAME)
-    place = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "first"))
-    return counted.withColumn("place", place).where(F.col("place") <= most).select("book_id", "place", F.col("gram").alias("name"), "n")
+    each = grams(records, ["book_id", "rec_id"]).where(wanted)
+    counted = each.groupBy("book_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("rec_id").alias("rec_id")).where(F.col("n") >= LEAST_NAME)
+    # Only grams that tie with the last place need their place in the text.
+    near = counted.withColumn("rank", F.rank().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "rec_id"))).where(F.col("rank") <= most)
+    at = near.join(records.select("rec_id", "text").dropDuplicates(["rec_id"]), "rec_id").withColumn("at", F.instr(F.col("text"), F.col("gram")))
+    place = F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("n"), "rec_id", "at", F.length("gram")))
+    return at.withColumn("place", place).where(F.col("place") <= most).select("book_id", "place", F.col("gram").alias("name"), "n")
 
 
 def _subjects(line: Column, names: Column) -> Column:

@@ -117,9 +117,9 @@ def project_folder(spark, d):
 @query()
 def clean_default(spark, d):
     """All default rules in their fixed order as one projection."""
-    return table(spark, d, "metadata").select("rec_id", C.clean("text").alias("out"))
+    return C.clean(table(spark, d, "metadata").select("rec_id", "text")).select("rec_id", "out")
 
 
 @query()
 def clean_all_rules(spark, d):
-    return table(spark, d, "metadata").select("rec_id", C.clean("text", list(C.RULES), ["月票"]).alias("out"))
+    return C.clean(table(spark, d, "metadata").select("rec_id", "text"), list(C.RULES), ["月票"]).select("rec_id", "out")

@@ -43,9 +43,10 @@ def test_title_rules(spark):
 
 
 def test_clean_runs_all_and_rejects_unknown(spark):
-    assert out(spark, C.clean("text"), "入马\n\n12\n本站\n好", None) == ["人马\n好", ""]
+    df = spark.createDataFrame([(0, "入马\n\n12\n本站\n好"), (1, None)], "i int, text string")
+    assert [r.out for r in C.clean(df).orderBy("i").collect()] == ["人马\n好", ""]
     try:
-        C.clean("text", ["nothing"])
+        C.clean(df, ["nothing"])
     except ValueError:
         return
     raise AssertionError
@@ -65,4 +66,4 @@ def test_keyword_tokens(spark):
 
 def test_extra_columns_do_not_clash(spark):
     df = spark.createDataFrame([(1, "a\n\nb", "x")], "line int, text string, l string")
-    assert df.withColumn("o", C.clean("text")).select(F.col("o")).first().o == "a\nb"
+    assert C.clean(df, to="o").select(F.col("o")).first().o == "a\nb"
