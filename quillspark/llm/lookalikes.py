@@ -44,7 +44,7 @@ def _tables() -> tuple[tuple[str, str], dict[str, str], tuple[str, str], list[tu
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
         category = unicodedata.category(char)
-        if category in ("Cn", "Cs", "Co"):
+        if category in ("Cn", "Cs", "Co") or char == "…":  # the sign itself is the usual form here
             continue
         parts = unicodedata.decomposition(char).split()
         if parts and parts[0] in _TYPES or parts and not parts[0].startswith("<") and len(parts) == 1:
@@ -76,6 +76,11 @@ def _tables() -> tuple[tuple[str, str], dict[str, str], tuple[str, str], list[tu
 _PLAIN = r"[^\x00-\x7f\x{4e00}-\x{9fa5}，。、！？：；“”‘’…—（）《》【】\x{3000}]"
 
 
+def _holds(text: Column, chars: dict[str, str]) -> Column:
+    """Whether any of the characters occurs: looked up in a table, where a pattern would try one after the other."""
+    return F.length(F.translate(text, "".join(chars), "")) != F.length(text)
+
+
 def with_clean_form(rows: DataFrame, text: str = "text", to: str = "clean") -> DataFrame:
     """Adds the text in mapped characters, without invisible ones, with accented Latin letters composed."""
     (source, target), several, _, pairs = _tables()
@@ -83,7 +88,7 @@ def with_clean_form(rows: DataFrame, text: str = "text", to: str = "clean") -> D
     accents = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
     swap = lambda table: F.aggregate(table, F.col(to), lambda t, p: F.replace(t, p["a"], p["b"]))
     rows = rows.withColumn(to, F.translate(F.col(text), source, target))
-    rows = rows.withColumn(to, F.when(F.col(to).rlike("[" + "".join(several) + "]"), swap(spelled)).otherwise(F.col(to)))
+    rows = rows.withColumn(to, F.when(_holds(F.col(to), several), swap(spelled)).otherwise(F.col(to)))
     return rows.withColumn(to, F.when(F.col(to).rlike(f"[{_ACCENTS}]"), swap(accents)).otherwise(F.col(to)))
 
 
@@ -103,7 +108,7 @@ def _with_skeleton(texts: DataFrame) -> DataFrame:
     rows = texts.withColumn("folded", folded)
     spelled = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()])
     swapped = F.aggregate(spelled, F.col("folded"), lambda t, p: F.replace(t, p["a"], p["b"]))
-    rows = rows.withColumn("folded", F.when(F.col("folded").rlike("[" + "".join(several) + "]"), swapped).otherwise(F.col("folded")))
+    rows = rows.withColumn("folded", F.when(_holds(F.col("folded"), several), swapped).otherwise(F.col("folded")))
     return rows.withColumn("skeleton", _skeleton(F.coalesce("folded", "text"))).drop("folded")
 
 
