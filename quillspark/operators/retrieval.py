@@ -69,13 +69,12 @@ def vector_hits(vectors: DataFrame, key: str, column: str, queries: DataFrame, k
                     continue
                 rows = np.stack(batch[column].to_numpy()).astype(np.float64)
                 rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                keys = batch[key].to_numpy()
-                cosine = np.round(block @ rows.T, decimals)
-                for q in range(len(ids)):
-                    line = cosine[q]
-                    near = np.flatnonzero(line >= np.partition(line, -k)[-k]) if len(line) > k else np.arange(len(line))
-                    near = near[np.lexsort((keys[near], -line[near]))][:k]
-                    yield pd.DataFrame({"query_id": ids[q], key: keys[near], "score": line[near]})
+                order = np.argsort(batch[key].to_numpy(), kind="stable")  # so that ties fall to the smaller key
+                keys, rows = batch[key].to_numpy()[order], rows[order]
+                for first in range(0, len(ids), 512):
+                    cosine = np.round(block[first : first + 512] @ rows.T, decimals)
+                    near = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(ids[first : first + 512], near.shape[1]), key: keys[near].ravel(), "score": np.take_along_axis(cosine, near, axis=1).ravel()})
 
         width = block.shape[1]
         usable = vectors.select(key, column).where((F.size(column) == width) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
