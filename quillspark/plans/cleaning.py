@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import cleaning as C
 from quillspark.plans.registry import W, query, quoted, strip_sql
-from quillspark.session import table
+from quillspark.session import spread, table
 
 LINES = "string_split(text, chr(10))"
 _TITLE_SQL = f"(length({strip_sql('l')}) <= 32 and not contains({strip_sql('l')}, '。') and regexp_matches({strip_sql('l')}, '{C.TITLE}'))"
 
 
 def _records(spark, d):
-    return table(spark, d, "metadata").where("text is not null")
+    return spread(table(spark, d, "metadata").where("text is not null").select("rec_id", "text"), "rec_id")
 
 
 def _each(spark, d, rule):
@@ -117,9 +117,9 @@ def project_folder(spark, d):
 @query()
 def clean_default(spark, d):
     """All default rules in their fixed order as one projection."""
-    return C.clean(table(spark, d, "metadata").select("rec_id", "text")).select("rec_id", "out")
+    return C.clean(spread(table(spark, d, "metadata").select("rec_id", "text"), "rec_id")).select("rec_id", "out")
 
 
 @query()
 def clean_all_rules(spark, d):
-    return C.clean(table(spark, d, "metadata").select("rec_id", "text"), list(C.RULES), ["月票"]).select("rec_id", "out")
+    return C.clean(spread(table(spark, d, "metadata").select("rec_id", "text"), "rec_id"), list(C.RULES), ["月票"]).select("rec_id", "out")

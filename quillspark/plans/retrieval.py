@@ -10,7 +10,7 @@ from quillspark.operators import context as X
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
 from quillspark.plans.registry import query
-from quillspark.session import cut_lineage, table
+from quillspark.session import cut_lineage, spread, table
 
 _RUNS = "regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]+')"
 
@@ -19,13 +19,17 @@ def _gram_list(run: str, n: int) -> str:
     return f"list_transform(range(1, greatest(length({run}) - {n} + 2, 1)), lambda i: substring({run}, i, {n}))"
 
 
+def _texts(spark, d):
+    return spread(table(spark, d, "metadata").select("rec_id", "book_id", "chapter_id", "text"), "rec_id")
+
+
 def _grams(keys: str, where: str) -> str:
     return f"select {keys} unnest(list_concat({_gram_list('run', 2)}, {_gram_list('run', 3)})) as gram from (select {keys} unnest({_RUNS}) as run from metadata where {where})"
 
 
 @query(f"select gram, count(*) as n from ({_grams(keys='', where='text is not null')}) group by gram")
 def ngram_counts(spark, d):
-    return X.gram_counts(table(spark, d, "metadata"), [])
+    return X.gram_counts(_texts(spark, d), [])
 
 
 _NAMES = ", ".join(f"'{w}'" for w in X.NOT_NAMES)
@@ -33,12 +37,12 @@ _NAMES = ", ".join(f"'{w}'" for w in X.NOT_NAMES)
 
 @query(f"select gram, count(*) as n from ({_grams(keys='', where='text is not null')}) where not (length(gram) = 2 and regexp_matches(gram, '[{X.NOT_IN_TERMS}]')) and gram not in ({_NAMES}) group by gram having count(*) >= 30")
 def book_terms(spark, d):
-    return X.book_terms(table(spark, d, "metadata"))
+    return X.book_terms(_texts(spark, d))
 
 
 @query(f"select gram, count(*) as chapters from (select distinct book_id, chapter_id, gram from ({_grams(keys='book_id, chapter_id,', where='chapter_id is not null')})) group by gram")
 def gram_chapter_df(spark, d):
-    return X.gram_chapters(table(spark, d, "metadata"))
+    return X.gram_chapters(_texts(spark, d))
 
 
 @query(f"""
@@ -48,7 +52,7 @@ g as (select book_id, rec_id, run_no, 2 as size, unnest({_gram_list('run', 2)})
 c as (select book_id, gram, count(*) as n, min({{'a': rec_id, 'b': run_no, 'c': pos, 'd': size}}) as first from g where gram not in ({_NAMES}) and not contains('{X.NOT_ENDINGS}', right(gram, 1)) group by book_id, gram having count(*) >= 3)
 select book_id, cast(place as bigint) as place, gram as name, n from (select *, row_number() over (partition by book_id order by n desc, first) as place from c) where place <= 30""")
 def character_table(spark, d):
-    return X.character_table(table(spark, d, "metadata")).withColumn("place", F.col("place").cast("long"))
+    return X.character_table(_texts(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
 @query()
