@@ -7,6 +7,9 @@ which pages, which is its mapping of characters to bytes; each record then takes
 
 The mapping is learnt as a mixture of the pages that exist: letters here take two or three bytes, and a free mapping
 of single bytes can't be told from bigrams of letters.
+
+The pairs are learnt from the texts without the stretches that look like bytes of another encoding, whatever they say,
+so that garbled text doesn't count as language, however much of it there is.
 """
 
 from __future__ import annotations
@@ -74,6 +77,61 @@ def _single_stretches(text: str, page: str, written: str) -> list[tuple[int, int
     return found
 
 
+def _chars(page: str, leads: bytes, tails: bytes) -> str:
+    """The characters of a page that have such bytes."""
+    raw = (bytes([a, b]).decode(page, "ignore") for a in leads for b in tails)
+    return "".join(sorted({c for c in raw if len(c) == 1 and c >= "\x80"}))
+
+
+_HIGHEST, _TAILS = bytes([*range(0xE3, 0xEA), 0xEF]), bytes(range(0x80, 0xC0))
+#: Characters of cp950 that bytes of gb18030 give and Chinese text seldom has, and bytes of its usual characters and signs in UTF-8.
+_RARE_950 = frozenset(_chars("cp950", bytes(range(0xC9, 0xD8)), bytes(range(0xA1, 0xFF)))) - {*_chars("gb2312", bytes(range(0xB0, 0xD8)), bytes(range(0xA1, 0xFF)))}
+_SURE_UTF8 = re.compile(rb"(?:[\xe3-\xe9\xef][\x80-\xbf]{2}){2,}")
+#: What only texts with such stretches are likely to have.
+_STRANGE = re.compile(f"(?![‘’“”—…·×°])[{_HIGH}](?:[{_HIGH}]|(?<=[{_HIGH}]{{2}}))")
+_FOREIGN = re.compile("[가-힣｡-ﾟ{}]|[{}][{}]|[{}][^\n]{{0,4}}[{}]".format(*map(re.escape, (
+    _chars("cp950", _HIGHEST, _TAILS), _chars("gb18030", _HIGHEST, _TAILS), _chars("gb18030", _TAILS, _HIGHEST), *["".join(sorted(_RARE_950))] * 2,
+))))
+#: Suspect stretches with no more characters between them are one.
+_BETWEEN = 6
+
+
+def _is_word(part: str) -> bool:
+    """Letters in a usual case, as words of other scripts have them and bytes hardly."""
+    return part.isalpha() and (part[1:] == part[1:].lower() or part == part.upper())
+
+
+def without_suspects(text: str) -> str:
+    """The text with line breaks for the stretches that look like another encoding's bytes by their form alone."""
+    found = []
+    if _STRANGE.search(text):
+        for page in SINGLE:
+            for looks in _page(page)[1].values():
+                found += [m.span() for m in looks.finditer(text) if _STRANGE.search(m.group()) and not _is_word(m.group())]
+    if _FOREIGN.search(text):
+        whole = [(0, len(text))]
+        for page in DOUBLE:
+            found += [s[:2] for s in _double_stretches(text, page, "utf-8", whole, _SURE_UTF8)]
+            for start, end, _ in _double_stretches(text, page, "gb18030", whole) if page != "gb18030" else ():
+                part = text[start:end]
+                if page == "cp932":
+                    sure = re.search("[\uff61-\uff9f]", part)
+                elif page == "cp949":
+                    sure = re.search("[가-힣]", part) and re.search("[㐀-鿿豈-\ufaff]", part)
+                else:
+                    sure = len(part) >= 4 and sum(c in _RARE_950 for c in part) >= max(2, 0.2 * len(part))
+                if sure:
+                    found.append((start, end))
+    if not found:
+        return text
+    kept, at = [], 0
+    for start, end in sorted(found):
+        if not kept or start - at > _BETWEEN:
+            kept.append(text[at:start])
+        at = max(at, end)
+    return "\n".join([*kept, text[at:]])
+
+
 @cache
 def _written(char: str, page: str) -> bytes:
     try:
@@ -82,14 +140,14 @@ def _written(char: str, page: str) -> bytes:
         return b"\0"
 
 
-def _double_stretches(text: str, page: str, written: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+def _double_stretches(text: str, page: str, written: str, spans: list[tuple[int, int]], looks: re.Pattern | None = None) -> list[tuple[int, int, str]]:
     """The same for a page with characters of two bytes, inside the spans only."""
     found = []
     for first, last in spans:
         parts = [_written(c, page) for c in text[first:last]]
         places = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         raw = b"".join(parts)
-        for match in (_UTF8 if written == "utf-8" else _GB).finditer(raw):
+        for match in (looks or (_UTF8 if written == "utf-8" else _GB)).finditer(raw):
             start, end = int(np.searchsorted(places, match.start())), int(np.searchsorted(places, match.end(), "right")) - 1
             if end - start >= 2:
                 said = raw[places[start] : places[end]].decode(written, "ignore")
@@ -191,7 +249,7 @@ def _learn_swaps(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _found(records: DataFrame) -> DataFrame:
-    return cut_lineage(decipherings(records, learn(records)))
+    return cut_lineage(decipherings(records, learn(records, changed=without_suspects)))
 
 
 def restored(records: DataFrame) -> DataFrame:

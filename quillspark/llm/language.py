@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -59,10 +59,10 @@ def word_place(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass")) >> (32 - WORD_BITS)
 
 
-def learn(texts: DataFrame, column: str = "text", words: bool = False) -> Language:
+def learn(texts: DataFrame, column: str = "text", words: bool = False, changed: Callable[[str], str] | None = None) -> Language:
     """Counts over every row; the driver gets no more rows than the tables have places, whatever the input.
 
-    With ``words`` a third table counts the words of ASCII letters.
+    With ``words`` a third table counts the words of ASCII letters; ``changed`` gives what is counted of a text.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,6 +70,8 @@ def learn(texts: DataFrame, column: str = "text", words: bool = False) -> Langua
         seen: Counter[str] = Counter()
         for batch in batches:
             values = batch[column].tolist()
+            if changed:
+                values = [changed(v) for v in values]
             for start in range(0, len(values), 500):
                 codes = same_digits(codes_of("\n" + "\n".join(values[start : start + 500])))
                 pairs += np.bincount(_pair_place(codes[:-1], codes[1:]), minlength=len(pairs))

@@ -26,5 +26,23 @@ def test_round_trip(spark):
     assert all(got[i].text == t and not got[i].lost for i, t in want.items())
 
 
+def garbled(t, written, read):
+    if read in ("latin-1", "cp1252"):
+        return "".join(bytes([b]).decode(read) if read == "latin-1" or b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in t.encode(written))
+    return t.encode(written).decode(read, "replace")
+
+
+def test_a_third_is_garbled(spark):
+    """What is restored doesn't depend on how much of the source is garbled."""
+    for swap in (("utf-8", "cp1252"), ("gb18030", "latin-1"), ("gb18030", "cp949"), ("gb18030", "cp950"), ("utf-8", "gb18030")):
+        rnd = random.Random(9)
+        rows = [(i, "b", text(rnd)) for i in range(450)] + [(900, "b", "«Тихо», — сказал Орвин."), (901, "b", "——……“" + text(rnd) + "”")]
+        bad = {i: t for i, _, t in rows if i % 3 == 0 and i < 450}
+        got = {r.rec_id: r for r in restored(spark.createDataFrame([(i, b, garbled(t, *swap) if i in bad else t) for i, b, t in rows], "rec_id long, book_id string, text string")).collect()}
+        assert set(got) == set(bad), swap
+        assert all(r.lost or r.text == bad[i] for i, r in got.items()), swap
+        assert swap[1] in ("gb18030", "cp950", "cp949") or not any(r.lost for r in got.values()), swap
+
+
 def test_empty(spark):
     assert restored(spark.createDataFrame([], "rec_id long, book_id string, text string")).count() == 0
