@@ -179,6 +179,23 @@ def _names(title: str | None, *chapters: str | None) -> set[str]:
     return {n for n in names if len(n) >= 2}
 
 
+def _single_breaks(lines: list[str], widths: list[int], full: list[int], scanned: bool, reader: Reader) -> set[int]:
+    """Lines that go on in the next one, where too few are broken to tell by their number.
+
+    Such a line is about as wide as the widest, and the next isn't indented. In a text with other marks of a scan that
+    is enough; else the corpus has to like the two characters, both ideographs, better together. Verse is narrower.
+    """
+    most, found = max(widths, default=0), set()
+    for k in full:
+        last, first = lines[k].rstrip()[-1], lines[k + 1][0]
+        if not 24 <= widths[k] <= 120 or first.isspace():
+            continue
+        liked = all("㐀" <= c <= "鿿" for c in (last, first)) and reader.likes(last, first) > BREAK
+        if liked and (scanned or widths[k] >= 0.85 * most) or scanned and widths[k] >= 0.85 * most:
+            found.add(k)
+    return found
+
+
 def repair(text: str, names: set[str], reader: Reader, screened: bool = True) -> tuple[int, str]:
     """The marks found and the text without them, in paragraphs."""
     lines = text.split("\n")
@@ -198,6 +215,10 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True) ->
         liked = sum(reader.likes(kept[k].rstrip()[-1], kept[k + 1].lstrip()[0]) > BREAK for k in even)
         if len(even) >= 2 and len(even) >= 0.6 * len(middle) and 24 <= most <= 120 and liked >= 0.34 * len(even):
             marks |= BROKEN
+    wrapped, single = marks & BROKEN, set()
+    if not wrapped:
+        single = _single_breaks(kept, widths, full, bool(marks & (PAGE | HEADING)), reader)
+        marks |= BROKEN if single else 0
     body = "\n".join(kept)
     if len(_GAP.findall(body)) >= 3:
         marks |= GAPS
@@ -217,9 +238,10 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True) ->
     if marks & BROKEN:
         most = max((_width(line.rstrip()) for line in kept), default=0)
         out: list[str] = []
-        for line in kept:
+        for k, line in enumerate(kept):
             indented = line.startswith(("　　", "  "))
-            if out and out[-1].strip() and line.strip() and not indented and (out_full := _width(tail := out[-1].split("\n")[-1].rstrip())) >= 0.6 * most:
+            tail = out[-1].split("\n")[-1].rstrip() if out else ""
+            if tail and line.strip() and not indented and (_width(tail) >= 0.6 * most if wrapped else k - 1 in single):
                 if tail[-1] in "-‐¬\xad" and re.search("[A-Za-zÀ-ÿ].$", tail):
                     out[-1] = out[-1].rstrip()[:-1] + "\n" + line.lstrip()
                 elif re.search(r"[A-Za-zÀ-ÿ,.;:!?\"'”’]$", tail) and re.match(r"[A-Za-zÀ-ÿ“\"'‘]", line.lstrip()):

@@ -27,5 +27,22 @@ def test_marks_and_repair(spark):
     assert got[905].marks == PAGE and got[905].text == clean + "\n" + clean
 
 
+def test_one_break(spark):
+    """A record with one broken line: within a word, or after a comma beside a page number; verse and paragraphs stay."""
+    rnd = random.Random(6)
+    rows = [(i, body(rnd), None, None, None) for i in range(400)]
+    word, comma = "只是，守夜的老人把信烧成灰，守夜的老", "只是，守夜的老人把信烧成灰，没有回答，"
+    rows += [
+        (900, word + "\n人没有回答。", None, None, None), (901, comma + "\n守夜的老人据说。\n- 12 -", None, None, None), (902, word + "\n人没有回答。\n- 12 -", None, None, None),
+        (903, "月落山空风起，\n水寒人在远舟。\n- 12 -", None, None, None), (904, comma + "\n守夜的老人据说。", None, None, None), (905, comma[:-1] + "。\n人没有回答。", None, None, None),
+    ]
+    got = {r.rec_id: r for r in repaired(spark.createDataFrame(rows, "rec_id long, text string, book_title string, chapter string, chapter_title string")).collect()}
+    assert set(got) == {900, 901, 902, 903}
+    assert got[900].marks == BROKEN and got[900].text == word + "人没有回答。"
+    assert got[901].marks == PAGE | BROKEN and got[901].text == comma + "守夜的老人据说。"
+    assert got[902].marks == PAGE | BROKEN and got[902].text == word + "人没有回答。"
+    assert got[903].marks == PAGE and got[903].text == "月落山空风起，\n水寒人在远舟。"
+
+
 def test_empty(spark):
     assert repaired(spark.createDataFrame([], "rec_id long, text string, book_title string, chapter string, chapter_title string")).count() == 0
