@@ -24,8 +24,8 @@ from quillspark.session import cut_lineage, spread
 DIMENSIONS, NEIGHBOURS = 64, 5
 #: Rows the hyperplanes are fitted on at most, trees, rows aimed at in a leaf, leaves searched for each query.
 SAMPLE_ROWS, TREES, LEAF_ROWS, PROBES, LEAST_SAMPLE = 16_384, 6, 512, 18, 16
-#: Rows of a leaf that are compared at once.
-BLOCK_ROWS = 4_096
+#: Rows of a leaf that are compared at once, and how many times as many ask them.
+BLOCK_ROWS, ASKING = 4_096, 4
 
 
 def usable_vectors(vectors: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -103,14 +103,31 @@ def _fit(vectors: DataFrame, rows: int, dimensions: int, sample_rows: int, trees
     return Forest(sample, trees, max(0, min(depth, int(np.log2(max(1, len(sample) / LEAST_SAMPLE))))))
 
 
-def nearest(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSIONS, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """vec_id and its near (an array of cosine and id, best first) among different usable vectors."""
-    total = vectors.count()
-    if total == 0:
-        return vectors.select("vec_id", F.array().cast("array<struct<cosine:double,id:bigint>>").alias("near"))
-    forest = _fit(vectors, total, dimensions, sample_rows, trees, leaf_rows)
-    blocks = max(1, int(np.ceil(total / forest.leaves / block_rows)))
-    shared = vectors.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by sample_rows and trees
+def _placed(vectors: DataFrame, shared, total: int, dimensions: int, probes: int, block_rows: int) -> DataFrame:
+    """leaf, block, part, role (0 stored, 1 asks, 2 both), vec_id and vector of what is compared together.
+
+    The rows of every leaf are counted; a full one is cut into blocks of stored rows and parts of asking rows, each of
+    which meets each, by its own count.
+    """
+    forest = shared.value
+    blocks, parts = np.ones(forest.trees * forest.leaves, dtype=np.int32), np.ones(forest.trees * forest.leaves, dtype=np.int32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((2, shared.value.trees * shared.value.leaves), dtype=np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                leaf, home = shared.value.leaves_of(_unit(_matrix(whole.slice(start, 4096).column("embeddings"), dimensions)).astype(np.float32), probes)
+                n[0] += np.bincount(leaf[home], minlength=n.shape[1])
+                n[1] += np.bincount(leaf.ravel(), minlength=n.shape[1])
+        at = np.flatnonzero(n[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0][at]), pa.array(n[1][at])], names=["leaf", "stored", "asking"])
+
+    rows = spread(vectors.select("vec_id", "embeddings"), "vec_id")
+    if total > block_rows:
+        loads = rows.mapInArrow(count, "leaf int, stored long, asking long").groupBy("leaf").agg(F.sum("stored").alias("stored"), F.sum("asking").alias("asking")).toArrow()  # a row for each leaf
+        leaf = np.asarray(loads["leaf"])
+        blocks[leaf] = np.maximum(1, -(-np.asarray(loads["stored"]) // block_rows))
+        parts[leaf] = np.maximum(1, -(-np.asarray(loads["asking"]) // (ASKING * block_rows)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,7 +138,26 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSION
                 leaf, home = shared.value.leaves_of(_unit(rows).astype(np.float32), probes)
                 each = np.repeat(np.arange(len(ids)), leaf.shape[1])
                 raw = pa.array([r.tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel().astype(np.int32)), pa.array(home.ravel()), pa.array(ids[each]), raw.take(pa.array(each))], names=["leaf", "home", "vec_id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel().astype(np.int32)), pa.array(home.ravel()), pa.array(ids[each]), raw.take(pa.array(each)), pa.array(blocks[leaf.ravel()]), pa.array(parts[leaf.ravel()])], names=["leaf", "home", "vec_id", "vector", "blocks", "parts"])
+
+    routed = rows.mapInArrow(route, "leaf int, home boolean, vec_id long, vector binary, blocks int, parts int")
+    salt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
+    place = lambda block, part, role: F.struct(block.alias("block"), part.alias("part"), role.alias("role"))
+    zero, every = F.lit(0), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    whole = F.array(place(zero, zero, F.when(F.col("home"), 2).otherwise(1)))
+    asks = F.transform(every("blocks"), lambda b: place(b, salt("parts", 1), F.lit(1)))
+    stored = F.transform(every("parts"), lambda p: place(salt("blocks", 2), p, zero))
+    places = F.when((F.col("blocks") == 1) & (F.col("parts") == 1), whole).when(F.col("home"), F.concat(asks, stored)).otherwise(asks)
+    return routed.withColumn("x", F.explode(places)).select("leaf", "x.block", "x.part", "x.role", "vec_id", "vector")
+
+
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSIONS, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """vec_id and its near (an array of cosine and id, best first) among different usable vectors."""
+    total = vectors.count()
+    if total == 0:
+        return vectors.select("vec_id", F.array().cast("array<struct<cosine:double,id:bigint>>").alias("near"))
+    forest = _fit(vectors, total, dimensions, sample_rows, trees, leaf_rows)
+    shared = vectors.sparkSession.sparkContext.broadcast(forest)  # its size is bounded by sample_rows and trees
 
     def compare(key: tuple, group: pa.Table) -> pa.Table:
         kinds = np.asarray(group["role"])
@@ -147,16 +183,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSION
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
         return pa.table({"vec_id": pa.array(ids[asking]), "near": pa.ListArray.from_arrays(offsets, pairs)})
 
-    routed = spread(vectors.select("vec_id", "embeddings"), "vec_id").mapInArrow(route, "leaf int, home boolean, vec_id long, vector binary")
-    # role: 0 stored, 1 asks, 2 both. Leaves over a block's rows are compared block by block.
-    if blocks == 1:
-        placed = routed.withColumn("block", F.lit(0)).withColumn("part", F.lit(0)).withColumn("role", F.when(F.col("home"), 2).otherwise(1))
-    else:
-        every = F.sequence(F.lit(0), F.lit(blocks - 1))
-        salt = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-        asks = routed.select("leaf", "vec_id", "vector", F.explode(every).alias("block"), salt.alias("part"), F.lit(1).alias("role"))
-        stored = routed.where("home").select("leaf", "vec_id", "vector", salt.alias("block"), F.explode(every).alias("part"), F.lit(0).alias("role"))
-        placed = asks.unionByName(stored)
+    placed = _placed(vectors, shared, total, dimensions, probes, block_rows)
     found = placed.select("leaf", "block", "part", "role", "vec_id", "vector").groupBy("leaf", "block", "part").applyInArrow(compare, "vec_id long, near array<struct<cosine:double,id:bigint>>")
     # Each leaf gives at most k; a vector met in several leaves counts once.
     merged = found.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))

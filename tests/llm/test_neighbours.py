@@ -1,6 +1,6 @@
 import numpy as np
 
-from quillspark.llm.neighbours import similar
+from quillspark.llm.neighbours import _fit, _placed, nearest, similar
 
 
 def brute(ids, rows, k):
@@ -29,6 +29,22 @@ def test_recall_copies_and_bad_vectors(spark):
         assert all(got[i] == set(truth[i]) for i in range(100, 140))
 
 
+def test_one_direction(spark):
+    """A third of the rows have one direction and so one leaf; no task gets many more of them than a block."""
+    rnd = np.random.default_rng(2)
+    rows = rnd.standard_normal((3000, 16)).astype(np.float32)
+    rows[:1000] = rows[0] * rnd.uniform(0.5, 2, (1000, 1)).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embeddings array<float>")
+    forest = _fit(df, 3000, 16, 1024, 3, 64)
+    placed = _placed(df, spark.sparkContext.broadcast(forest), 3000, 16, 8, 100)
+    sizes = placed.groupBy("leaf", "block", "part").agg({"role": "count"}).collect()
+    stored = placed.where("role <> 1").groupBy("leaf", "block", "part").count().collect()
+    assert max(r["count"] for r in stored) <= 150 and max(r[3] for r in sizes) <= 700
+    got = {r.vec_id: [x.id for x in r.near] for r in nearest(df, 5, 16, 1024, 3, 64, 8, 100).collect()}
+    assert len(got) == 3000 and all(len(v) == 5 for v in got.values())
+    assert all(set(got[i]) <= set(range(1000)) for i in range(1000))
+
+
 def test_few_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embeddings array<float>")
     assert sorted((r.vec_id, r.id) for r in similar(df, 5, 2).collect()) == [(1, 2), (2, 1)]
