@@ -11,6 +11,7 @@ QUERIES = {
     "p2_forms": lookalikes.p2_forms,
     "p3_found": site_lines.p3_found,
     "p3_lines": site_lines.p3_lines,
+    "p3_disagreements": site_lines.p3_disagreements,
     "p3_clean": site_lines.p3_clean,
     "p4_found": neighbours.p4_found,
     "p4_neighbours": neighbours.p4_neighbours,

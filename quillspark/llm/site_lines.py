@@ -4,11 +4,12 @@ Method: frequencies of a line within its book and outside of it are compared by
 discovery rate over all repeated lines is controlled by the step-up procedure; significant lines are anti-joined
 from the records' lines, which are put together again by position.
 
-Outside of a book count only the books that don't repeat the line themselves: a notice that sister sites share is
-still a notice in each of them. The p-value is bounded by exp(-ratio/2), so that the control errs on the safe side.
+Outside of a book only single occurrences in other books count: a notice that sister sites share is still a notice in
+each of them. The p-value is one-sided, as only an excess counts, and bounded from above by the tail's
+first term, so that the control errs on the safe side.
 
-The stated rule, five records of a book, holds for every line: a line that it names is taken even where its ratio isn't
-significant, as happens to a notice that stands here and there in many small books. repeated_lines says which is which.
+The test is over every line in two or more records of a book, and it alone says which lines are candidates; the stated
+rule, five records, is an exact check of the significant ones. p3_disagreements lists what rule and test see otherwise.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MIN_LETTERS, MIN_RECORDS, RATE = 8, 5, 0.05
+MIN_LETTERS, TESTED_RECORDS, MIN_RECORDS, RATE = 8, 2, 5, 0.05
 #: Ratios are counted in steps of this width up to this many, which bounds the ranking to one small table.
 STEP, STEPS = 0.05, 40_000
 
@@ -45,18 +46,15 @@ def _likelihood(k: Column, n: Column) -> Column:
 
 
 def repeated_lines(records: DataFrame, min_records: int = MIN_RECORDS, rate: float = RATE) -> DataFrame:
-    """(book_id, key, n_in, n_out, ratio, significant) of the lines in at least min_records records of a book."""
+    """(book_id, key, n_in, n_out, ratio, significant) of every line in two or more records of a book."""
     lines = _lines(records).select("rec_id", "book_id", "key").distinct()
     counts = lines.groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    # The line's totals leave out books that repeat it; only keys that some book repeats go on.
-    totals = counts.groupBy("key").agg(
-        F.sum(F.when(F.col("n") < min_records, F.col("n")).otherwise(0)).alias("n_out"),
-        F.max("n").alias("most"),
-        F.sum(F.when(F.col("n") >= min_records, 1).otherwise(0)).alias("books"),
-    ).where(F.col("most") >= min_records)
+    # A line's total leaves out books that repeat it; only keys that some book has more than once go on.
+    totals = counts.groupBy("key").agg(F.sum((F.col("n") < TESTED_RECORDS).cast("long")).alias("n_out"), F.max("n").alias("most")).where(F.col("most") >= TESTED_RECORDS)
     sizes = records.where(F.col("book_id").isNotNull() & F.col("text").isNotNull()).groupBy("book_id").agg(F.countDistinct("rec_id").alias("size"))
     corpus = sizes.agg(F.sum("size").alias("corpus"))
-    pairs = counts.where(F.col("n") >= min_records).join(totals.select("key", "n_out"), "key").join(sizes, "book_id").join(F.broadcast(corpus), how="cross")  # corpus is one row
+    repeated = counts.where(F.col("n") >= TESTED_RECORDS)
+    pairs = repeated.join(totals.select("key", "n_out"), "key").join(sizes, "book_id").join(F.broadcast(corpus), how="cross")  # corpus is one row
     k1, n1, k2 = (F.col(c).cast("double") for c in ("n", "size", "n_out"))
     n2 = F.greatest(F.col("corpus") - F.col("size"), F.lit(1)).cast("double")
     together = _likelihood(k1 + k2, n1 + n2)
@@ -66,17 +64,19 @@ def repeated_lines(records: DataFrame, min_records: int = MIN_RECORDS, rate: flo
     # Step-up: the smallest ratio whose p-value is at most rate * rank / tests. At most STEPS rows are ranked.
     steps = scored.groupBy("step").agg(F.count(F.lit(1)).alias("tests"))
     ranked = steps.select("step", F.sum("tests").over(Window.orderBy(F.desc("step"))).alias("rank"), F.sum("tests").over(Window.partitionBy(F.lit(0))).alias("all"))
-    passing = ranked.where(F.exp(-F.col("step") * STEP / 2) <= rate * F.col("rank") / F.col("all")).agg(F.coalesce(F.min("step"), F.lit(STEPS + 1)).alias("least"))
+    least_ratio = F.col("step") * STEP
+    tail = F.exp(-least_ratio / 2) / 2 * F.least(F.lit(1.0), 1 / F.sqrt(F.pi() * F.greatest(least_ratio, F.lit(STEP)) / 2))  # erfc(x) <= exp(-x^2) / (x sqrt(pi))
+    passing = ranked.where(tail <= rate * F.col("rank") / F.col("all")).agg(F.coalesce(F.min("step"), F.lit(STEPS + 1)).alias("least"))
     return scored.join(F.broadcast(passing), how="cross").select("book_id", "key", "n_in", "n_out", "ratio", (F.col("step") >= F.col("least")).alias("significant"))  # passing is one row
 
 
 def flagged_lines(records: DataFrame, min_records: int = MIN_RECORDS, rate: float = RATE) -> DataFrame:
-    """(rec_id, line_no) of every occurrence of a line that is significant, or that the stated rule names.
+    """(rec_id, line_no) of every occurrence of a significant line that is in min_records records of its book.
 
     Needs rec_id, book_id and text. Rows with a null book or text have no lines; lines with under 8 letters never
     count; a repeated rec_id counts as one record, each row's lines come out once.
     """
-    chosen = repeated_lines(records, min_records, rate).where(F.col("significant") | (F.col("n_in") >= MIN_RECORDS)).select("book_id", "key")
+    chosen = repeated_lines(records, min_records, rate).where(F.col("significant") & (F.col("n_in") >= min_records)).select("book_id", "key")
     return _lines(records).join(chosen, ["book_id", "key"], "left_semi").select("rec_id", "line_no").distinct()
 
 
@@ -103,10 +103,15 @@ def p3_found(spark, folder: str) -> DataFrame:
 
 
 def p3_lines(spark, folder: str) -> DataFrame:
-    """Each repeated line's ratio and significance."""
+    """Each tested line's ratio and significance."""
     return repeated_lines(spark.read.parquet(f"{folder}/metadata.parquet")).select("book_id", F.hex("key").alias("line"), "n_in", "n_out", "ratio", "significant")
 
 
+def p3_disagreements(spark, folder: str) -> DataFrame:
+    """Lines in five or more records of a book that aren't significant, and significant ones in fewer."""
+    return p3_lines(spark, folder).where(F.col("significant") != (F.col("n_in") >= MIN_RECORDS))
+
+
 def p3_clean(spark, folder: str) -> DataFrame:
     return without_site_lines(spark.read.parquet(f"{folder}/metadata.parquet"))
 

@@ -48,9 +48,11 @@ def test_texts_without_the_lines(spark):
 
 
 def test_chance_is_not_significant(spark):
+    """A line that stands as often in every book is in many records of one by chance: the test leaves it, though the count of five would take it."""
     line = "到处都一样的一行文字啊"
-    rows = [(i, f"b{i % 40}", line if i % 8 == 0 else f"别的文字别的文字第{i}" + "甲乙丙丁"[i % 4] * 9) for i in range(800)]
+    rows = [(i, "big" if i % 2 else f"b{i}", line if i // 2 % 4 == 0 else "".join(chr(0x4E00 + (i * 37 + 101 * k * k) % 5000) for k in range(12))) for i in range(800)]
     df = spark.createDataFrame(rows, "rec_id long, book_id string, text string")
     got = repeated_lines(df).collect()
-    assert all(r.ratio >= 0 for r in got)
+    assert [(r.book_id, r.n_in, r.n_out, r.significant) for r in got] == [("big", 100, 100, False)]
+    assert flagged_lines(df).count() == 0
     assert flagged_lines(df.limit(0)).count() == 0
