@@ -1,12 +1,14 @@
 """Problem 6: text that was decoded with the wrong encoding.
 
-Method: a wrong code page is a substitution cipher: each character stands for a byte. Stretches that can be the bytes
-of another encoding are deciphered with every known swap, and scored by how much likelier the language's character
-pairs make the result. Expectation-maximization over all stretches of a source learns how often the source swaps
-which pages, which is its mapping of characters to bytes; each record then takes the likeliest swap, by translate().
+Method: a wrong code page is a substitution cipher: each character stands for a byte. Runs of characters that seldom
+stand side by side are set against the bigrams of an encoding's bytes under every page; each source's runs are counted
+by the page that explains them best, and those that none explains together. Expectation-maximization then learns the
+source's own table of characters to bytes for each of these (see ciphers.py), from the page as a prior or from nothing.
+The learnt tables alone decipher the source's records, by translate(). Which of them holds for a record, or none, is
+the likeliest by the language's character pairs and by how often the source uses each, learnt by the same method.
 
-The mapping is learnt as a mixture of the pages that exist: letters here take two or three bytes, and a free mapping
-of single bytes can't be told from bigrams of letters.
+A reading with a page of two bytes a character has no table of 256 places that could be learnt; these swaps are the
+known ones, weighed in the same mixture.
 
 The pairs are learnt from the texts without the stretches that look like bytes of another encoding, whatever they say,
 so that garbled text doesn't count as language, however much of it there is.
@@ -23,60 +25,62 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.ciphers import TWICE, ByteModel, byte_model, pages
 from quillspark.llm.language import Language, codes_of, learn, same_digits
 from quillspark.session import cut_lineage, spread
 
-#: Pages that texts were read with, and encodings they were written in.
-SINGLE = ("latin-1", "cp1252", "cp1251", "cp1250", "koi8-r", "cp437", "cp850", "cp866", "mac-roman", "cp1253", "cp1254")
+#: Pages of two bytes that texts were read with, and encodings they were written in.
 DOUBLE = ("gb18030", "cp950", "cp932", "cp949")
-WRITTEN = ("utf-8", "gb18030")
+WRITTEN = ("utf-8", "gb18030", "big5")
+CIPHERS = ("utf-8", "gb18030", "utf-8" + TWICE, "big5")
 #: Nats by which a deciphered record must be likelier, and each of its pairs; the mean of pairs below which a result is no language; rounds.
-LEAST_GAIN, LEAST_RISE, SURE_RISE, WORST, ROUNDS = 1.5, 1.2, 0.3, -12.5, 4
-#: A pair is rare under this share (in nats); so many rare pairs in a row are looked into.
-RARE, RARE_RUN = -10.8, 5
-#: Characters from which the high bytes of the single-byte pages are made, two in a row.
-_HIGH = r"\x80-\xff\u0100-\u017f\u0192\u02c6-\u02dd\u0370-\u04ff\u2013-\u203a\u20ac\u2122\u2126\u2200-\u22ff\u2310-\u2321\u2500-\u259f\u25a0\u25ca\uf8ff\ufb01\ufb02"
-_ODD = re.compile(f"[{_HIGH}]{{2}}")
+LEAST_GAIN, LEAST_RISE, SURE_RISE, WORST, ROUNDS = 1.5, 1.2, 0.3, -12.5, 2
+#: A pair is rare if such pairs make up this share of all text; so many rare pairs in a row are looked into.
+RARE_SHARE, RARE_RUN = 0.05, 5
+#: Log probability of a pair of bytes that a page has to reach, the sum over a record's runs above it, and pairs from which a table is learnt from nothing.
+EXPLAINED, LEAST_EXPLAINED, FREE_PAIRS = -11.5, 2.0, 1_200
+#: Characters that a byte can be read as, and those among them that Chinese text has itself.
+_HIGH, _USUAL = r"\x80-\u2e7f\ue000-\uf8ff\ufb00-\ufeff", "‘’“”—…·×°"
+_RUN = re.compile(f"[{_HIGH}]{{2,}}")
+#: The same with the second bytes of two that are ASCII.
+_MIXED = re.compile(f"(?:[{_HIGH}][@-~]?){{3,}}")
 _UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}){2,}")
 _GB = re.compile(rb"(?:[\xa1-\xa9\xb0-\xf7][\xa1-\xfe]){2,}")
+_LOOKS = {
+    "utf-8": re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})+"),
+    "gb18030": _GB, "big5": re.compile(rb"(?:[\xa1-\xc6\xc9-\xf9][@-~\xa1-\xfe]){2,}"),
+}
 _LOST = re.compile("�|锟斤拷")
-SWAPS = [(page, written) for page in SINGLE + DOUBLE for written in WRITTEN if page != written]
+DOUBLE_SWAPS = [(page, written) for page in DOUBLE for written in WRITTEN[:2] if page != written]
 FOUND = "rec_id long, source string, swap string, gain double, stretches int, restored string"
+LOOKED = FOUND + ", cipher string, rest string"
 
 
-@cache
-def _page(name: str) -> tuple[dict[int, int], dict[str, re.Pattern]]:
-    """translate() table of a single-byte page to the characters of the bytes' values, and what the bytes of each encoding look like in it."""
-    table, signs = {}, {}
-    for byte in range(128, 256):
-        try:
-            char = bytes([byte]).decode(name)
-        except UnicodeDecodeError:
-            char = chr(byte)
-        table[ord(char)] = byte
-        signs[byte] = {char}
-    if name != "latin-1":
-        for byte in range(128, 160):  # places without a sign are often kept as control characters
-            if table.setdefault(byte, byte) == byte:
-                signs[byte].add(chr(byte))
-    of = lambda a, b: "[" + "".join(re.escape(c) for byte in range(a, b + 1) for c in sorted(signs[byte])) + "]"
-    tail = of(0x80, 0xBF)
-    utf8 = f"(?:{of(0xC2, 0xDF)}{tail}|{of(0xE0, 0xEF)}{tail}{{2}}|{of(0xF0, 0xF0)}{tail}{{3}})+"
-    gb = f"(?:(?:{of(0xA1, 0xA9)}|{of(0xB0, 0xF7)}){of(0xA1, 0xFE)}){{2,}}"
-    return table, {"utf-8": re.compile(utf8), "gb18030": re.compile(gb)}
-
-
-def _single_stretches(text: str, page: str, written: str) -> list[tuple[int, int, str]]:
-    """Characters from and to that can be bytes of the other encoding, and what these say."""
-    table, looks = _page(page)
+def odd_runs(text: str, pattern: re.Pattern = _RUN) -> list[tuple[int, int]]:
+    """Runs of characters that bytes can be read as, but for those of usual signs and words in a usual case."""
+    return [m.span() for m in pattern.finditer(text) if m.group().strip(_USUAL) and not _is_word(m.group())]
+
+
+def _single_stretches(text: str, table: dict[int, int], written: str) -> list[tuple[int, int, str]]:
+    """Characters from and to that can be bytes of the other encoding by the table, and what these say."""
     found = []
-    for match in looks[written].finditer(text):
-        said = match.group().translate(table).encode("latin-1", "replace").decode(written, "ignore")
-        if said:
-            found.append((*match.span(), said))
+    for first, last in [m.span() for m in (_MIXED if written == "big5" else _RUN).finditer(text)]:
+        raw = text[first:last].translate(table).encode("latin-1", "replace")
+        for match in _LOOKS[written].finditer(raw):
+            said = match.group().decode(written, "ignore")
+            if said:
+                found.append((first + match.start(), first + match.end(), said))
     return found
 
 
+@cache
+def _known(page: str) -> dict[int, int]:
+    """translate() table of a page."""
+    names, tables = pages()
+    table = tables[names.index(page)]
+    return {int(c): int(table[c]) for c in np.flatnonzero(table)}
+
+
 def _chars(page: str, leads: bytes, tails: bytes) -> str:
     """The characters of a page that have such bytes."""
     raw = (bytes([a, b]).decode(page, "ignore") for a in leads for b in tails)
@@ -88,7 +92,6 @@ _HIGHEST, _TAILS = bytes([*range(0xE3, 0xEA), 0xEF]), bytes(range(0x80, 0xC0))
 _RARE_950 = frozenset(_chars("cp950", bytes(range(0xC9, 0xD8)), bytes(range(0xA1, 0xFF)))) - {*_chars("gb2312", bytes(range(0xB0, 0xD8)), bytes(range(0xA1, 0xFF)))}
 _SURE_UTF8 = re.compile(rb"(?:[\xe3-\xe9\xef][\x80-\xbf]{2}){2,}")
 #: What only texts with such stretches are likely to have.
-_STRANGE = re.compile(f"(?![‘’“”—…·×°])[{_HIGH}](?:[{_HIGH}]|(?<=[{_HIGH}]{{2}}))")
 _FOREIGN = re.compile("[가-힣｡-ﾟ{}]|[{}][{}]|[{}][^\n]{{0,4}}[{}]".format(*map(re.escape, (
     _chars("cp950", _HIGHEST, _TAILS), _chars("gb18030", _HIGHEST, _TAILS), _chars("gb18030", _TAILS, _HIGHEST), *["".join(sorted(_RARE_950))] * 2,
 ))))
@@ -103,11 +106,7 @@ def _is_word(part: str) -> bool:
 
 def without_suspects(text: str) -> str:
     """The text with line breaks for the stretches that look like another encoding's bytes by their form alone."""
-    found = []
-    if _STRANGE.search(text):
-        for page in SINGLE:
-            for looks in _page(page)[1].values():
-                found += [m.span() for m in looks.finditer(text) if _STRANGE.search(m.group()) and not _is_word(m.group())]
+    found = odd_runs(text)
     if _FOREIGN.search(text):
         whole = [(0, len(text))]
         for page in DOUBLE:
@@ -156,11 +155,10 @@ def _double_stretches(text: str, page: str, written: str, spans: list[tuple[int,
     return found
 
 
-def _gains(text: str, page: str, written: str, language: Language, own: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
+def _gains(text: str, stretches: list[tuple[int, int, str]], written: str, single: bool, language: Language, own: np.ndarray) -> list[tuple[int, int, str, float]]:
     """Stretches that the language finds likelier deciphered, with the difference in nats."""
     kept = []
-    single = page in SINGLE
-    for start, end, said in _single_stretches(text, page, written) if single else _double_stretches(text, page, written, spans):
+    for start, end, said in stretches:
         before, after = text[start - 1 : start] or "\n", text[end : end + 1]
         best = None
         for depth in (1, 2):
@@ -168,7 +166,7 @@ def _gains(text: str, page: str, written: str, language: Language, own: np.ndarr
             each = language.log_pair(line[:-1], line[1:])
             if said.strip("�") and (best is None or each.mean() > best[0]):
                 best = (float(each.mean()), said, len(each))
-            again = _single_stretches(said, "cp1252", "utf-8") if depth == 1 and page in ("latin-1", "cp1252") and written == "utf-8" else []
+            again = _single_stretches(said, _known("cp1252"), "utf-8") if depth == 1 and single and written == "utf-8" else []
             if not again:
                 break
             for a, b, deeper in reversed(again):  # garbled twice
@@ -182,9 +180,15 @@ def _gains(text: str, page: str, written: str, language: Language, own: np.ndarr
     return kept
 
 
-def _rare_spans(own: np.ndarray) -> list[tuple[int, int]]:
+def _put(text: str, kept: list[tuple[int, int, str, float]]) -> str:
+    for start, end, said, _ in reversed(kept):
+        text = text[:start] + said + text[end:]
+    return text
+
+
+def _rare_spans(own: np.ndarray, rare: float) -> list[tuple[int, int]]:
     """Stretches of text around runs of rare pairs."""
-    usual = np.flatnonzero(np.concatenate(([True], own >= RARE, [True])))
+    usual = np.flatnonzero(np.concatenate(([True], own >= rare, [True])))
     long = np.flatnonzero(np.diff(usual) > RARE_RUN)
     spans: list[tuple[int, int]] = []
     for k in long:
@@ -196,60 +200,177 @@ def _rare_spans(own: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def decipherings(records: DataFrame, language: Language) -> DataFrame:
-    """A row for each record and swap that makes it likelier, and one without swap for each record with lost bytes."""
-    shared = records.sparkSession.sparkContext.broadcast(language)  # two tables of fixed size
+def _explained(texts: list[str], models: dict[str, ByteModel]) -> list[tuple[str, str, str]]:
+    """Of each text the swap whose bytes explain its odd runs best, these runs, and the runs that it doesn't explain."""
+    names, tables = pages()
+    owner, runs, scores = [], [], []
+    for pattern, encodings in ((_RUN, CIPHERS[:3]), (_MIXED, CIPHERS[3:])):
+        own, mine = [], []
+        for k, text in enumerate(texts):
+            for start, end in odd_runs(text, pattern):
+                own.append(k)
+                mine.append(text[start:end])
+        owner.append(np.array(own, dtype=int))
+        runs.append(mine)
+        sums = np.zeros((len(encodings) * len(names), len(mine)), dtype=np.float32)
+        for first in range(0, len(mine), 2000):  # so that a few MB are worked on at once
+            part = mine[first : first + 2000]
+            codes = np.minimum(codes_of("".join(part)), 0xFFFF)
+            ends = np.cumsum([len(r) for r in part])
+            starts = np.concatenate(([0], ends[:-1])) - np.arange(len(part))
+            inside = np.ones(len(codes) - 1, dtype=bool)
+            inside[ends[:-1] - 1] = False
+            for p, table in enumerate(tables):
+                bytes_ = np.where(codes < 128, codes, table[codes]).astype(np.int64)
+                place = (bytes_[:-1] * 256 + bytes_[1:])[inside]
+                for e, encoding in enumerate(encodings):
+                    sums[e * len(names) + p, first : first + len(part)] = np.add.reduceat(models[encoding].plain.ravel()[place] - EXPLAINED, starts)
+        scores.append(sums)
+    swaps = [f"{w}>{n}" for w in CIPHERS for n in names]
+    whole = np.zeros((len(swaps), len(texts)))
+    first = len(scores[0])
+    for rows, own, sums in ((slice(0, first), owner[0], scores[0]), (slice(first, None), owner[1], scores[1])):
+        for r, line in zip(whole[rows], np.maximum(sums, 0), strict=True):
+            r += np.bincount(own, line, minlength=len(texts))
+    best = whole.argmax(axis=0)
+    out = [[swaps[b] if whole[b, k] >= LEAST_EXPLAINED else "", [], []] for k, b in enumerate(best)]
+    for kind in (0, 1):
+        for n, k in enumerate(owner[kind]):
+            b = best[k]
+            mixed = int(b >= first)
+            if out[k][0] and mixed == kind and scores[kind][b - mixed * first, n] > 0:
+                out[k][1].append(runs[kind][n])
+            elif kind == 0 and not (out[k][0] and mixed):
+                out[k][2].append(runs[kind][n])
+    return [(swap, "\n".join(good), "\n".join(rest)) for swap, good, rest in out]
+
+
+def looked_at(records: DataFrame, language: Language) -> DataFrame:
+    """A row for each record and swap of two-byte pages that makes it likelier, one without swap for each record with
+    lost bytes, and one with stretches -1 for each record with odd runs: its text, the runs a page explains, the rest."""
+    shared = records.sparkSession.sparkContext.broadcast(language)  # tables of fixed size
+    columns = [c.split()[0] for c in LOOKED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        rare = model.rare(RARE_SHARE)
+        bytes_ = {w: byte_model(model, w) for w in CIPHERS}
         for batch in batches:
-            rows = []
+            rows, odd = [], []
             texts = batch["text"].tolist()
             scores, at = model.log_pairs("\n".join(texts)), 0
             for rec, source, text in zip(batch["rec_id"], batch["source"], texts, strict=True):
                 own = scores[at : at + len(text)]
                 at += len(text) + 1
                 if _LOST.search(text):
-                    rows.append((rec, source, "", 0.0, 0, None))
-                spans, odd = _rare_spans(own), _ODD.search(text)
-                for page, written in SWAPS:
-                    if not (odd if page in SINGLE else spans):
-                        continue
-                    kept = _gains(text, page, written, model, own, spans)
+                    rows.append((rec, source, "", 0.0, 0, None, None, None))
+                spans = _rare_spans(own, rare)
+                for page, written in DOUBLE_SWAPS if spans else ():
+                    kept = _gains(text, _double_stretches(text, page, written, spans), written, False, model, own)
                     gain = sum(k[3] for k in kept)
-                    if gain < LEAST_GAIN:
-                        continue
-                    whole = text
-                    for a, b, said, _ in reversed(kept):
-                        whole = whole[:a] + said + whole[b:]
-                    rows.append((rec, source, f"{written}>{page}", gain, len(kept), whole))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
+                    if gain >= LEAST_GAIN:
+                        rows.append((rec, source, f"{written}>{page}", gain, len(kept), _put(text, kept), None, None))
+                if odd_runs(text):
+                    odd.append((rec, source, text))
+            if odd:
+                for (rec, source, text), (swap, good, rest) in zip(odd, _explained([o[2] for o in odd], bytes_), strict=True):
+                    rows.append((rec, source, swap, 0.0, -1, text, good, rest))
+            yield pd.DataFrame(rows, columns=columns)
 
     texts = records.select("rec_id", F.coalesce("book_id", F.lit("")).alias("source"), "text").where(F.length("text") >= 1)
-    return spread(texts, "rec_id").mapInPandas(run, FOUND)
+    return spread(texts, "rec_id").mapInPandas(run, LOOKED)
+
+
+def learnt_tables(suspects: DataFrame, language: Language) -> DataFrame:
+    """source, swap, chars and bytes: the table that each source's runs give for each swap, and for what no page explains.
+
+    The runs' pairs of characters are counted first, so that a group has at most as many rows as there are different
+    pairs, however many records its source has.
+    """
+    shared = suspects.sparkSession.sparkContext.broadcast(language)  # tables of fixed size
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (source, swap), part in batch.groupby(["source", "swap"]):
+                codes = codes_of("\n".join(part["runs"])).astype(np.int64)
+                place = (codes[:-1] << 21 | codes[1:])[(codes[:-1] != 10) & (codes[1:] != 10)]
+                pair, n = np.unique(place, return_counts=True)
+                yield pd.DataFrame({"source": source, "swap": swap, "pair": pair, "n": n.astype(np.int64)})
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        source, swap = group["source"].iloc[0], group["swap"].iloc[0]
+        model, rows = shared.value, []
+        first, second = group["pair"].to_numpy() >> 21, group["pair"].to_numpy() & 0x1FFFFF
+        chars, at = np.unique(np.concatenate((first, second)), return_inverse=True)
+        counts = np.zeros((len(chars), len(chars)))
+        counts[at[: len(first)], at[len(first) :]] = group["n"]
+        if swap:
+            names, tables = pages()
+            written, page = swap.split(">")
+            known = np.where(chars < 128, chars, tables[names.index(page)][np.minimum(chars, 0xFFFF)])
+            rows.append((swap, byte_model(model, written).learn(chars, counts, known)[0]))
+        elif counts.sum() >= FREE_PAIRS:
+            got = [(*byte_model(model, w).learn(chars, counts, None), f"{w}>learnt") for w in CIPHERS]
+            rows += [(name, table) for table, mean, name in got if mean >= EXPLAINED]
+        text = "".join(map(chr, chars))
+        return pd.DataFrame([(source, name, text, bytes(table.astype(np.uint8))) for name, table in rows], columns=["source", "swap", "chars", "bytes"])
+
+    both = suspects.select("source", F.explode(F.array(F.struct("swap", F.col("cipher").alias("runs")), F.struct(F.lit("").alias("swap"), F.col("rest").alias("runs")))).alias("x"))
+    runs = both.select("source", "x.swap", "x.runs").where("runs <> ''")
+    pairs = runs.mapInPandas(count, "source string, swap string, pair long, n long").groupBy("source", "swap", "pair").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("source", "swap").applyInPandas(fit, "source string, swap string, chars string, bytes binary")
+
+
+def decipherings(suspects: DataFrame, tables: DataFrame, language: Language) -> DataFrame:
+    """A row for each record with odd runs and each of its source's tables that makes it likelier."""
+    shared = suspects.sparkSession.sparkContext.broadcast(language)  # tables of fixed size
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, tables = shared.value, {}
+        for batch in batches:
+            rows = []
+            for rec, source, text, learnt in zip(batch["rec_id"], batch["source"], batch["text"], batch["tables"], strict=True):
+                own = model.log_pairs(text)
+                for swap, chars, values in ((t["swap"], t["chars"], bytes(t["bytes"])) for t in learnt):
+                    if (chars, values) not in tables:
+                        if len(tables) > 1000:
+                            tables.clear()
+                        tables[chars, values] = {ord(c): b for c, b in zip(chars, values, strict=True) if b}
+                    written = swap.split(">")[0].removesuffix(TWICE)
+                    kept = _gains(text, _single_stretches(text, tables[chars, values], written), written, True, model, own)
+                    gain = sum(k[3] for k in kept)
+                    if gain >= LEAST_GAIN:
+                        rows.append((rec, source, swap, gain, len(kept), _put(text, kept)))
+            yield pd.DataFrame(rows, columns=columns)
+
+    each = tables.groupBy("source").agg(F.collect_list(F.struct("swap", "chars", "bytes")).alias("tables"))  # as many as there are swaps
+    return suspects.select("rec_id", "source", "text").join(each, "source").mapInPandas(run, FOUND)
 
 
 def _learn_swaps(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Each found row with the probability of its swap, learnt by expectation-maximization for each source."""
+    """Each found row with the probability of its swap against the others and against none, learnt for each source."""
     rows = found.where("swap != ''").select("rec_id", "source", "swap", "gain")
+    none = rows.select("rec_id", "source").distinct().select("rec_id", "source", F.lit("none").alias("swap"), F.lit(0.0).alias("gain"))
+    rows = rows.unionByName(none)
     top = rows.groupBy("rec_id").agg(F.max("gain").alias("top"))
-    rows = rows.join(top, "rec_id").select("rec_id", "source", "swap", F.exp(F.col("gain") - F.col("top")).alias("likelihood"))
-    overall = rows.groupBy("swap").agg(F.sum("likelihood").alias("w"))
-    share = overall.crossJoin(F.broadcast(overall.agg(F.sum("w").alias("all")))).select("swap", (F.col("w") / F.col("all")).alias("prior"))  # as many rows as there are swaps
-    weights = rows.select("source", "swap").distinct().join(share, "swap").select("source", "swap", F.col("prior").alias("weight"), "prior")
+    rows = rows.join(top, "rec_id").select("rec_id", "source", "swap", F.exp(F.col("gain") - F.col("top")).alias("joint"))
     for step in range(rounds):
-        joint = rows.join(weights, ["source", "swap"]).withColumn("joint", F.col("likelihood") * F.col("weight"))
-        whole = joint.groupBy("rec_id").agg(F.sum("joint").alias("evidence"))
-        posterior = joint.join(whole, "rec_id").withColumn("posterior", F.col("joint") / F.col("evidence"))
-        if step == rounds - 1:
-            return posterior.select("rec_id", "swap", "posterior")
-        weights = posterior.groupBy("source", "swap", "prior").agg((F.sum("posterior") + F.col("prior")).alias("weight"))
-        weights = cut_lineage(weights.select("source", "swap", "weight", "prior"))
-    return posterior
+        whole = rows.groupBy("rec_id").agg(F.sum("joint").alias("evidence"))
+        rows = rows.join(whole, "rec_id").withColumn("posterior", F.col("joint") / F.col("evidence")).drop("evidence")
+        if step < rounds - 1:
+            weights = rows.groupBy("source", "swap").agg((F.sum("posterior") + 0.1).alias("weight"))
+            rows = rows.join(weights, ["source", "swap"]).select("rec_id", "source", "swap", (F.col("joint") * F.col("weight")).alias("joint"))
+    return rows.where("swap != 'none'").select("rec_id", "swap", "posterior")
 
 
 def _found(records: DataFrame) -> DataFrame:
-    return cut_lineage(decipherings(records, learn(records, changed=without_suspects)))
+    language = learn(records, changed=without_suspects, encodings=WRITTEN)
+    looked = cut_lineage(looked_at(records, language))
+    suspects = looked.where("stretches = -1").select("rec_id", "source", "swap", F.col("restored").alias("text"), "cipher", "rest")
+    tables = cut_lineage(learnt_tables(suspects, language))
+    known = looked.where("stretches >= 0").select(*[c.split()[0] for c in FOUND.split(", ")])
+    return cut_lineage(known.unionByName(decipherings(suspects, tables, language)))
 
 
 def restored(records: DataFrame) -> DataFrame:
@@ -259,7 +380,7 @@ def restored(records: DataFrame) -> DataFrame:
     own. lost says that characters are missing for good; text then holds what could be restored, or the text as it is.
     """
     found = _found(records)
-    best = _learn_swaps(found).groupBy("rec_id").agg(F.max_by("swap", F.struct("posterior", "swap")).alias("swap"))
+    best = _learn_swaps(found).groupBy("rec_id").agg(F.max_by("swap", F.struct("posterior", "swap")).alias("swap"), F.sum("posterior").alias("sum")).where("sum >= 0.5").drop("sum")
     texts = best.join(found.select("rec_id", "swap", "restored"), ["rec_id", "swap"])
     gone = found.where("swap = ''").select("rec_id", F.lit(True).alias("lost")).distinct()
     marked = texts.join(gone, "rec_id", "full")
@@ -269,7 +390,7 @@ def restored(records: DataFrame) -> DataFrame:
 
 def p6_found(spark, folder: str) -> DataFrame:
     found = _found(spark.read.parquet(f"{folder}/metadata.parquet"))
-    likely = _learn_swaps(found).where("posterior >= 0.05").select("rec_id")
+    likely = _learn_swaps(found).groupBy("rec_id").agg(F.sum("posterior").alias("posterior")).where("posterior >= 0.5").select("rec_id")
     return likely.unionByName(found.where("swap = ''").select("rec_id")).distinct()
 
 
