@@ -16,7 +16,7 @@ import numpy as np
 from quillspark.llm.language import Language, ends_of
 
 #: Weight of a known page against what is seen, rounds from a known page, random beginnings, their rounds, rounds of the best.
-PRIOR, ROUNDS, BEGINNINGS, FIRST_ROUNDS, LAST_ROUNDS = 3.0, 6, 10, 40, 80
+PRIOR, ROUNDS, BEGINNINGS, FIRST_ROUNDS, LAST_ROUNDS = 3.0, 3, 10, 40, 80
 #: Log probability of a pair with a character that the page doesn't have.
 OFF_PAGE = -16.0
 
@@ -84,7 +84,8 @@ class ByteModel:
         np.add.at(self.pairs, (source, target), weight)
         self.pairs /= max(1.0, self.pairs.sum())
         self.pairs = 0.999 * self.pairs + 0.001 * np.outer(self.pairs.sum(axis=1), self.pairs.sum(axis=0))
-        self.of_byte = np.zeros((256, len(self.byte)))
+        self.pairs = self.pairs.astype(np.float32)
+        self.of_byte = np.zeros((256, len(self.byte)), dtype=np.float32)
         self.of_byte[self.byte, np.arange(len(self.byte))] = 1
         plain = self.of_byte @ self.pairs @ self.of_byte.T
         self.plain = np.log(np.maximum(plain, np.exp(OFF_PAGE))).astype(np.float32)
@@ -124,14 +125,15 @@ class ByteModel:
         return self._maximize(best[2], counts, allowed, prior, LAST_ROUNDS)[:2]
 
     def _maximize(self, start: np.ndarray, counts: np.ndarray, allowed: np.ndarray, prior: np.ndarray, rounds: int) -> tuple[np.ndarray, float, np.ndarray]:
-        table = start / np.maximum(start.sum(axis=1, keepdims=True), 1e-300)
+        table = (start / np.maximum(start.sum(axis=1, keepdims=True), 1e-30)).astype(np.float32)
+        counts, prior = counts.astype(np.float32), (prior + 1e-3 * allowed).astype(np.float32)
         for _ in range(rounds):
             emitted = table[self.byte]
-            likely = np.maximum(emitted.T @ self.pairs @ emitted, 1e-300)
+            after = self.pairs @ emitted
+            likely = np.maximum(emitted.T @ after, 1e-30)
             ratio = counts / likely
-            expected = self.of_byte @ (emitted * (self.pairs @ (emitted @ ratio.T) + self.pairs.T @ (emitted @ ratio)))
-            expected = expected + prior + 1e-3 * allowed
-            table = expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-300)
+            expected = self.of_byte @ (emitted * (after @ ratio.T + self.pairs.T @ (emitted @ ratio))) + prior
+            table = expected / np.maximum(expected.sum(axis=1, keepdims=True), 1e-30)
         mean = float((counts * np.log(likely)).sum() / max(1.0, counts.sum()))
         return expected.argmax(axis=0), mean, table
 

@@ -36,8 +36,8 @@ def _single_place(codes: np.ndarray) -> np.ndarray:
 class Language:
     """Probability of a character after another; counts of all digits are shared among the digits."""
 
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray, words: np.ndarray, joints: dict[str, np.ndarray] | None = None):
-        self.pairs, self.singles, self.words, self.joints = pairs, singles, words, joints or {}
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, words: np.ndarray, joints: dict[str, np.ndarray] | None = None, followers: np.ndarray | None = None):
+        self.pairs, self.singles, self.words, self.joints, self.followers = pairs, singles, words, joints or {}, followers
         self.total = max(1.0, float(singles.sum()))
 
     def rare(self, share: float) -> float:
@@ -78,10 +78,14 @@ def word_place(word: str) -> int:
     return crc32(word.encode("utf-8", "surrogatepass")) >> (32 - WORD_BITS)
 
 
+def follower_place(before: str, word: str) -> int:
+    return crc32(f"{before} {word}".encode("utf-8", "surrogatepass")) >> (32 - PAIR_BITS)
+
+
 def learn(texts: DataFrame, column: str = "text", words: bool = False, changed: Callable[[str], str] | None = None, encodings: tuple[str, ...] = ()) -> Language:
     """Counts over every row; the driver gets no more rows than the tables have places, whatever the input.
 
-    With ``words`` a third table counts the words of ASCII letters; ``changed`` gives what is counted of a text. For each
+    With ``words`` two more tables count the words of ASCII letters and which follows which; ``changed`` gives what is counted of a text. For each
     of the encodings a table counts which byte begins a character after which byte ended the one before.
     """
 
@@ -89,6 +93,7 @@ def learn(texts: DataFrame, column: str = "text", words: bool = False, changed:
         pairs, singles = np.zeros(1 << PAIR_BITS, dtype=np.int64), np.zeros(1 << SINGLE_BITS, dtype=np.int64)
         joints = [np.zeros(1 << 16, dtype=np.int64) for _ in encodings]
         seen: Counter[str] = Counter()
+        following: Counter[tuple[str, str]] = Counter()
         for batch in batches:
             values = batch[column].tolist()
             if changed:
@@ -104,11 +109,16 @@ def learn(texts: DataFrame, column: str = "text", words: bool = False, changed:
                     both = (before > 0) & (after > 0)
                     joint += np.bincount(before[both] * 256 + after[both], minlength=len(joint))
                 if words:
-                    seen.update(_WORD.findall("\n".join(values[start : start + 500])))
+                    found = _WORD.findall("\n".join(values[start : start + 500]))
+                    seen.update(found)
+                    following.update(zip(found, found[1:]))
         spelled = np.zeros(1 << WORD_BITS, dtype=np.int64)
         for word, n in seen.items():
             spelled[word_place(word)] += n
-        for kind, table in enumerate([pairs, singles, spelled, *joints]):
+        next_to = np.zeros(1 << PAIR_BITS, dtype=np.int64)
+        for (before, word), n in following.items():
+            next_to[follower_place(before, word)] += n
+        for kind, table in enumerate([pairs, singles, spelled, next_to, *joints]):
             place = np.flatnonzero(table)
             yield pd.DataFrame({"kind": np.full(len(place), kind, dtype=np.int32), "place": place, "n": table[place]})
 
@@ -119,9 +129,11 @@ def learn(texts: DataFrame, column: str = "text", words: bool = False, changed:
     pairs[place[kind == 0]], singles[place[kind == 1]] = n[kind == 0], n[kind == 1]
     spelled = np.zeros(1 << WORD_BITS, dtype=np.float32)
     spelled[place[kind == 2]] = n[kind == 2]
+    followers = np.zeros(1 << PAIR_BITS, dtype=np.float32)
+    followers[place[kind == 3]] = n[kind == 3]
     between = {}
-    for no, encoding in enumerate(encodings, 3):
+    for no, encoding in enumerate(encodings, 4):
         joint = np.zeros(1 << 16)
         joint[place[kind == no]] = n[kind == no]
         between[encoding] = joint.reshape(256, 256)
-    return Language(pairs, singles, spelled, between)
+    return Language(pairs, singles, spelled, between, followers)

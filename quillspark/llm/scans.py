@@ -1,14 +1,18 @@
 """Problem 5: marks of scanned pages in texts, and their repair into continuous paragraphs.
 
-Method: a noisy channel. A misread character or word costs the (log) probability of the misreading, and what it is
-taken for gains what the corpus's character pairs and words make it likelier; the best sequence of candidates of a
-line is found by Viterbi. Line breaks are candidates too: a break is repaired where the line was full and the corpus
-likes the two characters better together. Headings and page numbers are lines of their own.
+Method: a noisy channel. What is misread as what, and how often, is learnt from the corpus (channel.py): characters by
+expectation-maximization over places that are unlikely on both sides, letters over rare words that a small change
+makes frequent ones. A line is decoded by Viterbi over its characters and over its words: each may stand for what it
+is misread for, at the cost of the misreading's probability, and the best sequence by the corpus's character pairs and
+word pairs counts. A place with one reading only parts the sequence, so that only what lies between is searched.
+Line breaks are candidates too: a break is repaired where the line was full and the corpus likes the two characters
+better together. Headings and page numbers are lines of their own.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,21 +20,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.language import Language, codes_of, learn, same_digits, word_place
+from quillspark.llm import channel
+from quillspark.llm.encodings import without_suspects
+from quillspark.llm.language import Language, codes_of, follower_place, learn, same_digits, word_place
 from quillspark.session import spread
 
-#: What is printed, and what it is misread as.
-MISREAD = {"的": "旳", "了": "孑", "天": "夭", "白": "自", "口": "囗", "水": "永", "石": "右", "人": "入", "日": "曰", "一": "—", "问": "间", "风": "凤", "心": "必", "。": "o", "，": "‚", "己": "已", "大": "犬", "土": "士", "未": "末", "刀": "力", "千": "干", "木": "本"}
-LETTERS = {"m": ("rn", "ni"), "rn": ("m",), "d": ("cl", "c1"), "h": ("b", "li"), "w": ("vv",), "l": ("1", "I"), "o": ("0",), "O": ("0",), "e": ("c",), "c": ("e",), "n": ("u",), "u": ("n",), "I": ("l", "1"), "S": ("5",), "B": ("8",), "rm": ("tm",), "i": ("1",)}
-READ_AS = {wrong: right for right, wrong in MISREAD.items()}
-#: Log probability of a misreading; how much likelier a reading must be; a break against the pairs it makes.
-MISREADING, LEAST, BREAK = -3.5, 2.0, 1.0
+#: How much likelier (in nats) another reading of a character or a word must be; a break against the pairs it makes.
+LEAST, BREAK = 0.5, 1.0
+#: Log share of scanned texts. Misreadings happen in these only, so that they are as much likelier there, and a text
+#: without another mark of a scan pays this once.
+SCANNED = -3.9
 _NOT_WORDS = 1e-8
+#: A run of more letters isn't a word of any language.
+LONGEST_WORD = 64
 
 _NUMERAL = "0-9０-９一二三四五六七八九十百千零〇○两"
 _EDGE = r"[\s\-—–·~～\[\]()（）|/.●•*=]*"
+_EDGES = " \t\r\v\f\u3000-—–·~～[]()（）|/.●•*="
 _PAGE = re.compile(rf"^{_EDGE}(?:第\s*[{_NUMERAL} ]+\s*页|[Pp]age\s*\d{{1,5}}|PAGE\s*\d{{1,5}}|[PpＰｐ]\.?\s*\d{{1,5}}|\d{{1,4}}(?:\s*/\s*\d{{1,4}})?){_EDGE}$")
-_TRAILING_PAGE = re.compile(rf"{_EDGE}(?:第[{_NUMERAL}]+页|[Pp]age\d{{1,5}}|PAGE\d{{1,5}}|[PpＰｐ]\.?\d{{1,5}}|\d{{1,5}}){_EDGE}$")
+_TRAILING_PAGE = re.compile(rf"(?:第[{_NUMERAL}]+页|[Pp]age\d{{1,5}}|PAGE\d{{1,5}}|[PpＰｐ]\.?\d{{1,5}}|\d{{1,5}})$")
 _HAN = r"㐀-鿿"
 _STRAY = re.compile(rf"(?<=[{_HAN}，。：“”A-Za-z])[`^~|¦□■](?=[{_HAN}，。：“”A-Za-z])|(?<=[{_HAN}，。])['·](?=[{_HAN}，。])|(?<=[a-z])[·](?=[a-z])")
 _GAP = re.compile(rf"(?<=[{_HAN}，。]) +(?=[{_HAN}，。])")
@@ -42,108 +50,143 @@ REPAIRED = "rec_id long, marks int, text string"
 
 
 class Reader:
-    """Repairs texts by one corpus's statistics; remembers the words it has decided."""
+    """Repairs texts by one corpus's statistics; remembers the candidates of the words it has met."""
 
-    def __init__(self, language: Language):
+    def __init__(self, language: Language, characters: list[tuple[str, str, float]], letters: list[tuple[str, str, float]]):
         self.language = language
-        self.known: dict[str, str] = {}
+        self.known: dict[str, list[tuple[str, float]]] = {}
         self.word_total = max(1.0, float(language.words.sum()))
-        self.suspects = np.array(sorted(ord(c) for c in READ_AS), dtype=np.uint32)
-        self.taken_for = {ord(wrong): ord(right) for wrong, right in READ_AS.items()}
+        self.readings: dict[int, list[tuple[int, float]]] = {}
+        for wrong, right, p in characters:
+            self.readings.setdefault(ord(wrong), []).append((ord(right), p - SCANNED))
+        flat = [(ord(wrong), ord(right), p) for wrong, right, p in characters]
+        self.suspects = np.array(sorted(self.readings), dtype=np.uint32)
+        self.wrong, self.right = (np.array([f[i] for f in flat], dtype=np.uint32) for i in (0, 1))
+        self.cost = np.array([f[2] for f in flat], dtype=np.float32) - SCANNED
+        self.letters: dict[str, list[tuple[str, float]]] = {}
+        for wrong, right, p in letters:
+            self.letters.setdefault(wrong, []).append((right, p - SCANNED))
 
     def _word(self, word: str) -> float:
         return float(np.log(self.language.words[word_place(word)] / self.word_total + _NOT_WORDS))
 
-    def word(self, word: str) -> str:
-        """The likeliest reading of one word, of all with up to two misread places."""
+    def _follows(self, before: str | None, word: str) -> float:
+        """Log probability of a word after another."""
+        alone = float(self.language.words[word_place(word)]) / self.word_total
+        if before is None:
+            return float(np.log(alone + _NOT_WORDS))
+        both = float(self.language.followers[follower_place(before, word)]) / max(1.0, float(self.language.words[word_place(before)]))
+        return float(np.log(0.5 * min(1.0, both) + 0.5 * alone + _NOT_WORDS))
+
+    def candidates(self, word: str) -> list[tuple[str, float]]:
+        """The word and what it may be misread for at up to two places, with the costs."""
         if word in self.known:
             return self.known[word]
-        best, most = word, self._word(word) if word.isalpha() else np.log(_NOT_WORDS)
-        own, first = most, {word}
-        for edits in (1, 2):
-            following = set()
-            for base in first:
-                for right, wrongs in LETTERS.items():
-                    for wrong in wrongs:
-                        at = base.find(wrong)
-                        while at >= 0:
-                            following.add(base[:at] + right + base[at + len(wrong) :])
-                            at = base.find(wrong, at + 1)
-            for candidate in following:
-                if candidate.isalpha():
-                    score = self._word(candidate) + edits * MISREADING
-                    if score > most + 1e-9 and score > own + LEAST:
-                        best, most = candidate, score
-            if len(word) > 20 or len(following) > 400:
-                break
+        costs, own = {word: 0.0}, self._word(word) if word.isalpha() else np.log(_NOT_WORDS)
+        first = {word: 0.0} if len(word) <= LONGEST_WORD else {}
+        for _ in (1, 2):
+            following: dict[str, float] = {}
+            for base, paid in first.items():
+                for size in (1, 2):
+                    for at in range(len(base) - size + 1):
+                        for right, p in self.letters.get(base[at : at + size], ()):
+                            changed = base[:at] + right + base[at + size :]
+                            if paid + p > following.get(changed, -np.inf):
+                                following[changed] = paid + p
+            for changed, cost in following.items():
+                # A word that is rarer by more than the context can make good is no candidate.
+                if changed.isalpha() and changed not in costs and self._word(changed) + cost > own - 2:
+                    costs[changed] = cost
             first = following
         if len(self.known) < 500_000:
-            self.known[word] = best
-        return best
+            self.known[word] = list(costs.items())
+        return list(costs.items())
+
+    def words(self, line: str) -> tuple[str, int, float]:
+        """The line's words in their likeliest sequence, how many were misread, and by how much that is likelier."""
+        found = list(_WORDS.finditer(line))
+        options = [self.candidates(m.group()) for m in found]
+        if all(len(o) == 1 for o in options):
+            return line, 0, 0.0
+        states: dict[str | None, tuple[float, tuple]] = {None: (0.0, ())}
+        for match, choice in zip(found, options, strict=True):
+            following = {}
+            for word, cost in choice:
+                price = cost - (LEAST if word != match.group() else 0.0)
+                score, way = max(((s + self._follows(last, word) + price, w) for last, (s, w) in states.items()), key=lambda x: x[0])
+                following[word] = (score, (way, word))
+            states = following
+        score, way = max(states.values(), key=lambda x: x[0])
+        own = sum(self._follows(last, word) for last, word in zip([None, *(m.group() for m in found)], (m.group() for m in found)))
+        path = []
+        while way:
+            way, word = way
+            path.append(word)
+        changed = 0
+        for match, word in zip(reversed(found), path, strict=True):
+            if word != match.group():
+                line, changed = line[: match.start()] + word + line[match.end() :], changed + 1
+        return line, changed, score - own
+
+    def _fixed(self, codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Places that are read as they are: dashes side by side, letters that don't stand between ideographs, signs beside none."""
+        before, own, after = codes[places - 1], codes[places], codes[places + 1]
+        dash = (own == 0x2014) & ((before == 0x2014) | (after == 0x2014))
+        latin = (own < 128) & ((before < 0x2E80) | ((after < 0x2E80) & (after != 10) & (after != 0x201D)))
+        return dash | latin | ~(channel.is_han(own) | channel.is_han(before) | channel.is_han(after))
 
     def suspect_places(self, codes: np.ndarray) -> np.ndarray:
-        """Places of characters that are likelier misread, looked at one by one between what stands beside them."""
+        """Places that have another reading, and are likelier misread or stand beside another such place."""
         places = np.flatnonzero(np.isin(codes, self.suspects))
         places = places[(places > 0) & (places < len(codes) - 1)]
+        places = places[~self._fixed(codes, places)] if places.size else places
         if not places.size:
             return places
-        before, own, after = codes[places - 1], codes[places], codes[places + 1]
-        dash = (own == 0x2014) & ((before == 0x2014) | (after == 0x2014))
-        latin = (own < 128) & ((before < 0x2E80) | ((after < 0x2E80) & (after != 10) & (after != 0x201D)))
-        right = np.array([self.taken_for[int(c)] for c in own], dtype=np.uint32)
+        low, high = np.searchsorted(self.wrong, codes[places]), np.searchsorted(self.wrong, codes[places], "right")
+        each = np.repeat(np.arange(len(places)), high - low)
+        option = np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[each]
+        before, own, after, right = codes[places - 1][each], codes[places][each], codes[places + 1][each], self.right[option]
         pair = self.language.log_pair
-        gain = pair(before, right) + pair(right, after) - pair(before, own) - pair(own, after) + MISREADING
-        return places[(gain > LEAST) & ~dash & ~latin]
-
-    def line(self, line: str) -> tuple[str, int]:
-        """The line in its likeliest reading, and the number of places that were misread."""
+        gain = pair(before, right) + pair(right, after) - pair(before, own) - pair(own, after) + self.cost[option]
+        likely = np.zeros(len(places), dtype=bool)
+        likely[each[gain > LEAST]] = True
+        near = np.diff(places) == 1
+        likely[:-1] |= near
+        likely[1:] |= near
+        return places[likely]
+
+    def line(self, line: str) -> tuple[str, int, float]:
+        """The line in its likeliest reading, the number of places that were misread, and by how much it is likelier."""
         codes = same_digits(codes_of("\n" + line + "\n"))
-        chars = list(line)
-        options = [(c, self.taken_for.get(int(c))) for c in codes]
-        allowed = set(self.suspect_places(codes).tolist())
-        changed = 0
-        at = 1
-        while at < len(codes) - 1:
-            if options[at][1] is None:
-                at += 1
-                continue
-            end = at  # neighbouring suspects are decided together
-            while end < len(codes) - 1 and options[end][1] is not None:
-                end += 1
-            if end - at == 1:
-                path = [options[at][1] if at in allowed else int(codes[at])]
-            else:
-                path = self._viterbi(codes, at, end, options)
-            for k, code in enumerate(path):
-                if code != codes[at + k]:
-                    chars[at + k - 1] = chr(code)
+        chars, changed, gain = list(line), 0, 0.0
+        places = self.suspect_places(codes)
+        for group in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1) if places.size else ():
+            path, more = self._viterbi(codes, int(group[0]), int(group[-1]) + 1)
+            gain += more
+            for place, code in zip(group, path, strict=True):
+                if code != codes[place]:
+                    chars[place - 1] = chr(code)
                     changed += 1
-            at = end
         fixed = "".join(chars)
+        if re.search("[A-Za-z]{2}", fixed):
+            fixed, words, more = self.words(fixed)
+            changed, gain = changed + words, gain + more
+        return fixed, changed, gain
 
-        def better(match: re.Match) -> str:
-            nonlocal changed
-            word = self.word(match.group())
-            changed += word != match.group()
-            return word
-
-        return (_WORDS.sub(better, fixed) if re.search("[A-Za-z]{2}", fixed) else fixed), changed
-
-    def _viterbi(self, codes: np.ndarray, start: int, end: int, options: list) -> list[int]:
+    def _viterbi(self, codes: np.ndarray, start: int, end: int) -> tuple[list[int], float]:
         pair = lambda a, b: float(self.language.log_pair(np.array([a], dtype=np.uint32), np.array([b], dtype=np.uint32))[0])
-        states = {int(codes[start - 1]): (0.0, [])}
+        states: dict[int, tuple[float, list[int]]] = {int(codes[start - 1]): (0.0, [])}
         for place in range(start, end):
-            own, other = int(codes[place]), options[place][1]
-            dash = own == 0x2014 and 0x2014 in (int(codes[place - 1]), int(codes[place + 1]))
+            own = int(codes[place])
             following = {}
-            for code, cost in ((own, 0.0), (int(other), MISREADING - LEAST / 2)):
-                if code == own or not (dash or own < 128):
-                    following[code] = max((score + pair(last, code) + cost, way + [code]) for last, (score, way) in states.items())
+            for code, cost in ((own, 0.0), *((right, p - LEAST) for right, p in self.readings[own])):
+                following[code] = max((score + pair(last, code) + cost, way + [code]) for last, (score, way) in states.items())
             states = following
-        return max((score + pair(last, int(codes[end])), way) for last, (score, way) in states.items())[1]
+        score, path = max((score + pair(last, int(codes[end])), way) for last, (score, way) in states.items())
+        return path, score - float(self.language.log_pair(codes[start - 1 : end], codes[start : end + 1]).sum())
 
     def words_misread(self, text: str) -> bool:
-        return any(self.word(w) != w for w in _WORDS.findall(text))
+        return any(self.words(line)[1] for line in text.split("\n"))
 
     def likes(self, last: str, first: str) -> float:
         """By how much the two characters are likelier together than with a line break between them."""
@@ -162,15 +205,15 @@ def _bare(text: str | None) -> str:
 
 def _kind(line: str, names: set[str]) -> int:
     """PAGE, HEADING, or 0 for a line of text."""
-    if len(line) > 120 or not line.strip():
+    if not line.strip():
         return 0
     if _PAGE.match(line):
         return PAGE
     bare = _bare(line)
     if bare in names:
         return HEADING
-    cut = _TRAILING_PAGE.sub("", bare)
-    return HEADING if cut and cut in names else 0
+    cut = _TRAILING_PAGE.sub("", bare.rstrip(_EDGES)).rstrip(_EDGES)
+    return HEADING if cut and cut != bare.rstrip(_EDGES) and cut in names else 0
 
 
 def _names(title: str | None, *chapters: str | None) -> set[str]:
@@ -225,8 +268,8 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True) ->
     if _STRAY.search(body):
         marks |= STRAY
     if screened:
-        fixed, changed = zip(*[reader.line(line) for line in kept], strict=True) if kept else ((), ())
-        if sum(changed):
+        fixed, changed, gains = zip(*[reader.line(line) for line in kept], strict=True) if kept else ((), (), ())
+        if sum(changed) and (marks or sum(gains) > -SCANNED):
             marks |= MISREADS
             kept = list(fixed)
     if not marks:
@@ -254,16 +297,36 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True) ->
     return marks, "\n".join(kept)
 
 
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen: Counter[str] = Counter()
+    for batch in batches:
+        for text in batch["text"]:
+            seen.update(_WORDS.findall(text))
+    yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+
+
+def learnt(records: DataFrame) -> tuple:
+    """The corpus's language (broadcast, tables of fixed size) and what is misread in it: wrong, right, log probability."""
+    language = records.sparkSession.sparkContext.broadcast(learn(records, words=True, changed=without_suspects))
+    places = channel.odd_places(records, language)
+    characters = channel.confusions(channel.character_candidates(places, language), {r: (w,) for r, w in channel.USUAL.items()})
+    texts = spread(records.select("rec_id", "text").where(F.col("text").rlike("[A-Za-z]{2}")).select("text"), "text")
+    words = texts.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    letters = channel.confusions(channel.word_candidates(words), channel.USUAL_LETTERS, channel.LEAST_LETTERS)
+    flat = lambda rows: list(rows[["wrong", "right", "p"]].sort_values(["wrong", "right"]).itertuples(index=False, name=None))
+    return language, flat(characters), flat(letters)
+
+
 def repaired(records: DataFrame) -> DataFrame:
     """rec_id, marks (a sum of 1 page, 2 heading, 4 broken lines, 8 misread, 16 stray signs, 32 gaps) and the repaired text of every record with marks.
 
     Needs rec_id, text, book_title, chapter and chapter_title. Records without marks, null and empty texts have no
     row. A repeated rec_id has its row each time.
     """
-    language = records.sparkSession.sparkContext.broadcast(learn(records, words=True))  # tables of fixed size
+    language, characters, letters = learnt(records)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(language.value)
+        reader = Reader(language.value, characters, letters)
         for batch in batches:
             texts = batch["text"].tolist()
             codes = same_digits(codes_of("\n" + "\n".join(texts) + "\n"))
