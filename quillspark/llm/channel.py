@@ -27,7 +27,8 @@ USUAL_LETTERS = {"m": ("rn", "ni"), "rn": ("m",), "d": ("cl", "c1"), "h": ("b",
 ODD_SHARE, LEAST_GAIN, NEAR_BEST, ROUNDS = 0.02, 6.0, 6.0, 4
 #: Probability of a misreading before anything is seen, times a pair has to be expected, different neighbours it has to have on either side, and the least count of a character that something is read for.
 FIRST, LEAST_SEEN, LEAST_BESIDE, LEAST_KNOWN = 1e-3, 4.0, 3, 20
-#: A misreading that is rarer can't be told from rare text.
+#: A misreading that is rarer can't be told from rare text, nor one that has a smaller share in what its sign is taken for.
+LEAST_SHARE = 0.15
 LEAST_PROBABILITY, LEAST_LETTERS = 2e-4, 2e-5
 #: How much more frequent the right word has to be, how often it has to occur, and nats by which a word is rarer than its one occurrence says.
 TIMES, LEAST_WORD, UNSEEN = 20, 20, 5.0
@@ -123,8 +124,8 @@ def word_candidates(words: DataFrame) -> DataFrame:
 def confusions(candidates: DataFrame, usual: dict[str, tuple[str, ...]], least: float = LEAST_PROBABILITY, rounds: int = ROUNDS) -> pd.DataFrame:
     """wrong, right and log probability of what is misread often; as many rows as there are such pairs.
 
-    Different places count, not how often each occurs, and what stands before and after has to vary: a phrase that is
-    repeated, or has a gap for a name, is no misreading.
+    Different places have to be many, and what stands before and after has to vary: a phrase that is repeated, or has a
+    gap for a name, is no misreading. Nor is it where a sign would stand for many others about as often, as in verse.
     """
     spark = candidates.sparkSession
     rows = cut_lineage(candidates)
@@ -135,10 +136,12 @@ def confusions(candidates: DataFrame, usual: dict[str, tuple[str, ...]], least:
         whole = own.groupBy("place").agg(F.sum("weight").alias("all"))
         share = own.join(whole, "place").withColumn("share", F.col("weight") / (1 + F.col("all")))
         beside = [F.count_distinct(F.when(F.col("share") >= 0.5, F.col(c))).alias(f"{c}s") for c in ("before", "after")] if step == rounds - 1 else []
-        counted = share.groupBy("wrong", "right").agg(F.sum("share").alias("seen"), F.max("total").alias("total"), *beside)
-        counted = counted.join(F.broadcast(listed), ["wrong", "right"], "left").select("wrong", "right", "seen", *[f"{c}s" for c in ("before", "after") if beside], (F.col("seen") + F.coalesce("listed", F.lit(0.0))).alias("n"), "total", F.col("listed").isNotNull().alias("listed"))
-        counted = counted.where(F.col("n") >= 0.5).withColumn("p", F.least(F.col("n") / F.greatest("total", F.col("n")), F.lit(0.5)))
+        counted = share.groupBy("wrong", "right").agg(F.sum("share").alias("seen"), F.sum(F.col("n") * F.col("share")).alias("times"), F.max("total").alias("total"), *beside)
+        counted = counted.join(F.broadcast(listed), ["wrong", "right"], "left").withColumn("prior", F.coalesce("listed", F.lit(0.0)))
+        counted = counted.where(F.col("seen") + F.col("prior") >= 0.5).withColumn("p", F.least((F.col("times") + F.col("prior")) / F.greatest("total", F.col("times") + F.col("prior")), F.lit(0.5)))
         if step < rounds - 1:
             weighed = rows.join(counted.select("wrong", "right", "p"), ["wrong", "right"])
-    often = (F.least("befores", "afters") >= LEAST_BESIDE) & (F.col("n") >= LEAST_SEEN) & (F.col("p") >= least)
-    return counted.where(often | F.col("listed")).select("wrong", "right", F.log("p").alias("p"), "seen").toPandas()  # pairs of signs only
+    whole = counted.groupBy("right").agg(F.sum("seen").alias("all"))
+    counted = counted.join(whole, "right")
+    often = (F.least("befores", "afters") >= LEAST_BESIDE) & (F.col("seen") >= LEAST_SEEN) & (F.col("p") >= least) & (F.col("seen") >= LEAST_SHARE * F.col("all"))
+    return counted.where(often | (F.col("prior") > 0)).select("wrong", "right", F.log("p").alias("p"), "seen").toPandas()  # pairs of signs only

@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import reduce
+from uuid import uuid4
 
 import pandas as pd
 import regex
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from quillspark.session import spread
 
 SHARED_CHARS, BLOCK = 40, 8
-#: Characters of passages that one slice holds at most, which bounds what each task loads.
-SLICE_CHARS = 4_000_000
+#: Characters of passages that one slice holds at most; its tables take about 330 bytes a character in each worker.
+SLICE_CHARS = 400_000
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
 
@@ -63,19 +64,30 @@ class Patterns:
         return found
 
 
-def _slices(items: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """The passages in lists of bounded size, read one partition at a time."""
-    slices, size = [[]], 0
+def _slices(items: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
+    """The passages in lists of bounded size; the driver reads one partition and holds one list at a time."""
+    own, size = [], 0
     for item, evidence in items.where(F.length("evidence") >= 1).select("item_id", "evidence").toLocalIterator():
         passage = letters_and_digits(evidence)
         if len(passage) < SHARED_CHARS or item is None:
             continue
-        if size + len(passage) > limit:
-            slices.append([])
-            size = 0
-        slices[-1].append((item, passage))
+        if own and size + len(passage) > limit:
+            yield own
+            own, size = [], 0
+        own.append((item, passage))
         size += len(passage)
-    return slices
+    yield own
+
+
+_tables: dict[str, Patterns] = {}
+
+
+def _patterns(name: str, passages) -> Patterns:
+    """The tables of a slice, made once in each worker, which holds those of one slice at a time."""
+    if name not in _tables:
+        _tables.clear()
+        _tables[name] = Patterns(passages.value)
+    return _tables[name]
 
 
 def leaked(documents: DataFrame, items: DataFrame, limit: int = SLICE_CHARS) -> DataFrame:
@@ -85,8 +97,10 @@ def leaked(documents: DataFrame, items: DataFrame, limit: int = SLICE_CHARS) ->
     """
 
     def search(passages):
+        shared, name = documents.sparkSession.sparkContext.broadcast(passages), uuid4().hex
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            patterns = Patterns(passages)
+            patterns = _patterns(name, shared)
             for batch in batches:
                 rows = [(doc, item) for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for item in patterns.items_in(letters_and_digits(text))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"])

@@ -15,12 +15,13 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import cut_lineage
+from quillspark.session import cut_lineage, spread
 
 #: Letters of other scripts and the Latin letters that look like them.
 CYRILLIC = ("АВЕЅІЈКМНОРСТУХЗаеіјорсухѕԁһԛԝѵ", "ABESIJKMHOPCTYX3aeijopcyxsdhqwv")
-GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲ", "ABEZHIKMNOPTYXovc")
+GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονϲαικρυ", "ABEZHIKMNOPTYXovcaikpu")
 ARMENIAN = ("օսոց", "ounq")
+CHEROKEE = ("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏆᏋᏎᏒᏔᏙᏚᏞᏟᏢᏦ", "DRTAJEWMHGZIE4RWVSLCPK")
 #: Radicals of the supplement block and the ideographs they show.
 RADICALS = (
     "⺁⺃⺄⺅⺆⺇⺉⺊⺋⺎⺏⺐⺒⺓⺔⺕⺖⺘⺙⺛⺜⺝⺞⺠⺡⺢⺣⺤⺥⺦⺨⺩⺪⺫⺬⺭⺯⺰⺱⺲⺶⺷⺹⺺⺻⺼⺽⺾⺿⻀⻁⻂⻃⻄⻅⻆⻇⻈⻉⻊⻋⻌⻍⻎⻏⻐⻑⻒⻓⻔⻖⻗⻘⻙⻚⻛⻜⻝⻞⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲",
@@ -59,7 +60,7 @@ def _tables() -> tuple[tuple[str, str], dict[str, str], tuple[str, str], list[tu
             base[char] = unicodedata.normalize("NFD", char)[0]
             if code < 0x250 and chr(int(parts[1], 16)) in _ACCENTS:
                 pairs.append(("".join(chr(int(p, 16)) for p in parts), char))
-    for other, latin in (CYRILLIC, GREEK, ARMENIAN, RADICALS):
+    for other, latin in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, RADICALS):
         single.update(zip(other, latin, strict=True))
     single.update((other, sign) for sign, others in SIGNS.items() for other in others)
     single["\t"] = " "
@@ -115,9 +116,11 @@ def _with_skeleton(texts: DataFrame) -> DataFrame:
 def classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (rec_id, digest, clean) that may share a reading, and classes (reading, class_id) by collation."""
     texts = records.select("rec_id", "text").where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    keyed = _with_skeleton(texts).withColumn("digest", F.xxhash64("text", F.length("text")))
+    keyed = _with_skeleton(spread(texts, "rec_id")).select("rec_id", "skeleton", F.xxhash64("text", F.length("text")).alias("digest"))
+    keyed = cut_lineage(keyed)  # three numbers a row, so that texts are mapped once
     shared = keyed.groupBy("skeleton").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low != high").select("skeleton")
-    members = with_clean_form(keyed.join(shared, "skeleton", "left_semi")).select("rec_id", "digest", "clean", (F.col("text") != F.col("clean")).alias("changed"))
+    wanted = keyed.join(shared, "skeleton", "left_semi").select("rec_id", "digest")
+    members = with_clean_form(texts.join(wanted, "rec_id")).select("rec_id", "digest", "clean", (F.col("text") != F.col("clean")).alias("changed"))
     members = cut_lineage(members)
     chosen = F.min(F.struct("changed", "rec_id"))
     grouped = members.groupBy(F.collate("clean", "UNICODE").alias("reading")).agg(chosen.alias("best"), F.min("digest").alias("low"), F.max("digest").alias("high"))
@@ -144,7 +147,7 @@ def same_reading(records: DataFrame) -> DataFrame:
     left = both.join(placed, ["class_id", "digest"]).select("class_id", "digest_b", F.col("rec_id").alias("a"))
     right = placed.select("class_id", F.col("digest").alias("digest_b"), F.col("rec_id").alias("b"))
     pairs = left.join(right, ["class_id", "digest_b"]).where(F.col("a") != F.col("b"))
-    return pairs.select(F.least("a", "b").alias("rec_id_a"), F.greatest("a", "b").alias("rec_id_b")).distinct()
+    return pairs.select(F.least("a", "b").alias("rec_id_a"), F.greatest("a", "b").alias("rec_id_b"))
 
 
 def one_form(records: DataFrame) -> DataFrame:

@@ -1,12 +1,12 @@
 """Problem 4: the k most similar vectors of every vector.
 
 Method: a forest of random-projection trees. The hyperplanes are fitted on a bounded sample, every vector is
-indexed in its leaf of each tree. A query takes leaves from one queue that all trees share, by the smallest margin
-on the way to the leaf; as that never rises on the way down, the first leaves out of the queue are those of the
-highest priority, which is computed for a whole batch at once. All vectors in these leaves are ranked exactly.
+indexed in its leaf of each tree. A query walks down from the roots; the side it leaves behind at each node goes, with
+the smallest margin on the way there, into one queue that all trees share, and the next walk begins at the queue's best.
+All vectors in the leaves reached are ranked exactly.
 
-Equal vectors are searched once. Only the k + 1 smallest ids of a group of copies can be among anyone's k nearest,
-so that a group may hold any share of all rows.
+Vectors of one direction, whatever their length, are searched once. Only the k + 1 smallest ids of such a group can be
+among anyone's k nearest, so that a group may hold any share of all rows.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from quillspark.session import cut_lineage, spread
 
 DIMENSIONS, NEIGHBOURS = 64, 5
 #: Rows the hyperplanes are fitted on at most, trees, rows aimed at in a leaf, leaves searched for each query.
-SAMPLE_ROWS, TREES, LEAF_ROWS, PROBES, LEAST_SAMPLE = 16_384, 6, 512, 18, 16
+SAMPLE_ROWS, TREES, LEAF_ROWS, PROBES, LEAST_SAMPLE = 131_072, 6, 512, 18, 4
+#: Decimals to which the coordinates of two unit vectors agree that count as one direction.
+SAME = 6
 #: Rows of a leaf that are compared at once, and how many times as many ask them.
 BLOCK_ROWS, ASKING = 4_096, 4
 
@@ -59,28 +61,34 @@ class Forest:
                 left, right = own[along < offset], own[along >= offset]
                 rows[2 * node + 1], rows[2 * node + 2] = (left if len(left) else own), (right if len(right) else own)
 
-    def priorities(self, unit: np.ndarray) -> np.ndarray:
-        """Of every leaf of the forest for each row: the smallest margin on the way."""
-        found = []
-        for planes, offsets in zip(self.planes, self.offsets, strict=True):
-            margin = unit @ planes.T - offsets
-            way = np.full((len(unit), 1), np.inf, dtype=np.float32)
-            for level in range(self.depth):
-                here = margin[:, (1 << level) - 1 : (2 << level) - 1]
-                down = np.empty((len(unit), 2 << level), dtype=np.float32)
-                down[:, 0::2], down[:, 1::2] = np.minimum(way, -here), np.minimum(way, here)
-                way = down
-            found.append(way)
-        return np.concatenate(found, axis=1)
-
-    def leaves_of(self, unit: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """The leaves that each row searches, and which of them hold the row itself."""
-        order = self.priorities(unit)
-        home = order.reshape(len(unit), self.trees, self.leaves).argmax(axis=2) + np.arange(self.trees) * self.leaves
-        np.put_along_axis(order, home, np.inf, axis=1)
-        probes = min(max(probes, self.trees), order.shape[1])
-        taken = np.argpartition(-order, probes - 1, axis=1)[:, :probes]
-        return taken, np.take_along_axis(order, taken, axis=1) == np.inf
+    def leaves_of(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        """The leaves that each row searches, best first; the first of them, one a tree, hold the row itself."""
+        probes = min(max(probes, self.trees), self.trees * self.leaves)
+        rows, inner = np.arange(len(unit)), self.leaves - 1
+        planes, offsets = self.planes.reshape(-1, unit.shape[1]), self.offsets.ravel()
+        queue = np.full((len(unit), self.trees + probes * self.depth), -np.inf, dtype=np.float32)
+        nodes = np.zeros(queue.shape, dtype=np.int32)  # tree * (2 * leaves - 1) + node
+        queue[:, : self.trees] = np.inf
+        nodes[:, : self.trees] = np.arange(self.trees) * (2 * self.leaves - 1)
+        end = self.trees
+        taken = np.empty((len(unit), probes), dtype=np.int32)
+        for probe in range(probes):
+            best = queue.argmax(axis=1) if probe >= self.trees else np.full(len(unit), probe)
+            way = queue[rows, best]
+            tree, node = np.divmod(nodes[rows, best], 2 * self.leaves - 1)
+            queue[rows, best] = -np.inf
+            active = np.flatnonzero(node < inner)
+            while active.size:
+                at, t = node[active], tree[active]
+                margin = np.einsum("ij,ij->i", unit[active], planes[t * inner + at]) - offsets[t * inner + at]
+                right = margin >= 0
+                queue[active, end] = np.minimum(way[active], -np.abs(margin))
+                nodes[active, end] = t * (2 * self.leaves - 1) + 2 * at + np.where(right, 1, 2)
+                node[active] = 2 * at + np.where(right, 2, 1)
+                end += 1
+                active = active[node[active] < inner]
+            taken[:, probe] = tree * self.leaves + node - inner
+        return taken
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dimensions: int) -> np.ndarray:
@@ -109,38 +117,27 @@ def _placed(vectors: DataFrame, shared, total: int, dimensions: int, probes: int
     The rows of every leaf are counted; a full one is cut into blocks of stored rows and parts of asking rows, each of
     which meets each, by its own count.
     """
-    forest = shared.value
-    blocks, parts = np.ones(forest.trees * forest.leaves, dtype=np.int32), np.ones(forest.trees * forest.leaves, dtype=np.int32)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, shared.value.trees * shared.value.leaves), dtype=np.int64)
-        for whole in batches:
-            for start in range(0, whole.num_rows, 4096):
-                leaf, home = shared.value.leaves_of(_unit(_matrix(whole.slice(start, 4096).column("embeddings"), dimensions)).astype(np.float32), probes)
-                n[0] += np.bincount(leaf[home], minlength=n.shape[1])
-                n[1] += np.bincount(leaf.ravel(), minlength=n.shape[1])
-        at = np.flatnonzero(n[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0][at]), pa.array(n[1][at])], names=["leaf", "stored", "asking"])
-
-    rows = spread(vectors.select("vec_id", "embeddings"), "vec_id")
-    if total > block_rows:
-        loads = rows.mapInArrow(count, "leaf int, stored long, asking long").groupBy("leaf").agg(F.sum("stored").alias("stored"), F.sum("asking").alias("asking")).toArrow()  # a row for each leaf
-        leaf = np.asarray(loads["leaf"])
-        blocks[leaf] = np.maximum(1, -(-np.asarray(loads["stored"]) // block_rows))
-        parts[leaf] = np.maximum(1, -(-np.asarray(loads["asking"]) // (ASKING * block_rows)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
                 rows = _matrix(batch.column("embeddings"), dimensions)
-                ids = np.asarray(batch.column("vec_id"))
-                leaf, home = shared.value.leaves_of(_unit(rows).astype(np.float32), probes)
-                each = np.repeat(np.arange(len(ids)), leaf.shape[1])
-                raw = pa.array([r.tobytes() for r in rows], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel().astype(np.int32)), pa.array(home.ravel()), pa.array(ids[each]), raw.take(pa.array(each)), pa.array(blocks[leaf.ravel()]), pa.array(parts[leaf.ravel()])], names=["leaf", "home", "vec_id", "vector", "blocks", "parts"])
+                leaf = shared.value.leaves_of(_unit(rows).astype(np.float32), probes)
+                offsets = pa.array(np.arange(len(leaf) + 1, dtype=np.int32) * leaf.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([r.tobytes() for r in rows], pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(leaf.ravel()))], names=["vec_id", "vector", "leaves"])
 
-    routed = rows.mapInArrow(route, "leaf int, home boolean, vec_id long, vector binary, blocks int, parts int")
+    trees = shared.value.trees
+    routed = spread(vectors.select("vec_id", "embeddings"), "vec_id").mapInArrow(route, "vec_id long, vector binary, leaves array<int>")
+    if total > block_rows:
+        routed = cut_lineage(routed)
+        loads = routed.select(F.posexplode("leaves").alias("probe", "leaf")).groupBy("leaf").agg(F.sum((F.col("probe") < trees).cast("long")).alias("stored"), F.count(F.lit(1)).alias("asking"))
+        loads = loads.select("leaf", F.greatest(F.lit(1), F.ceil(F.col("stored") / block_rows)).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("asking") / (ASKING * block_rows))).cast("int").alias("parts"))
+        loads = loads.where("blocks > 1 or parts > 1")  # of all leaves, whose number is bounded by the sample
+    each = routed.select("vec_id", "vector", F.posexplode("leaves").alias("probe", "leaf")).withColumn("home", F.col("probe") < trees)
+    if total <= block_rows:
+        return each.select("leaf", F.lit(0).alias("block"), F.lit(0).alias("part"), F.when(F.col("home"), 2).otherwise(1).alias("role"), "vec_id", "vector")
+    each = each.join(F.broadcast(loads), "leaf", "left").withColumns({"blocks": F.coalesce("blocks", F.lit(1)), "parts": F.coalesce("parts", F.lit(1))})
     salt = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
     place = lambda block, part, role: F.struct(block.alias("block"), part.alias("part"), role.alias("role"))
     zero, every = F.lit(0), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -148,7 +145,7 @@ def _placed(vectors: DataFrame, shared, total: int, dimensions: int, probes: int
     asks = F.transform(every("blocks"), lambda b: place(b, salt("parts", 1), F.lit(1)))
     stored = F.transform(every("parts"), lambda p: place(salt("blocks", 2), p, zero))
     places = F.when((F.col("blocks") == 1) & (F.col("parts") == 1), whole).when(F.col("home"), F.concat(asks, stored)).otherwise(asks)
-    return routed.withColumn("x", F.explode(places)).select("leaf", "x.block", "x.part", "x.role", "vec_id", "vector")
+    return each.withColumn("x", F.explode(places)).select("leaf", "x.block", "x.part", "x.role", "vec_id", "vector")
 
 
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSIONS, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, leaf_rows: int = LEAF_ROWS, probes: int = PROBES, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -196,10 +193,14 @@ def similar(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSION
     """vec_id, id and cosine of the k nearest usable vectors of every usable vector, itself left out.
 
     Needs a unique vec_id and embeddings. Null, wrong, zero and unfinished vectors have no row and are nobody's
-    neighbour; equal vectors are neighbours with cosine 1; ties go to the smaller id. Fewer than k other usable
-    vectors give fewer rows.
+    neighbour; vectors of one direction are neighbours with cosine 1; ties go to the smaller id. Fewer than k other
+    usable vectors give fewer rows.
     """
-    rows = usable_vectors(vectors, dimensions).withColumn("k1", F.xxhash64("embeddings")).withColumn("k2", F.hash("embeddings"))
+    most = F.array_max(F.transform("embeddings", lambda x: F.abs(x.cast("double"))))
+    scaled = usable_vectors(vectors, dimensions).withColumn("most", most).withColumn("scaled", F.transform("embeddings", lambda x: x.cast("double") / F.col("most")))
+    length = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+    rows = scaled.withColumn("length", length).withColumn("unit", F.transform("scaled", lambda x: F.round(x / F.col("length"), SAME) + 0.0))
+    rows = rows.select("vec_id", "embeddings", F.xxhash64("unit").alias("k1"), F.hash("unit").alias("k2"))
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")).where("n > 1")
     named = rows.join(copies, ["k1", "k2"], "left").select("vec_id", "embeddings", F.coalesce("first", "vec_id").alias("first"), F.coalesce("n", F.lit(1)).alias("n"))
     named = cut_lineage(named)

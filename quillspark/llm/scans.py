@@ -45,6 +45,7 @@ _GAP = re.compile(rf"(?<=[{_HAN}，。]) +(?=[{_HAN}，。])")
 _HYPHEN = re.compile(r"(?<=[A-Za-zÀ-ÿ])[-‐¬\xad]\n\s*(?=[a-zÀ-ÿ])")
 _ENDS = "。！？!?.…”\"’』」）)】]:：；;—"
 _WORDS = re.compile(r"(?<![A-Za-z0-9À-ÿ\xad\u200b-\u200f\u2060\ufeff])[A-Za-z0158]*[A-Za-z][A-Za-z0158]*(?![A-Za-z0-9À-ÿ\xad\u200b-\u200f\u2060\ufeff])")
+_TWO_LETTERS = re.compile("[A-Za-z]{2}")
 PAGE, HEADING, BROKEN, MISREADS, STRAY, GAPS = 1, 2, 4, 8, 16, 32
 REPAIRED = "rec_id long, marks int, text string"
 
@@ -55,12 +56,14 @@ class Reader:
     def __init__(self, language: Language, characters: list[tuple[str, str, float]], letters: list[tuple[str, str, float]]):
         self.language = language
         self.known: dict[str, list[tuple[str, float]]] = {}
+        self.after: dict[tuple[str | None, str], float] = {}
         self.word_total = max(1.0, float(language.words.sum()))
         self.readings: dict[int, list[tuple[int, float]]] = {}
         for wrong, right, p in characters:
             self.readings.setdefault(ord(wrong), []).append((ord(right), p - SCANNED))
         flat = [(ord(wrong), ord(right), p) for wrong, right, p in characters]
-        self.suspects = np.array(sorted(self.readings), dtype=np.uint32)
+        self.suspect = np.zeros(1 << 16, dtype=bool)
+        self.suspect[list(self.readings)] = True
         self.wrong, self.right = (np.array([f[i] for f in flat], dtype=np.uint32) for i in (0, 1))
         self.cost = np.array([f[2] for f in flat], dtype=np.float32) - SCANNED
         self.letters: dict[str, list[tuple[str, float]]] = {}
@@ -72,6 +75,13 @@ class Reader:
 
     def _follows(self, before: str | None, word: str) -> float:
         """Log probability of a word after another."""
+        if (before, word) not in self.after:
+            if len(self.after) > 500_000:
+                self.after.clear()
+            self.after[before, word] = self._after(before, word)
+        return self.after[before, word]
+
+    def _after(self, before: str | None, word: str) -> float:
         alone = float(self.language.words[word_place(word)]) / self.word_total
         if before is None:
             return float(np.log(alone + _NOT_WORDS))
@@ -137,7 +147,7 @@ class Reader:
 
     def suspect_places(self, codes: np.ndarray) -> np.ndarray:
         """Places that have another reading, and are likelier misread or stand beside another such place."""
-        places = np.flatnonzero(np.isin(codes, self.suspects))
+        places = np.flatnonzero(self.suspect[np.minimum(codes, 0xFFFF)])
         places = places[(places > 0) & (places < len(codes) - 1)]
         places = places[~self._fixed(codes, places)] if places.size else places
         if not places.size:
@@ -155,10 +165,13 @@ class Reader:
         likely[1:] |= near
         return places[likely]
 
-    def line(self, line: str) -> tuple[str, int, float]:
-        """The line in its likeliest reading, the number of places that were misread, and by how much it is likelier."""
-        codes = same_digits(codes_of("\n" + line + "\n"))
+    def line(self, line: str, doubtful: bool = True) -> tuple[str, int, float]:
+        """The line in its likeliest reading, the number of places that were misread, and by how much it is likelier.
+
+        doubtful says that a character of the text may be misread, as suspect_places found.
+        """
         chars, changed, gain = list(line), 0, 0.0
+        codes = same_digits(codes_of("\n" + line + "\n")) if doubtful else np.zeros(2, dtype=np.uint32)
         places = self.suspect_places(codes)
         for group in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1) if places.size else ():
             path, more = self._viterbi(codes, int(group[0]), int(group[-1]) + 1)
@@ -168,7 +181,7 @@ class Reader:
                     chars[place - 1] = chr(code)
                     changed += 1
         fixed = "".join(chars)
-        if re.search("[A-Za-z]{2}", fixed):
+        if _TWO_LETTERS.search(fixed):
             fixed, words, more = self.words(fixed)
             changed, gain = changed + words, gain + more
         return fixed, changed, gain
@@ -185,9 +198,6 @@ class Reader:
         score, path = max((score + pair(last, int(codes[end])), way) for last, (score, way) in states.items())
         return path, score - float(self.language.log_pair(codes[start - 1 : end], codes[start : end + 1]).sum())
 
-    def words_misread(self, text: str) -> bool:
-        return any(self.words(line)[1] for line in text.split("\n"))
-
     def likes(self, last: str, first: str) -> float:
         """By how much the two characters are likelier together than with a line break between them."""
         a, b, n = (np.array([ord(c)], dtype=np.uint32) for c in (last, first, "\n"))
@@ -196,7 +206,7 @@ class Reader:
 
 
 def _width(line: str) -> int:
-    return sum(2 if c > "⺀" else 1 for c in line)
+    return len(line) + sum(map("⺀".__lt__, line))
 
 
 def _bare(text: str | None) -> str:
@@ -239,7 +249,7 @@ def _single_breaks(lines: list[str], widths: list[int], full: list[int], scanned
     return found
 
 
-def repair(text: str, names: set[str], reader: Reader, screened: bool = True) -> tuple[int, str]:
+def repair(text: str, names: set[str], reader: Reader, screened: bool = True, doubtful: bool = True) -> tuple[int, str]:
     """The marks found and the text without them, in paragraphs."""
     lines = text.split("\n")
     kinds = [_kind(line, names) for line in lines]
@@ -268,7 +278,7 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True) ->
     if _STRAY.search(body):
         marks |= STRAY
     if screened:
-        fixed, changed, gains = zip(*[reader.line(line) for line in kept], strict=True) if kept else ((), (), ())
+        fixed, changed, gains = zip(*[reader.line(line, doubtful) for line in kept], strict=True) if kept else ((), (), ())
         if sum(changed) and (marks or sum(gains) > -SCANNED):
             marks |= MISREADS
             kept = list(fixed)
@@ -334,10 +344,10 @@ def repaired(records: DataFrame) -> DataFrame:
             doubtful = set(np.searchsorted(starts, reader.suspect_places(codes), "right") - 1)
             rows = []
             for k, (rec, text, title, chapter, chapter_title) in enumerate(zip(batch["rec_id"], texts, batch["book_title"], batch["chapter"], batch["chapter_title"], strict=True)):
-                screened = k in doubtful or re.search("[a-z]{2}", text) is not None and reader.words_misread(text)
+                screened = k in doubtful or _TWO_LETTERS.search(text) is not None
                 if not screened and "\n" not in text and not _STRAY.search(text) and not _GAP.search(text):
                     continue
-                marks, whole = repair(text, _names(title, chapter, chapter_title), reader, screened)
+                marks, whole = repair(text, _names(title, chapter, chapter_title), reader, screened, k in doubtful)
                 if marks:
                     rows.append((rec, marks, whole))
             yield pd.DataFrame(rows, columns=["rec_id", "marks", "text"])

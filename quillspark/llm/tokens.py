@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import spread
+from quillspark.session import cut_lineage, spread
 
 LEAF_CHARS = 2048
 #: Texts over this many characters are spread over tasks as segments of this length.
@@ -127,15 +127,19 @@ def encode_documents(documents: DataFrame, path: str | None = None, segment: int
         nodes = [(t.as_py(), np.asarray(i.values)) for t, i in zip(group["part"], group["ids"], strict=True)]
         return pa.table({"doc_id": group["doc_id"].slice(0, 1), "ids": _lists([reduce_nodes(nodes, path)])})
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
+                texts = [text[k : k + segment] for k in range(0, len(text), segment)]
+                for first in range(0, len(texts), 64):  # a few MB at once
+                    some = texts[first : first + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(some), pa.int64()), pa.array([doc] * len(some), pa.int64()), pa.array(range(first, first + len(some)), pa.int32()), pa.array(some, pa.string())], names=["row", "doc_id", "no", "part"])
+
     short = spread(rows.where(F.length("text") <= segment), "doc_id").mapInArrow(whole, "doc_id long, ids array<int>")
-    number = F.expr(f"sequence(0, cast((length(text) - 1) div {segment} as int))")
-    pieces = (
-        rows.where(F.length("text") > segment)
-        .select("doc_id", "text", F.expr("uuid()").alias("row"))
-        .select("row", "doc_id", "text", F.explode(number).alias("no"))
-        .select("row", "doc_id", "no", F.expr(f"substring(text, no * {segment} + 1, {segment})").alias("part"))
-    )
-    encoded = pieces.repartition("row", "no").mapInArrow(parts, "row string, doc_id long, no int, part string, ids array<int>")
+    # Numbered once and for all before the shuffle, so that a task that runs again doesn't number its rows otherwise.
+    long = cut_lineage(rows.where(F.length("text") > segment).withColumn("row", F.monotonically_increasing_id()))
+    pieces = long.select("row", "doc_id", "text").mapInArrow(cut, "row long, doc_id long, no int, part string")
+    encoded = pieces.repartition("row", "no").mapInArrow(parts, "row long, doc_id long, no int, part string, ids array<int>")
     return short.unionByName(encoded.groupBy("row").applyInArrow(together, "doc_id long, ids array<int>"))
 
 

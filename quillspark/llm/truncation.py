@@ -25,6 +25,7 @@ HASH_BITS, THRESHOLD = 14, 0.4
 #: Marks of omission and the broken ends of character references, escapes and tags.
 OMISSION = r"(?:…+|\.{3,}|。{3,})\s*$"
 MARKUP = r"(?:\x{fffd}+|%[0-9A-Fa-f]{0,2}(?:%[0-9A-Fa-f]{0,2})*|\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?|&#?[A-Za-z0-9]{0,8}|</?[A-Za-z]*[^<>]{0,60})$"
+_BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _END = "。！？!?.…”\"’』」）)】]"
 _STOPS = "。！？!?…\n"
 _SPIKE_ROWS, _SPIKE_TIMES, _AROUND = 5, 6.0, 25
@@ -37,14 +38,14 @@ def _measured(rows: DataFrame) -> DataFrame:
     """
     col = F.col
     return (
-        rows.withColumn("raw", F.right("text", F.lit(160))).withColumn("end", F.regexp_replace("raw", r"(?U)\s+$", ""))
+        rows.withColumn("shown", F.rtrim("text", F.lit(_BLANKS))).withColumn("raw", F.right("shown", F.lit(160))).withColumn("end", F.regexp_replace("raw", r"(?U)\s+$", ""))
         .withColumn("omitted", col("end").rlike(OMISSION) & ~col("end").rlike(r"[。！？!?”\"]\s*" + OMISSION))
         .withColumn("plain", F.when(col("omitted"), F.regexp_replace("end", OMISSION, "")).otherwise(col("end")))
         .withColumn("broken", col("plain").rlike(MARKUP))
         .withColumn("core", F.when(col("broken"), F.regexp_replace("plain", MARKUP, "")).otherwise(F.regexp_replace("plain", r"[ \t]+$", "")))
-        .withColumn("chars", F.length("text") - F.length("raw") + F.length("core"))
-        .withColumn("bytes", F.octet_length("text") - F.octet_length("raw") + F.octet_length("core"))
-        .drop("raw", "end", "plain")
+        .withColumn("chars", F.length("shown") - F.length("raw") + F.length("core"))
+        .withColumn("bytes", F.octet_length("shown") - F.octet_length("raw") + F.octet_length("core"))
+        .drop("shown", "raw", "end", "plain")
     )
 
 
