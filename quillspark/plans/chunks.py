@@ -8,7 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import chunking as K
 from quillspark.operators import index as I
 from quillspark.operators import splitters
-from quillspark.plans.registry import query
+from quillspark.plans.registry import W, query, strip_sql
 from quillspark.session import table
 
 
@@ -32,12 +32,46 @@ def chunk_fixed(spark, d):
     return K.chunk_fixed(table(spark, d, "documents"), "doc_id", 512, 50).withColumn("chunk_no", F.col("chunk_no").cast("long"))
 
 
-@query()
+_FIRST, _SECOND = "。！：？", "；;：:，,、"
+
+
+def _upto(text: str, signs: str) -> str:
+    """Characters up to the first of the signs; 0 without one."""
+    return f"length(regexp_extract({text}, '^[^{signs}]*[{signs}]'))"
+
+
+def _lesser_sql(low: str, high: str) -> str:
+    """A cut after the first clause sign of the window, else after its first white space; null without either."""
+    clause, rest = _upto(f"substring(text, {low} + 1, {high} - {low})", _SECOND), f"substring(text, {low} + 1)"
+    word, gap = f"length(regexp_extract({rest}, '^[^\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]*'))", f"length(regexp_extract({rest}, '^[^\\s\\x{{0b}}\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]*{W}+'))"
+    return f"case when {clause} > 0 then {low} + {clause} when {gap} > 0 and {word} < {high} - {low} then {low} + {gap} end"
+
+
+def _recursive_sql(targeted: bool, overlap: int) -> str:
+    """Chunks c of documents, each found from where the one before it was cut."""
+    if targeted:
+        right, left = _upto("substring(text, aim + 1, high - aim)", _FIRST), f"length(regexp_extract(substring(text, low + 1, aim - low), '(?s)^.*[{_FIRST}]'))"
+        found = f"case when {right} > 0 and ({left} = 0 or {right} - 1 <= aim - (low + {left} - 1)) then aim + {right} when {left} > 0 then low + {left} end"
+        back = f"least(greatest({overlap}, cast(floor((cut - start) * 0.125::double) as bigint)), 671)"
+    else:
+        first = _upto("substring(text, low + 1, high - low)", _FIRST)
+        found, back = f"case when {first} > 0 then low + {first} end", str(overlap)
+    window = "select *, least(n, start + 672) as high, greatest(start + 210, last) as low from c where not done and start < n"
+    aimed = f"select *, least(greatest(start + 560, low), high) as aim from ({window})"
+    cut = f"select *, case when n - start <= 210 then n else coalesce({found}, {_lesser_sql('low', 'high')}, high) end as cut from ({aimed})"
+    step = f"select doc_id, text, n, start as a, case when cut <= start then high else cut end as b, n - start <= 210 or cut >= n as done, greatest(cut - {back}, start + 1) as start, cut as last from ({cut})"
+    return f"""with recursive c as (
+select doc_id, text, length(text)::bigint as n, null::bigint as a, null::bigint as b, false as done, 0::bigint as start, 0::bigint as last from documents where text is not null
+union all {step}),
+chunks as (select doc_id, cast(row_number() over (partition by doc_id order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", substring(text, a + 1, b - a) as chunk from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> '')"""
+
+
+@query(_recursive_sql(False, 50) + ' select doc_id, chunk_no, start, "end", chunk from chunks')
 def chunk_recursive(spark, d):
     return K.chunk_recursive(table(spark, d, "documents"), ["doc_id"])
 
 
-@query()
+@query(_recursive_sql(True, 50) + ' select doc_id, chunk_no, start, "end", chunk from chunks')
 def chunk_recursive_target(spark, d):
     return K.chunk_recursive(table(spark, d, "documents"), ["doc_id"], targeted=True)
 
@@ -47,12 +81,17 @@ def chunk_tokenwise(spark, d):
     return K.chunk_tokenwise(table(spark, d, "documents"), ["doc_id"])
 
 
-@query()
+@query(f"""with recursive c as (
+select doc_id, text, length(text)::bigint as n, null::bigint as a, null::bigint as b, 0::bigint as start from documents where text is not null
+union all select doc_id, text, n, start as a, cut as b, cut as start from (
+  select *, case when n - start <= 300 then n else coalesce({_lesser_sql('low', 'high')}, high) end as cut from (select *, start + 300 as high, start + 100 as low from c where start < n)))
+select doc_id, cast(row_number() over (partition by doc_id order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", substring(text, a + 1, b - a) as chunk
+from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> ''""")
 def chunk_oversized(spark, d):
     return K.cut_texts(table(spark, d, "documents"), ["doc_id"], lambda t: splitters.oversized(t, 300, 100))
 
 
-@query()
+@query(_recursive_sql(False, 0) + """ select doc_id, chunk_no, start, "end", coalesce(regexp_extract(lag(chunk) over (partition by doc_id order by chunk_no), '(?s)([^。！？!?]*[。！？!?]|[^。！？!?]+)$'), '') || chunk as chunk from chunks""")
 def chunk_sentences(spark, d):
     s = splitters.Spec()
     cut = K.cut_texts(table(spark, d, "documents"), ["doc_id"], lambda t: splitters.recursive(t, s.min_chars, s.max_chars, 0))
@@ -64,15 +103,29 @@ def build_chunks(spark, d):
     return K.build_chunks(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+_LATEST = "(select * from (select *, row_number() over (partition by book_id, chunk_id order by loaded_at desc, rec_id desc) as no from metadata where book_id is not null and chunk_id is not null) where no = 1)"
+
+
+
+_KEEP = f"(select * exclude no from {_LATEST} union all select * from metadata where book_id is null or chunk_id is null)"
+#: A chapter's chunks in order; each joins the open parent or closes it.
+_GROUPS = f"""with recursive o as (
+select book_id, chapter_id, chunk_id, coalesce(chunk_length, 0) as x, row_number() over (partition by book_id, chapter_id order by chunk_id nulls first, coalesce(chunk_length, 0)) as i from {_KEEP} where book_id is not null),
+g as (select book_id, chapter_id, chunk_id, x, i, 1 as no, 1 as n, x::bigint as t from o where i = 1
+ union all select book_id, chapter_id, chunk_id, x, i, case when closed then no + 1 else no end, case when closed then 1 else n + 1 end, case when closed then x else t + x end from (
+  select o.*, g.no, g.n, g.t, g.n >= 4 or g.t + o.x > 1500 or (g.t >= 800 and g.n >= 2) as closed from g join o on o.book_id = g.book_id and o.chapter_id is not distinct from g.chapter_id and o.i = g.i + 1)),
+s as (select book_id, chapter_id, no, count(*) as n, sum(x) as t, max(no) over (partition by book_id, chapter_id) as most from g group by book_id, chapter_id, no),
+j as (select l.book_id, l.chapter_id, l.no from s l join s b on l.book_id = b.book_id and l.chapter_id is not distinct from b.chapter_id and b.no = l.no - 1 where l.no = l.most and l.n + b.n <= 4 and l.t + b.t <= 1500),
+f as (select g.*, case when j.no is null then g.no else g.no - 1 end as place from g left join j on g.book_id = j.book_id and g.chapter_id is not distinct from j.chapter_id and g.no = j.no)
+select book_id, chapter_id, cast(place as integer) as parent_no, list(chunk_id order by i) as child_chunk_ids, cast(count(*) as integer) as child_count, cast(sum(x) as bigint) as chunk_length from f group by book_id, chapter_id, place"""
+
+
+@query(_GROUPS)
 def parent_chunks(spark, d):
     latest = I.latest_records(_records(spark, d)).where("book_id is not null")
     return K.build_parents(latest, ["book_id", "chapter_id"])
 
 
-_LATEST = "(select * from (select *, row_number() over (partition by book_id, chunk_id order by loaded_at desc, rec_id desc) as no from metadata where book_id is not null and chunk_id is not null) where no = 1)"
-
-
 @query(f"select rec_id, book_id, chunk_id from {_LATEST} union all select rec_id, book_id, chunk_id from metadata where book_id is null or chunk_id is null")
 def latest_records(spark, d):
     return I.latest_records(_records(spark, d)).select("rec_id", "book_id", "chunk_id")

@@ -28,16 +28,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set (tests on one machine)."""
+    """The shared folder the session names; a temporary one only for a local master, where all tasks see it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
+        if not named and not (context.master or "").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
