@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -11,35 +11,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.text import keyword_tokens
 from quillspark.session import spread
 
 #: Rank constant of the fusion, least cosine, and how much wider than k the lists are.
 RANK_CONSTANT, LEAST_COSINE, POOL, RERANKED = 60, 0.1, 5, 3
-#: Terms or query vectors that go to every task at once; larger query sets are done in blocks of this size.
-TERM_BLOCK, VECTOR_BLOCK = 20_000, 20_000
+#: Terms that go to every task at once; larger query sets are done in blocks of this size.
+TERM_BLOCK = 20_000
+#: Vectors and query vectors that are multiplied at once, and query blocks whose best a task holds before it hands them on.
+VECTOR_BLOCK, QUERY_BLOCK, BLOCKS_HELD = 4_096, 1_024, 64
 
 
 def keyword_hits(texts: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """query_id, key and score: for each term found 1, and .5 if it stands in the first 100 characters, .25 in the first 500.
 
     queries has query_id and terms (an array); null and empty terms count for nothing. The different terms of the
-    query set go to every task, in blocks of bounded size; texts with a term are then joined to the queries that ask.
+    query set go to every task, in blocks of bounded size, and are looked for together in one pass over each text;
+    texts with a term are then joined to the queries that ask.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term")).where("term <> ''")
     terms = asked.select("term").distinct()
     blocks = max(1, -(-terms.count() // TERM_BLOCK))
     lowered = spread(texts.select(key, F.lower("text").alias("text")).where(F.length("text") > 0), key)
-    places = F.filter(F.transform("all", lambda t: F.struct(t.alias("term"), F.instr(F.col("text"), t).alias("at"))), lambda x: x["at"] > 0)
+    kind = texts.schema[key].dataType.simpleString()
     parts = []
     for block in range(blocks):
-        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).agg(F.collect_list("term").alias("all"))
-        # One row of about TERM_BLOCK terms at most.
-        parts.append(lowered.join(F.broadcast(own), how="cross").select(key, F.explode(places).alias("x")))
+        own = [r.term for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block).collect()]  # about TERM_BLOCK
+
+        def search(batches: Iterator[pd.DataFrame], own: list[str] = own) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            patterns = ahocorasick.Automaton()
+            for term in own:
+                patterns.add_word(term, term)
+            if own:
+                patterns.make_automaton()
+            for batch in batches:
+                rows = []
+                for row, text in zip(batch[key], batch["text"], strict=True) if own else ():
+                    first: dict[str, int] = {}
+                    for end, term in patterns.iter(text):
+                        first.setdefault(term, end - len(term) + 2)
+                    rows += [(row, term, at) for term, at in first.items()]
+                yield pd.DataFrame(rows, columns=[key, "term", "at"])
+
+        parts.append(lowered.mapInPandas(search, f"{key} {kind}, term string, at long"))
     found = reduce(DataFrame.unionByName, parts)
-    at = F.col("x.at")
-    weight = F.lit(1.0) + F.when(at <= 100, 0.5).when(at <= 500, 0.25).otherwise(0.0)
-    scored = found.select(key, F.col("x.term").alias("term"), weight.alias("weight"))
-    return scored.join(asked, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
+    weight = F.lit(1.0) + F.when(F.col("at") <= 100, 0.5).when(F.col("at") <= 500, 0.25).otherwise(0.0)
+    return found.select(key, "term", weight.alias("weight")).join(asked, "term").groupBy("query_id", key).agg(F.sum("weight").alias("score"))
 
 
 def top(hits: DataFrame, k: int, key: str, by: str = "query_id") -> DataFrame:
@@ -48,39 +67,60 @@ def top(hits: DataFrame, k: int, key: str, by: str = "query_id") -> DataFrame:
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _blocks(rows: DataFrame, key: str, column: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """Vectors of finite numbers, so many in a row: an array of keys and one of vectors, from wherever they lie."""
+    usable = rows.where(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, same in batch.groupby(batch[column].map(len)):
+                for first in range(0, len(same), size):
+                    part = same.iloc[first : first + size]
+                    numbers = np.stack(part[column].to_numpy()).astype(np.float64)
+                    yield pd.DataFrame({names[0]: [part[key].tolist()], names[1]: [numbers.tobytes()]})
+
+    return usable.select(key, column).mapInPandas(pack, f"{names[0]} array<long>, {names[1]} binary")
+
+
 def vector_hits(vectors: DataFrame, key: str, column: str, queries: DataFrame, k: int, decimals: int = 9) -> DataFrame:
-    """query_id, key, score: for each query vector the k of highest cosine, of every task the best k, then of all.
+    """query_id, key, score: for each query vector the k of highest cosine, the best of each task first, then of all.
 
     Vectors that are null, of another length or hold null or unfinished numbers are left out; a zero vector has
-    cosine 0. The query set goes to the tasks in blocks.
+    cosine 0. The stated query set meets all rows block by block; neither passes through the driver.
     """
-    asked = queries.select("query_id", "vector").toPandas()  # the stated query set
-    found = None
-    for start in range(0, len(asked), VECTOR_BLOCK):
-        ids = asked["query_id"].to_numpy()[start : start + VECTOR_BLOCK]
-        block = np.stack(asked["vector"].to_numpy()[start : start + VECTOR_BLOCK]).astype(np.float64)
-        block /= np.maximum(np.linalg.norm(block, axis=1, keepdims=True), 1e-300)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, block))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, block = shared.value
-            for batch in batches:
-                if not len(batch):
+    stored = _blocks(spread(vectors.select(key, column), key), key, column, VECTOR_BLOCK, ("keys", "rows"))
+    asked = _blocks(queries.select("query_id", "vector"), "query_id", "vector", QUERY_BLOCK, ("ids", "block"))
+
+    def unit(raw: bytes, n: int) -> np.ndarray:
+        rows = np.frombuffer(raw, dtype=np.float64).reshape(n, -1)
+        return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, tuple] = {}
+
+        def hand_on() -> Iterator[pd.DataFrame]:
+            for ids, keys, cosines in held.values():
+                real = keys >= 0
+                yield pd.DataFrame({"query_id": np.repeat(ids, keys.shape[1])[real.ravel()], key: keys[real], "score": cosines[real]})
+            held.clear()
+
+        for batch in batches:
+            for keys, raw, ids, block in zip(batch["keys"], batch["rows"], batch["ids"], batch["block"], strict=True):
+                rows, asks = unit(raw, len(keys)), unit(block, len(ids))
+                if rows.shape[1] != asks.shape[1]:
                     continue
-                rows = np.stack(batch[column].to_numpy()).astype(np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                order = np.argsort(batch[key].to_numpy(), kind="stable")  # so that ties fall to the smaller key
-                keys, rows = batch[key].to_numpy()[order], rows[order]
-                for first in range(0, len(ids), 512):
-                    cosine = np.round(block[first : first + 512] @ rows.T, decimals)
-                    near = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-                    yield pd.DataFrame({"query_id": np.repeat(ids[first : first + 512], near.shape[1]), key: keys[near].ravel(), "score": np.take_along_axis(cosine, near, axis=1).ravel()})
-
-        width = block.shape[1]
-        usable = vectors.select(key, column).where((F.size(column) == width) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-        part = usable.mapInPandas(best, f"query_id long, {key} long, score double")
-        found = part if found is None else found.unionByName(part)
-    return top(found, k, key)
+                name = np.asarray(ids, dtype=np.int64).tobytes()
+                before = held.get(name, (None, np.full((len(ids), 0), -1, dtype=np.int64), np.zeros((len(ids), 0))))
+                cosine = np.concatenate((before[2], np.round(asks @ rows.T, decimals)), axis=1)
+                every = np.concatenate((before[1], np.broadcast_to(np.asarray(keys, dtype=np.int64), (len(ids), len(keys)))), axis=1)
+                near = np.lexsort((every, -cosine), axis=1)[:, :k]  # ties fall to the smaller key
+                held[name] = (np.asarray(ids), np.take_along_axis(every, near, axis=1), np.take_along_axis(cosine, near, axis=1))
+            if len(held) >= BLOCKS_HELD:
+                yield from hand_on()
+        yield from hand_on()
+
+    both = stored.join(asked, how="cross")  # blocks, not rows
+    return top(both.mapInPandas(best, f"query_id long, {key} long, score double"), k, key)
 
 
 def above(hits: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -103,6 +143,76 @@ def best_of_group(hits: DataFrame, group: str, key: str, k: int) -> DataFrame:
     return both.withColumn("place", place).where(F.col("place") <= k)
 
 
+def fused_or_single(lists: DataFrame, key: str) -> DataFrame:
+    """query_id, key, score and rank of each query's ranked lists (query_id, list_no, rank, key, score).
+
+    Several lists are fused, with scores rounded to six places and ties in the order first seen; a query with one list
+    only keeps its order and scores. Also mode: how many lists of which kind a query had is the caller's to say.
+    """
+    several = F.size(F.collect_set("list_no").over(Window.partitionBy("query_id"))) > 1
+    marked = lists.withColumn("several", several)
+    merged = marked.groupBy("query_id", key).agg(F.sum(F.lit(1.0) / (RANK_CONSTANT + F.col("rank"))).alias("sum"), F.min(F.struct("list_no", "rank")).alias("first"), F.max("score").alias("own"), F.max("several").alias("several"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.when(F.col("several"), F.round("sum", 12))), "first")
+    return merged.select("query_id", key, F.when(F.col("several"), F.round("sum", 6)).otherwise(F.col("own")).alias("score"), F.row_number().over(order).alias("rank"))
+
+
+def rerank(hits: DataFrame, question: str, text: str, scorer: Callable[[Column, Column], Column]) -> DataFrame:
+    """Hits (query_id, rank, score) in the order of a scorer's score, rounded to four places; ties keep their order.
+
+    scorer is any expression of question and text, such as a pandas_udf over a model. Where it gives null for a hit of
+    a query, as a model that failed does, this query's hits stay as they are.
+    """
+    scored = hits.withColumn("_new", F.bround(scorer(F.col(question), F.col(text)), 4))
+    whole = Window.partitionBy("query_id")
+    failed = F.max(F.col("_new").isNull()).over(whole)
+    scored = scored.withColumn("_failed", failed)
+    order = F.row_number().over(whole.orderBy(F.desc(F.when(~F.col("_failed"), F.col("_new"))), "rank"))
+    return scored.withColumn("_rank", order).withColumn("score", F.when(F.col("_failed"), F.col("score")).otherwise(F.col("_new"))).withColumn("rank", F.col("_rank")).drop("_new", "_failed", "_rank")
+
+
+def shared_characters(question: Column, text: Column) -> Column:
+    """A stand-in scorer: the share of the question's different characters that the text has."""
+    chars = F.array_distinct(F.filter(F.split(question, ""), lambda c: c != ""))
+    return F.when(F.size(chars) > 0, F.size(F.filter(chars, lambda c: F.contains(text, c))) / F.size(chars)).otherwise(F.lit(0.0))
+
+
+def query_lists(queries: DataFrame, records: DataFrame, key: str, pool: int, encode: Callable[[Column], Column] | None) -> DataFrame:
+    """Ranked lists of each of a question's queries (query_id, query_no, query): by vectors first, then by keywords.
+
+    Without an encoder there are keyword lists only. Needs key and text of records.
+    """
+    named = queries.select("query_id", "query_no", "query", (F.col("query_id") * 16 + F.col("query_no")).alias("sub"))
+    words = top(keyword_hits(records, key, named.select(F.col("sub").alias("query_id"), keyword_tokens("query").alias("terms"))), pool, key).select("query_id", key, "score", "rank", F.lit(100).alias("kind"))
+    if encode:
+        coded = records.where("text is not null").select(key, encode(F.col("text")).alias("embedding"))
+        near = above(vector_hits(coded, key, "embedding", named.select(F.col("sub").alias("query_id"), encode(F.col("query")).alias("vector")), pool))
+        words = near.select("query_id", key, "score", "rank", F.lit(0).alias("kind")).unionByName(words)
+    return words.select(F.floor(F.col("query_id") / 16).alias("query_id"), (F.pmod("query_id", F.lit(16)) + F.col("kind")).cast("int").alias("list_no"), "rank", key, "score")
+
+
+def retrieve_multi(queries: DataFrame, records: DataFrame, key: str, k: int, encode: Callable[[Column], Column] | None = None, scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """query_id, place, key, chapter and score of the k best chapters of each question, from all its queries' lists.
+
+    queries has query_id, query_no (0 is the question itself, at most 15) and query; records has key, text and chapter.
+    Each query is searched to 5k; what is fused is cut to 3k, reranked if a scorer is given, and each chapter stands
+    with its best record. Blank questions and questions without a hit have no row.
+    """
+    lists = query_lists(queries.where(F.trim("query") != ""), records, key, POOL * k, encode)
+    pool = fused_or_single(lists, key).where(F.col("rank") <= RERANKED * k).join(records.select(key, "chapter", "text"), key)
+    if scorer:
+        own = queries.where("query_no = 0").select("query_id", F.col("query").alias("question"))
+        pool = rerank(pool.join(own, "query_id"), "question", "text", scorer)
+    return best_of_group(pool.select("query_id", key, "chapter", "score", "rank"), "chapter", "rank", k).select("query_id", "place", key, "chapter", "score")
+
+
+def retrieval_status(queries: DataFrame, lists: DataFrame) -> DataFrame:
+    """query_id, queries, and the mode of fusion: both, vectors or keywords only, and how many lists there were."""
+    asked = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("queries"))
+    kinds = lists.groupBy("query_id").agg(F.count_distinct("list_no").alias("lists"), F.max((F.col("list_no") < 100).cast("int")).alias("v"), F.max((F.col("list_no") >= 100).cast("int")).alias("w"))
+    mode = F.when((F.col("v") == 1) & (F.col("w") == 1), "both").when(F.col("v") == 1, "vectors").when(F.col("w") == 1, "keywords").otherwise("none")
+    return asked.join(kinds, "query_id", "left").select("query_id", "queries", F.coalesce("lists", F.lit(0)).cast("long").alias("lists"), mode.alias("mode"))
+
+
 def expand(hits: DataFrame, chunks: DataFrame, parents: DataFrame) -> DataFrame:
     """query_id, kind, id and book_id of hits, then for each its parent, the chunk before and the one after, each once.
 
@@ -157,8 +267,8 @@ def expanded_context(hits: DataFrame) -> DataFrame:
     return blocks.select("query_id", F.array_join(F.col("b.block"), "\n\n---\n\n").alias("context"))
 
 
-def hash_encode(text: Column, dimensions: int = 64) -> Column:
-    """A stand-in encoder: counts of characters by code modulo the dimensions, of unit length."""
+def hash_encode(text: Column, dimensions: int = 64, unit: bool = True) -> Column:
+    """A stand-in encoder: counts of characters by code modulo the dimensions, of unit length if wanted."""
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
@@ -168,7 +278,7 @@ def hash_encode(text: Column, dimensions: int = 64) -> Column:
             v = np.bincount(codes % dimensions, minlength=dimensions).astype(np.float32)
             if not v.any():
                 v[0] = 1
-            out.append(v / np.linalg.norm(v))
+            out.append(v / np.linalg.norm(v) if unit else v)
         return pd.Series(out)
 
     return encode(text)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.functions import vectors as V
 from quillspark.operators import context as X
+from quillspark.operators import evaluate as E
 from quillspark.operators import index as I
 from quillspark.operators import retrieval as R
-from quillspark.plans.registry import query
+from quillspark.plans.registry import query, strip_sql
 from quillspark.session import cut_lineage, spread, table
 
 _RUNS = "regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]+')"
@@ -202,16 +203,75 @@ def context_expanded(spark, d):
     return R.expanded_context(chunks.unionByName(whole))
 
 
-@query()
+_QUERIES = f"""q as (select item_id as query_id, query_no - 1 as query_no, queries[query_no] as query from (select item_id, queries, unnest(range(1, len(queries) + 1)) as query_no from (
+  select item_id, list_filter(l, lambda v, i: list_position(l, v) = i)[1:4] as queries from (
+    select item_id, list_filter(list_transform(list_concat([question], coalesce(answer_terms, [])), lambda x: {strip_sql('x')}), lambda x: x is not null and x <> '') as l from eval_items where {_PICK})))),
+w as (select query_id, query_no, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) as w from q),
+terms as (select query_id, query_no, w as term from w union select query_id, query_no, unnest(list_transform(range(1, greatest(length(w), 1)), lambda i: substring(w, i, 2))) from w where regexp_matches(w, '^[\\x{{4e00}}-\\x{{9fff}}]+$') and length(w) > 2),
+kw as (select query_id, query_no, rec_id, cast(sum({_SCORE}) as double) as score from (select rec_id, lower(text) as t from metadata where text <> '') join terms on strpos(t, term) > 0 group by query_id, query_no, rec_id),
+codes as (select rec_id, d, count(*)::double as n from (select rec_id, unicode(unnest(string_split(text, ''))) % 64 as d from metadata where text <> '') group by rec_id, d union all select rec_id, 0, 1.0 from metadata where text = ''),
+asked as (select query_id, query_no, d, count(*)::double as n from (select query_id, query_no, unicode(unnest(string_split(query, ''))) % 64 as d from q) group by query_id, query_no, d),
+rn as (select rec_id, sqrt(sum(n * n)) as len from codes group by rec_id), qn as (select query_id, query_no, sqrt(sum(n * n)) as len from asked group by query_id, query_no),
+dots as (select query_id, query_no, rec_id, sum(asked.n * codes.n) as dot from asked join codes using (d) group by query_id, query_no, rec_id),
+vec as (select query_id, query_no, rec_id, round(dot / qn.len / rn.len, 9) as score from dots join rn using (rec_id) join qn using (query_id, query_no))"""
+
+
+def _multi_sql(kinds: tuple[str, ...], first_only: bool, reranked: bool) -> str:
+    """Lists of 25, fused unless there is one only, cut to 15, the best of each chapter up to 5."""
+    only = " where query_no = 0" if first_only else ""
+    lists = " union all ".join({"vec": f"select query_id, query_no as list_no, rec_id, round_even(score, 4) as score, rank from (select *, row_number() over (partition by query_id, query_no order by score desc, rec_id) as rank from vec{only}) where rank <= 25 and score > 0.1", "kw": f"select query_id, 100 + query_no as list_no, rec_id, score, rank from (select *, row_number() over (partition by query_id, query_no order by score desc, rec_id) as rank from kw{only}) where rank <= 25"}[k] for k in kinds)
+    new = "rank" if not reranked else "row_number() over (partition by query_id order by score desc, rank)"
+    score = "score" if not reranked else "round_even(len(list_filter(list_distinct(string_split(question, '')), lambda c: contains(text, c))) / len(list_distinct(string_split(question, '')))::double, 4)"
+    return f"""with {_QUERIES}, lists as ({lists}), n as (select query_id, count(distinct list_no) > 1 as several from lists group by query_id),
+m as (select query_id, rec_id, sum(1e0 / (60 + rank)) as s, min({{'a': list_no, 'b': rank}}) as first, max(score) as own from lists group by query_id, rec_id),
+f as (select query_id, rec_id, case when several then round(s, 6) else own end as score, row_number() over (partition by query_id order by case when several then round(s, 12) end desc, first) as rank from m join n using (query_id)),
+c as (select f.query_id, f.rec_id, {score} as score, rank, chapter from f join metadata using (rec_id) join (select query_id, query as question from q where query_no = 0) using (query_id) where rank <= 15),
+r as (select query_id, rec_id, score, {new} as rank, chapter from c),
+b as (select *, (coalesce(chapter, '') = '')::int as tier, row_number() over (partition by query_id, coalesce(nullif(chapter, ''), chr(1) || rec_id) order by score desc, rank) as n from r)
+select query_id, rec_id, chapter, score, place from (select *, row_number() over (partition by query_id order by tier, score desc, rank) as place from b where n = 1) where place <= 5"""
+
+
+def _asked(spark, d):
+    """The question and up to three of its item's terms as further queries."""
+    items = table(spark, d, "eval_items").where(F.expr(_PICK))
+    return items.select(F.col("item_id").alias("query_id"), F.posexplode(E.merge_queries(F.col("question"), F.col("answer_terms"))).alias("query_no", "query"))
+
+
+def _encode(text):
+    return R.hash_encode(text, unit=False)
+
+
+def _found(hits):
+    return hits.select("query_id", "rec_id", "chapter", "score", F.col("place").cast("long").alias("place"))
+
+
+@query(_multi_sql(("vec", "kw"), False, False))
+def retrieve_multi(spark, d):
+    """Question and rewrites, each by vectors of a stand-in encoder and by keywords, all lists fused."""
+    return _found(R.retrieve_multi(_asked(spark, d), table(spark, d, "metadata"), "rec_id", 5, _encode))
+
+
+@query(_multi_sql(("vec", "kw"), False, True))
+def rerank_order(spark, d):
+    """The same with a stand-in reranker over the fused pool."""
+    return _found(R.retrieve_multi(_asked(spark, d), table(spark, d, "metadata"), "rec_id", 5, _encode, R.shared_characters))
+
+
+@query(_multi_sql(("kw",), True, False))
+def single_list_bypass(spark, d):
+    """One query and no encoder leave one list, which keeps its scores."""
+    return _found(R.retrieve_multi(_asked(spark, d).where("query_no = 0"), table(spark, d, "metadata"), "rec_id", 5))
+
+
+@query(_multi_sql(("vec", "kw"), True, False))
 def hybrid_retrieve(spark, d):
-    """Vectors of a stand-in encoder and keywords fused for each question, best record of each chapter."""
-    records = table(spark, d, "metadata")
-    questions = table(spark, d, "eval_items").where(F.expr(_PICK))
-    k = 5
-    asked = questions.select(F.col("item_id").alias("query_id"), R.hash_encode(F.col("question")).alias("vector"))
-    coded = records.where("text is not null").select("rec_id", R.hash_encode(F.col("text")).alias("embedding"))
-    by_vector = R.above(R.vector_hits(coded, "rec_id", "embedding", asked, R.POOL * k)).select("query_id", F.lit(0).alias("list_no"), "rec_id", "rank")
-    by_word = R.top(R.keyword_hits(records, "rec_id", _questions(spark, d)), R.POOL * k, "rec_id").select("query_id", F.lit(1).alias("list_no"), "rec_id", "rank")
-    fused = R.top(R.fuse(by_vector.unionByName(by_word), "rec_id"), R.RERANKED * k, "rec_id")
-    named = fused.join(records.select("rec_id", "chapter"), "rec_id").select("query_id", "rec_id", "chapter", "score")
-    return R.best_of_group(named, "chapter", "rec_id", k).select("query_id", "rec_id", "chapter", "score", "place")
+    """Vectors and keywords of the question alone."""
+    return _found(R.retrieve_multi(_asked(spark, d).where("query_no = 0"), table(spark, d, "metadata"), "rec_id", 5, _encode))
+
+
+@query(f"""with {_QUERIES}, l as (select query_id, query_no as list_no from vec where score > 0.1 union select query_id, 100 + query_no from kw),
+k as (select query_id, count(*) as lists, max((list_no < 100)::int) as v, max((list_no >= 100)::int) as w from l group by query_id)
+select query_id, count(*) as queries, coalesce(max(lists), 0) as lists, case when max(v) = 1 and max(w) = 1 then 'both' when max(v) = 1 then 'vectors' when max(w) = 1 then 'keywords' else 'none' end as mode from q left join k using (query_id) group by query_id""")
+def retrieval_status(spark, d):
+    asked = _asked(spark, d)
+    return R.retrieval_status(asked, R.query_lists(asked, table(spark, d, "metadata"), "rec_id", 25, _encode))
