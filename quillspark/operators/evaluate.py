@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions.text import cut_into_sentences, grams_of, strip
+from quillspark.functions.text import WS, cut_into_sentences, grams_of, han_runs, squeeze, strip
+from quillspark.operators import retrieval as R
+from quillspark.operators.context import grams
 from quillspark.operators.structure import chapter_number
 
 #: Words that stand for a person without a name, longest first.
@@ -73,6 +75,165 @@ def kind_of(name: Column) -> Column:
     return out
 
 
+def _placed_grams(chars: str, size: int) -> Column:
+    return F.transform(grams_of(F.col(chars), size), lambda g, i: F.struct(i.alias("at"), F.lit(size).alias("size"), g.alias("gram")))
+
+
+def question_entities(questions: DataFrame, terms: DataFrame, sizes: tuple[int, ...] = (2, 3), most: int = 3) -> DataFrame:
+    """query_id and entities of questions (query_id, question): terms (gram) found from left to right, the longest at each place.
+
+    Longer ones first, then in order of appearance, each once. Questions without a term have no row.
+    """
+    runs = questions.select("query_id", F.posexplode(han_runs("question", min(sizes))).alias("run", "chars"))
+    each = runs.select("query_id", "run", F.explode(F.concat(*[_placed_grams("chars", n) for n in sizes])).alias("g")).select("query_id", "run", "g.*")
+    known = each.join(terms.select("gram").distinct(), "gram", "left_semi")
+    listed = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("run", "at", (-F.col("size")).alias("n"), "gram"))).alias("l"))
+    start = F.struct(F.lit(-1).alias("run"), F.lit(0).alias("end"), F.array().cast("array<string>").alias("got"))
+    taken = F.aggregate("l", start, lambda s, e: F.when((e["run"] != s["run"]) | (e["at"] >= s["end"]), F.struct(e["run"].alias("run"), (e["at"] - e["n"]).alias("end"), F.concat(s["got"], F.array(e["gram"])).alias("got"))).otherwise(s), lambda s: s["got"])
+    ordered = F.array_sort(F.transform(F.array_distinct(taken), lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w"))))
+    return listed.select("query_id", F.slice(ordered["w"], F.lit(1), F.lit(most)).alias("entities"))
+
+
+def leading_terms(answers: DataFrame, terms: DataFrame, most: int = 3) -> DataFrame:
+    """query_id and its answer's most frequent terms (gram, n): two characters before three where they tie, then the earlier."""
+    runs = answers.select("query_id", F.posexplode(han_runs("answer", 2)).alias("run", "chars"))
+    each = runs.select("query_id", "run", F.explode(F.concat(*[_placed_grams("chars", n) for n in (2, 3)])).alias("g")).select("query_id", "run", "g.*")
+    first = each.groupBy("query_id", "gram").agg(F.min(F.struct("size", "run", "at")).alias("first")).join(terms.select("gram", "n"), "gram")
+    listed = first.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "gram"))).alias("l"))
+    return listed.select("query_id", F.slice(listed["l"]["gram"], F.lit(1), F.lit(most)).alias("terms"))
+
+
+#: Share of an answer that a text has to hold in order, and how many of its leading terms.
+ANCHORED, LEADING_HELD = 0.85, 2
+
+
+def auto_judge(hits: DataFrame, answers: DataFrame, terms: DataFrame) -> DataFrame:
+    """Hits (query_id, rank, chapter, text) with what holds of answers (query_id, answer, gold_chapter): chapter, anchor, keyword, any.
+
+    any is anchor or keyword. A text holds the answer's anchor if it has its characters in order, white space aside.
+    """
+    marked = hits.join(answers, "query_id").join(leading_terms(answers, terms).withColumnRenamed("terms", "leading"), "query_id", "left")
+    bare = squeeze("text")
+    anchor = coverage(squeeze("answer"), bare) >= ANCHORED
+    held = F.coalesce(F.size(F.filter("leading", lambda t: F.contains(bare, t))) >= LEADING_HELD, F.lit(False))
+    chapter = F.coalesce(same_chapter(F.col("chapter"), F.col("gold_chapter")), F.lit(False))
+    return marked.select("query_id", "rank", chapter.alias("chapter"), anchor.alias("anchor"), held.alias("keyword"), (anchor | held).alias("any"))
+
+
+def judged_shares(judged: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """k and, for each kind of hit, the number of queries with one among the first k."""
+    kinds = ("chapter", "anchor", "keyword", "any")
+    each = judged.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))
+    once = each.groupBy("k", "query_id").agg(*[F.max(F.col(c).cast("long")).alias(c) for c in kinds])
+    return once.groupBy("k").agg(*[F.sum(c).alias(c) for c in kinds])
+
+
+#: Configurations that are compared: name, top k, reranked, with the question's entities as further queries.
+CONFIGS = [("baseline_top5", 5, False, False), ("top50", 50, False, False), ("top100", 100, False, False), ("rerank_top5", 5, True, False), ("rerank_top20", 20, True, False), ("entity_top5", 5, False, True), ("entity_rerank_top20", 20, True, True)]
+
+
+def compare_configs(lists: DataFrame, questions: DataFrame, records: DataFrame, key: str, scorer, configs=CONFIGS) -> DataFrame:
+    """query_id, config, rank and chapter of each configuration's hits.
+
+    lists (query_id, list_no, rank, key, score) go as deep as the widest configuration and have the question's own lists
+    as 0 and 100; questions has query_id and question; records key, chapter and text.
+    """
+    spark = lists.sparkSession
+    named = F.broadcast(spark.createDataFrame([(n, *c) for n, c in enumerate(configs)], "config_no int, config string, top_k int, reranked boolean, with_entities boolean"))  # a few rows
+    of_config = lists.crossJoin(named).where((F.col("with_entities") | (F.col("list_no") % 100 == 0)) & (F.col("rank") <= R.POOL * F.col("top_k")))
+    fused = R.fused_or_single(of_config.select((F.col("query_id") * 16 + F.col("config_no")).alias("query_id"), "list_no", "rank", key, "score"), key)
+    own = fused.withColumn("config_no", F.pmod("query_id", F.lit(16)).cast("int")).join(named, "config_no").where(F.col("rank") <= R.RERANKED * F.col("top_k"))
+    asked = questions.select(F.col("query_id").alias("asked"), "question")
+    pool = own.withColumn("asked", F.floor(F.col("query_id") / 16)).join(asked, "asked").join(records.select(key, "chapter", "text"), key)
+    sorted_ = R.rerank(pool.withColumn("question", F.when(F.col("reranked"), F.col("question"))), "question", "text", lambda q, t: F.when(q.isNotNull(), scorer(q, t)))
+    best = R.best_of_group(sorted_, "chapter", "rank", max(c[1] for c in configs)).where(F.col("place") <= F.col("top_k"))
+    return best.select(F.col("asked").alias("query_id"), "config", F.col("place").alias("rank"), "chapter")
+
+
+def chapter_metrics(hits: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
+    """by, query_id, first (rank of the first hit with the gold chapter's number) and first_distinct (its place among different numbers)."""
+    numbered = hits.withColumn("number", chapter_number("chapter")).where("number is not null")
+    firsts = numbered.groupBy(*by, "query_id", "number").agg(F.min("rank").alias("first"))
+    placed = firsts.withColumn("first_distinct", F.row_number().over(Window.partitionBy(*by, "query_id").orderBy("first")))
+    wanted = gold.select("query_id", chapter_number("gold_chapter").alias("number")).where("number is not null")
+    return placed.join(wanted, ["query_id", "number"]).select(*by, "query_id", "first", "first_distinct")
+
+
+#: The words a question ends with for each kind of entity.
+TAILS = {"place": "这是在哪里？", "item": "这是什么东西？", "faction": "这是哪个势力？", "person": "这个人是谁？"}
+LEAST_LOCAL, MOST_CHAPTERS = 25, 15
+
+
+def local_terms(records: DataFrame, least: int = LEAST_LOCAL, most: int = MOST_CHAPTERS) -> DataFrame:
+    """gram, n and span of grams of two to four characters that occur often in few chapters (of a book)."""
+    each = grams(records, ["book_id", "chapter_id"], (2, 3, 4)).groupBy("gram", "book_id", "chapter_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("span"))
+    return whole.where((F.col("n") >= least) & (F.col("span") <= most))
+
+
+def natural_questions(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """rec_id, chapter, at, question, entity, kind and evidence: the sentence beside one with a local term asks for it.
+
+    A sentence of 15 to 80 characters is asked for by its term of most n * length^2 / span, ties to the larger term. The
+    sentence before it leads, else the one after: 12 to 70 characters without the term. Each chapter and each term
+    once, at the earliest record: the first of each chapter is taken before the first of each term.
+    """
+    whole = records.where("chapter <> ''").select("rec_id", "book_id", "chapter", cut_into_sentences("text").alias("all"))
+    each = whole.select("rec_id", "book_id", "chapter", "all", F.posexplode("all").alias("at", "sentence")).where(F.length("sentence").between(15, 80))
+    runs = F.flatten(F.transform(han_runs("sentence", 2), lambda run: F.concat(*[grams_of(run, n) for n in (2, 3, 4)])))
+    weighed = each.select("rec_id", "at", F.explode(F.array_distinct(runs)).alias("gram")).join(terms, "gram")
+    best = weighed.groupBy("rec_id", "at").agg(F.max(F.struct((F.col("n") * F.length("gram") * F.length("gram") / F.col("span")).alias("w"), "gram")).alias("b"))
+    found = each.join(best.select("rec_id", "at", F.col("b.gram").alias("entity")), ["rec_id", "at"])
+    leads = F.filter(F.array(F.get("all", F.col("at") - 1), F.get("all", F.col("at") + 1)), lambda s: s.isNotNull() & F.length(s).between(12, 70) & ~F.contains(s, F.col("entity")))
+    asked = found.withColumn("lead", F.get(leads, 0)).where("lead is not null").withColumn("kind", kind_of(F.col("entity")))
+    tail = F.coalesce(*[F.when(F.col("kind") == k, t) for k, t in TAILS.items()])
+    asked = asked.withColumn("question", F.concat(F.regexp_replace("lead", "[，、；：]+$", ""), F.lit("，"), tail)).where(~F.contains("question", F.col("entity")))
+    for by in (["book_id", "chapter"], ["entity"]):
+        first = asked.groupBy(*by).agg(F.min(F.struct("rec_id", "at")).alias("f")).select(F.col("f.rec_id").alias("rec_id"), F.col("f.at").alias("at"))
+        asked = asked.join(first, ["rec_id", "at"])
+    return asked.select("rec_id", "chapter", "at", "question", "entity", "kind", F.col("sentence").alias("evidence"))
+
+
+def verification(items: DataFrame, span: DataFrame) -> DataFrame:
+    """item_id and each reason against it: items has question, answer and evidence, span has item_id and the chapters its answer is in."""
+    marked = items.join(span, "item_id", "left")
+    question, answer = F.coalesce(F.trim("question"), F.lit("")), F.coalesce(F.trim("answer"), F.lit(""))
+    none = (question == "") | (answer == "")
+    rules = {
+        "missing": none, "length": ~none & ~F.length(question).between(18, 100), "not in text": ~none & ~F.contains(F.coalesce("evidence", F.lit("")), answer), "in question": ~none & F.contains(question, answer),
+        "leaks": ~none & F.exists(grams_of(answer, 3), lambda g: F.contains(question, g)), "everywhere": ~none & (F.coalesce("span", F.lit(0)) > 30),
+    }
+    flags = F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+    return marked.select("item_id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("reason"))
+
+
+def chapter_truth(items: DataFrame, records: DataFrame, most: int = 1000) -> DataFrame:
+    """item_id, truth and where it is from: evidence, else the answer's terms, else the gold chapter's text, else missing.
+
+    The gold chapter is that of the item's book with the same number; of its records only as many as fill the text are
+    put together, in the order of rec_id.
+    """
+    flat = lambda c: strip(F.regexp_replace(c, f"{WS}+", " "))
+    own = items.select("item_id", "book_title", chapter_number("gold_chapter").alias("number"), flat("evidence").alias("evidence"), F.when(F.size("answer_terms") > 0, F.array_join("answer_terms", "、")).alias("terms"))
+    wanted = own.where("coalesce(evidence, '') = '' and terms is null and number is not null").select("book_title", "number").distinct()
+    texts = records.where("text <> ''").select("rec_id", "book_title", chapter_number("chapter").alias("number"), "text").join(wanted, ["book_title", "number"], "left_semi")
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("book_title", "number").orderBy("rec_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    some = texts.withColumn("before", before).where(F.col("before") < most)
+    gold = some.groupBy("book_title", "number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_id", "text"))), lambda x: x["text"]), "\n").alias("gold"))
+    joined = own.join(gold, ["book_title", "number"], "left")
+    truth = F.coalesce(F.when(F.col("evidence") != "", F.col("evidence")), F.col("terms"), flat("gold"), F.lit(""))
+    source = F.when(F.col("evidence") != "", "evidence").when(F.col("terms").isNotNull(), "terms").when(F.col("gold").isNotNull(), "chapter").otherwise("missing")
+    return joined.select("item_id", F.left(truth, F.lit(most)).alias("truth"), source.alias("source"))
+
+
+def usable_rewrites(rewrites: Column, question: Column) -> Column:
+    """entities and queries without those that still hold a word for a person without a name or repeat the question; failed if none is left."""
+    meta = "|".join(META_TERMS)
+    keep = lambda items: F.filter(items, lambda x: ~x.rlike(meta) & (x != question))
+    entities, queries = keep(rewrites["entities"]), keep(rewrites["queries"])
+    return F.struct(entities.alias("entities"), queries.alias("queries"), (F.size(F.coalesce(entities, F.array())) + F.size(F.coalesce(queries, F.array())) == 0).alias("failed"))
+
+
 def ground_truth(items: DataFrame) -> DataFrame:
     """item_id, truth and where it is from: the evidence, else the answer's terms, else missing."""
     terms = F.when(F.size("answer_terms") > 0, F.array_join("answer_terms", "、"))

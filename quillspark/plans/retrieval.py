@@ -36,7 +36,11 @@ def ngram_counts(spark, d):
 _NAMES = ", ".join(f"'{w}'" for w in X.NOT_NAMES)
 
 
-@query(f"select gram, count(*) as n from ({_grams(keys='', where='text is not null')}) where not (length(gram) = 2 and regexp_matches(gram, '[{X.NOT_IN_TERMS}]')) and gram not in ({_NAMES}) group by gram having count(*) >= 30")
+#: Grams that occur often and hold no particle.
+TERMS = f"select gram, count(*) as n from ({_grams(keys='', where='text is not null')}) where not (length(gram) = 2 and regexp_matches(gram, '[{X.NOT_IN_TERMS}]')) and gram not in ({_NAMES}) group by gram having count(*) >= 30"
+
+
+@query(TERMS)
 def book_terms(spark, d):
     return X.book_terms(_texts(spark, d))
 

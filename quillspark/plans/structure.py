@@ -16,7 +16,7 @@ _EACH = f"each as (select doc_id, unnest({_L}) as line, unnest(range(0, len({_L}
 _DIGIT = "case c " + " ".join(f"when '{k}' then {v}" for k, v in S.DIGITS.items()) + " end"
 
 
-def _number_sql(title: str) -> str:
+def number_sql(title: str) -> str:
     """Numbers up to 9999 by place; larger ones by their part before 万."""
     raw = f"regexp_extract({strip_sql(title)}, '{S.NUMBER}', 1)"
 
@@ -31,7 +31,7 @@ def _value(c: str) -> str:
     return f"case {c} " + " ".join(f"when '{k}' then {v}" for k, v in S.DIGITS.items() if v) + " else null end"
 
 
-_HEADS = f"""titles as (select doc_id, line_no, {strip_sql('line')} as title, {_number_sql('line')} as number from each where {_TITLE}),
+_HEADS = f"""titles as (select doc_id, line_no, {strip_sql('line')} as title, {number_sql('line')} as number from each where {_TITLE}),
 kept as (select * from (select *, max(number) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as highest from titles) where number is null or number >= coalesce(highest, 0)),
 heads as (select doc_id, line_no, title from (select *, line_no - lag(line_no) over (partition by doc_id order by line_no) as gap from kept) where gap is null or gap > 1)"""
 
@@ -45,7 +45,7 @@ def title_flag(spark, d):
     return S.numbered_lines(_documents(spark, d)).where(C.is_title("line")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.strip("line").alias("title"))
 
 
-@query(f"select distinct chapter_title, cast({_number_sql('chapter_title')} as bigint) as number from chapter_index where chapter_title is not null")
+@query(f"select distinct chapter_title, cast({number_sql('chapter_title')} as bigint) as number from chapter_index where chapter_title is not null")
 def cn_numerals(spark, d):
     return table(spark, d, "chapter_index").where("chapter_title is not null").select("chapter_title", S.chapter_number("chapter_title").alias("number")).distinct()
 
