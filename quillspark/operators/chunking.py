@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions.text import estimate_tokens, strip
 from quillspark.operators import splitters
-from quillspark.operators.structure import parse_structure, scenes
+from quillspark.operators.structure import chapter_bodies, chapter_hash, parse_structure, scene_summary, with_scenes
 from quillspark.session import spread
 
 PARENT_LEAST, PARENT_MOST, PARENT_MEMBERS = 800, 1500, 4
@@ -72,24 +72,48 @@ def prefix(book: Column, chapter: Column, summary: Column) -> Column:
 
 
 def build_chunks(documents: DataFrame, key: str = "doc_id", spec: splitters.Spec | None = None) -> DataFrame:
-    """Chunk records of every document: ids by chapter and document, links, scene, prefix, sizes and parent."""
-    chapters = parse_structure(documents, key)
-    bodies = chapters.select(key, "chapter_id", "text")
-    pieces = chunk_tokenwise(bodies, [key, "chapter_id"], spec, scanned=False)
-    found = scenes(bodies.withColumn("place", F.struct(key, "chapter_id")), "place").groupBy("place").agg(F.array_sort(F.collect_list(F.struct("start", "scene_no", "summary"))).alias("scenes"))
-    marked = pieces.join(found.select("place.*", "scenes"), [key, "chapter_id"], "left").join(chapters.select(key, "chapter_id", "title", "hash", F.col("start").alias("chapter_start"), F.substring("chapter_id", 2, 9).cast("int").alias("chapter_no")), [key, "chapter_id"])
-    upto = F.filter("scenes", lambda s: s["start"] <= F.col("start"))
-    scene = F.coalesce(F.get(upto, F.size(upto) - 1), F.get("scenes", 0))
-    in_chapter, in_document = Window.partitionBy(key, "chapter_id").orderBy("chunk_no"), Window.partitionBy(key).orderBy("chapter_no", "chunk_no")
-    numbered = marked.withColumn("scene", scene).withColumn("chunk_id", F.row_number().over(in_document))
-    return numbered.select(
-        key, "chapter_id", F.col("title").alias("chapter"), F.col("hash").alias("chapter_hash"), F.concat("chapter_id", F.lit("_s"), F.col("scene.scene_no")).alias("scene_id"), F.col("scene.summary").alias("scene_summary"),
-        F.col("chunk_no").alias("chunk_index"), "chunk_id", F.col("chunk").alias("text"), prefix(F.lit(None).cast("string"), F.col("title"), F.col("scene.summary")).alias("prefix"),
-        F.length("chunk").alias("chunk_length"), estimate_tokens("chunk").alias("token_count"), (F.col("chapter_start") + F.col("start")).alias("start_pos"), (F.col("chapter_start") + F.col("end")).alias("end_pos"),
-        F.lag("chunk_id").over(in_chapter).alias("prev_chunk_id"), F.lead("chunk_id").over(in_chapter).alias("next_chunk_id"),
+    """Chunk records of every document: ids by chapter and document, links, scene, prefix, sizes and parent.
+
+    Everything is found inside a document's own row. documents may have book_title. A parent is named by its document
+    and its first chunk.
+    """
+    s = spec or splitters.Spec()
+    titled = documents if "book_title" in documents.columns else documents.withColumn("book_title", F.lit(None).cast("string"))
+
+    @F.pandas_udf("array<array<int>>")
+    def cut(documents_: pd.Series) -> pd.Series:
+        return pd.Series([[[place for ends in splitters.Cutter(text, s).chunks() for place in ends] for text in texts] for texts in documents_])
+
+    parsed = chapter_bodies(titled, key, "book_title").withColumn("cuts", cut(F.transform("bodies", lambda c: c["text"])))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("got"))
+    before = F.aggregate("cuts", start, lambda st, c: F.struct((st["n"] + (F.size(c) / 2).cast("int")).alias("n"), F.concat(st["got"], F.array(st["n"])).alias("got")), lambda st: st["got"])
+    parsed = parsed.withColumn("before", before)
+    each = parsed.select(key, "book_title", "begins", "cuts", "before", F.posexplode("bodies").alias("no", "c"))
+    chapters = each.select(key, "book_title", F.concat(F.lit("c"), F.col("no") + 1).alias("chapter_id"), F.col("c.title").alias("title"), F.col("c.text").alias("text"), F.get("begins", "no").alias("chapter_start"), F.get("cuts", "no").alias("cut"), F.get("before", "no").alias("before"))
+    found = with_scenes(chapters.where(F.size("cut") > 0)).withColumn("n", (F.size("cut") / 2).cast("int")).withColumn("hash", chapter_hash("text"))
+    pieces = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(i.alias("i"), F.get("cut", i * 2).alias("a"), F.get("cut", i * 2 + 1).alias("b"), strip(F.substring("text", F.get("cut", i * 2) + 1, F.get("cut", i * 2 + 1) - F.get("cut", i * 2))).alias("chunk")))
+    found = found.withColumn("pieces", pieces).withColumn("sizes", parent_sizes(F.transform("pieces", lambda p: F.length(p["chunk"]))))
+    firsts = F.aggregate("sizes", start, lambda st, n: F.struct((st["n"] + n).alias("n"), F.concat(st["got"], F.array(st["n"])).alias("got")), lambda st: st["got"])
+    placed = found.withColumn("firsts", firsts).select(key, "book_title", "chapter_id", "title", "hash", "chapter_start", "before", "n", "scenes", "firsts", F.explode("pieces").alias("p"))
+    upto = F.filter("scenes", lambda x: x["start"] <= F.col("p.a"))
+    placed = placed.withColumn("scene", F.coalesce(F.get(upto, F.size(upto) - 1), F.get("scenes", 0))).withColumn("summary", scene_summary("scene.text")).withColumn("chunk_id", F.col("before") + F.col("p.i") + 1)
+    placed = placed.withColumn("prefix", prefix(F.col("book_title"), F.col("title"), F.col("summary"))).withColumn("first", F.array_max(F.filter("firsts", lambda f: f <= F.col("p.i"))))
+    return placed.select(
+        key, "book_title", "chapter_id", F.col("title").alias("chapter"), F.col("hash").alias("chapter_hash"), F.concat("chapter_id", F.lit("_s"), F.col("scene.scene_no")).alias("scene_id"), F.col("summary").alias("scene_summary"),
+        (F.col("p.i") + 1).alias("chunk_index"), "chunk_id", F.col("p.chunk").alias("text"), "prefix",
+        F.length("p.chunk").alias("chunk_length"), estimate_tokens("p.chunk").alias("token_count"), estimate_tokens(F.concat("prefix", "p.chunk")).alias("total_token_count"), (F.col("chapter_start") + F.col("p.a")).alias("start_pos"), (F.col("chapter_start") + F.col("p.b")).alias("end_pos"),
+        F.when(F.col("p.i") > 0, F.col("chunk_id") - 1).alias("prev_chunk_id"), F.when(F.col("p.i") + 1 < F.col("n"), F.col("chunk_id") + 1).alias("next_chunk_id"),
+        F.concat(F.col(key).cast("string"), F.lit("_p"), F.col("before") + F.col("first") + 1).alias("parent_id"),
     )
 
 
+def chunk_by_chapter(documents: DataFrame, key: str = "doc_id", spec: splitters.Spec | None = None) -> DataFrame:
+    """key, chapter_id, chunk_no, start, end and chunk: each chapter's body cut on its own; a text without headings is one chapter."""
+    s = spec or splitters.Spec()
+    bodies = parse_structure(documents, key).select(key, "chapter_id", "text")
+    return cut_texts(bodies, [key, "chapter_id"], lambda t: splitters.recursive(t, s.min_chars, s.max_chars, s.overlap_chars), scanned=False)
+
+
 def parent_sizes(lengths: Column, least: int = PARENT_LEAST, most: int = PARENT_MOST, members: int = PARENT_MEMBERS) -> Column:
     """How many neighbours each parent takes: up to four, until the least length is reached, never over the most.
 

@@ -1,10 +1,9 @@
-"""Chapters, scenes and lines of documents, found with windows instead of scans that carry state."""
+"""Chapters, scenes and lines of documents, found inside each document's own row, so that no text is shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillspark.functions.text import col, lines, strip
 from quillspark.operators.cleaning import is_title
@@ -46,47 +45,75 @@ def numbered_lines(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return documents.select(key, F.posexplode(lines("text")).alias("line_no", "line"))
 
 
-def heading_groups(each: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Headings that begin a chapter: key, line_no, title.
+def headings(text: Column | str) -> Column:
+    """Headings that begin a chapter: line_no and title of each.
 
     A numbered heading below the highest number so far is dropped, neighbouring headings are one, named by the first.
     """
-    titles = each.where(is_title("line")).select(key, "line_no", strip("line").alias("title")).withColumn("number", chapter_number("title"))
-    in_order = Window.partitionBy(key).orderBy("line_no")
-    highest = F.max("number").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    kept = titles.withColumn("highest", highest).where("number is null or number >= coalesce(highest, 0)")
-    return kept.withColumn("gap", F.col("line_no") - F.lag("line_no").over(in_order)).where("gap is null or gap > 1").select(key, "line_no", "title")
+    short = F.filter(F.transform(lines(text), lambda line, i: F.struct(i.alias("line_no"), line.alias("line"))), lambda x: is_title(x["line"]))
+    titles = F.transform(short, lambda x: F.struct(x["line_no"].alias("line_no"), strip(x["line"]).alias("title"), chapter_number(x["line"]).alias("number")))
+    kind = "array<struct<line_no:int,title:string>>"
+    start = F.struct(F.lit(0).cast("bigint").alias("highest"), F.lit(-2).alias("last"), F.array().cast(kind).alias("got"))
+
+    def add(state: Column, x: Column) -> Column:
+        own = F.array(F.struct(x["line_no"].alias("line_no"), x["title"].alias("title")))
+        got = F.when(x["line_no"] - state["last"] > 1, F.concat(state["got"], own)).otherwise(state["got"])
+        kept = F.struct(F.greatest(state["highest"], F.coalesce(x["number"], F.lit(0).cast("bigint"))).alias("highest"), x["line_no"].alias("last"), got.alias("got"))
+        return F.when(x["number"].isNull() | (x["number"] >= state["highest"]), kept).otherwise(state)
+
+    return F.aggregate(titles, start, add, lambda state: state["got"])
 
 
 def chapter_boundaries(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start_line, end_line (not in it) and title of each chapter; texts without heading have no row."""
-    each = numbered_lines(documents, key)
-    ends = documents.select(key, F.size(lines("text")).alias("line_count")).where("line_count > 0")
-    following = F.lead("line_no").over(Window.partitionBy(key).orderBy("line_no"))
-    return heading_groups(each, key).withColumn("next", following).join(ends, key).select(key, F.col("line_no").alias("start_line"), F.coalesce("next", "line_count").alias("end_line"), "title")
+    found = documents.where(F.col("text").isNotNull()).select(key, headings("text").alias("heads"), F.size(lines("text")).alias("line_count"))
+    each = found.select(key, "heads", "line_count", F.posexplode("heads").alias("at", "head"))
+    return each.select(key, F.col("head.line_no").alias("start_line"), F.coalesce(F.get("heads", F.col("at") + 1)["line_no"], F.col("line_count")).alias("end_line"), F.col("head.title").alias("title"))
+
+
+def _chapters(documents: DataFrame, key: str, *others: str) -> DataFrame:
+    """key, others and chapters: number (0 before the first heading), title, the line it begins at and its lines without the heading."""
+    rows = documents.where(F.col("text").isNotNull()).withColumn("_heads", headings("text")).withColumn("_lines", lines("text"))
+    opened = F.concat(F.array(F.struct(F.lit(-1).alias("line_no"), F.lit(BODY).alias("title"))), F.col("_heads"))
+    rows = rows.withColumn("_opened", opened)
+
+    def body(head: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_opened", i + 1)["line_no"], F.size("_lines"))
+        return F.struct(i.alias("chapter_no"), head["title"].alias("chapter"), (head["line_no"] + 1).alias("first"), F.slice("_lines", head["line_no"] + 2, end - head["line_no"] - 1).alias("l"))
+
+    return rows.select(key, *others, F.filter(F.transform("_opened", body), lambda c: F.size(c["l"]) > 0).alias("chapters"))
 
 
 def lines_in_chapters(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, line_no, line, chapter_no (0 before the first heading) and chapter of every line of a body, headings left out."""
-    each = numbered_lines(documents, key)
-    heads = heading_groups(each, key).select(key, "line_no", "title")
-    so_far = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = each.join(heads, [key, "line_no"], "left")
-    placed = marked.withColumn("chapter", F.coalesce(F.last("title", True).over(so_far), F.lit(BODY))).withColumn("chapter_no", F.count("title").over(so_far))
-    return placed.where("title is null").select(key, "line_no", "line", "chapter_no", "chapter")
+    each = _chapters(documents, key).select(key, F.explode("chapters").alias("c"))
+    return each.select(key, "c.chapter_no", "c.chapter", "c.first", F.posexplode("c.l").alias("at", "line")).select(key, (F.col("first") + F.col("at")).alias("line_no"), "line", "chapter_no", "chapter")
+
+
+def with_scenes(rows: DataFrame, to: str = "scenes") -> DataFrame:
+    """Adds scene_no (from 1), text and start of each run of lines of text that aren't blank."""
+    rows = rows.withColumn("_lines", lines("text")).withColumn("_blank", F.transform("_lines", lambda line: ~line.rlike(r"[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]")))
+    places = F.sequence(F.lit(0), F.size("_lines") - 1)
+    begins = F.filter(places, lambda i: ~F.get("_blank", i) & F.coalesce(F.get("_blank", i - 1), F.lit(True)))
+    ends = F.filter(places, lambda i: ~F.get("_blank", i) & F.coalesce(F.get("_blank", i + 1), F.lit(True)))
+    rows = rows.withColumn("_runs", F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    kind = "array<struct<scene_no:int,text:string,start:int>>"
+    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("at"), F.array().cast(kind).alias("got"))
+
+    def add(state: Column, run: Column) -> Column:
+        between = F.slice("_lines", state["line"] + 1, run["a"] - state["line"])  # lines since the last scene
+        begin = state["at"] + F.length(F.array_join(between, "\n")) + F.when(F.size(between) > 0, 1).otherwise(0)
+        own = F.array_join(F.slice("_lines", run["a"] + 1, run["b"] - run["a"] + 1), "\n")
+        got = F.concat(state["got"], F.array(F.struct((F.size(state["got"]) + 1).alias("scene_no"), own.alias("text"), begin.alias("start"))))
+        return F.struct((run["b"] + 1).alias("line"), (begin + F.length(own) + 1).alias("at"), got.alias("got"))
+
+    return rows.withColumn(to, F.aggregate("_runs", start, add, lambda state: state["got"])).drop("_lines", "_blank", "_runs")
 
 
 def scenes(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, scene_no (from 1), text, start and summary of each run of lines that aren't blank."""
-    each = numbered_lines(documents, key).withColumn("blank", strip("line") == "")
-    in_order = Window.partitionBy(key).orderBy("line_no")
-    until = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = each.withColumn("island", F.sum(F.col("blank").cast("int")).over(until)).withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-    runs = placed.where("not blank").groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.min("offset").alias("start"))
-    text = F.array_join(F.col("l.line"), "\n")
-    numbered = runs.withColumn("scene_no", F.row_number().over(Window.partitionBy(key).orderBy("island"))).withColumn("text", text)
-    return numbered.select(key, "scene_no", "text", "start", scene_summary("text").alias("summary"))
+    found = with_scenes(documents.where(F.col("text").isNotNull()).select(key, "text"))
+    return found.select(key, F.explode("scenes").alias("s")).select(key, "s.*").select(key, "scene_no", "text", "start", scene_summary("text").alias("summary"))
 
 
 def scene_summary(text: Column | str) -> Column:
@@ -99,16 +126,21 @@ def chapter_hash(text: Column | str) -> Column:
     return F.left(F.md5(col(text)), F.lit(16))
 
 
+def chapter_bodies(documents: DataFrame, key: str = "doc_id", *others: str) -> DataFrame:
+    """key, others, bodies (title and text of each chapter with a body) and begins, where each starts: two line breaks apart."""
+    joined = lambda l: F.array_join(F.transform(l, lambda x: F.regexp_replace(x, r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+$", "")), "\n")
+    trimmed = lambda l: F.regexp_replace(F.regexp_replace(joined(l), "\n{3,}", "\n\n"), "^\n+|\n+$", "")
+    every = F.transform("chapters", lambda c: F.struct(c["chapter"].alias("title"), trimmed(c["l"]).alias("text")))
+    full = _chapters(documents, key, *others).withColumn("every", every).withColumn("bodies", F.filter("every", lambda c: c["text"].rlike(r"[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]")))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("got"))
+    begins = F.aggregate("bodies", start, lambda s, c: F.struct((s["at"] + F.length(c["text"]) + 2).alias("at"), F.concat(s["got"], F.array(s["at"])).alias("got")), lambda s: s["got"])
+    return full.select(key, *others, "bodies", begins.alias("begins"))
+
+
 def parse_structure(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, chapter_id (c1, c2 ... of those with a body), title, text, hash, start and end of each chapter's body.
 
     Bodies are counted as joined by two line breaks, without headings.
     """
-    bodies = lines_in_chapters(documents, key).groupBy(key, "chapter_no").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"), F.min("chapter").alias("title"))
-    text = F.regexp_replace(F.array_join(F.transform(F.col("l.line"), lambda x: F.regexp_replace(x, r"[\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]+$", "")), "\n"), "\n{3,}", "\n\n")
-    trimmed = F.regexp_replace(text, "^\n+|\n+$", "")
-    full = bodies.withColumn("text", trimmed).where(strip("text") != "")
-    order = Window.partitionBy(key).orderBy("chapter_no")
-    start = F.coalesce(F.sum(F.length("text") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = full.withColumn("no", F.row_number().over(order)).withColumn("start", start)
-    return numbered.select(key, F.concat(F.lit("c"), "no").alias("chapter_id"), "title", "text", chapter_hash("text").alias("hash"), "start", (F.col("start") + F.length("text")).alias("end"))
+    each = chapter_bodies(documents, key).select(key, "begins", F.posexplode("bodies").alias("no", "c")).select(key, "no", F.col("c.title").alias("title"), F.col("c.text").alias("text"), F.get("begins", "no").alias("start"))
+    return each.select(key, F.concat(F.lit("c"), F.col("no") + 1).alias("chapter_id"), "title", "text", chapter_hash("text").alias("hash"), "start", (F.col("start") + F.length("text")).alias("end"))

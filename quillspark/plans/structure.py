@@ -8,7 +8,7 @@ from quillspark.functions import text as T
 from quillspark.operators import cleaning as C
 from quillspark.operators import structure as S
 from quillspark.plans.registry import W, query, strip_sql
-from quillspark.session import table
+from quillspark.session import spread, table
 
 _L = "string_split(text, chr(10))"
 _TITLE = f"(length({strip_sql('line')}) <= 32 and not contains({strip_sql('line')}, '。') and regexp_matches({strip_sql('line')}, '{C.TITLE}'))"
@@ -37,7 +37,7 @@ heads as (select doc_id, line_no, title from (select *, line_no - lag(line_no) o
 
 
 def _documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(f"with {_EACH} select doc_id, line_no, {strip_sql('line')} as title from each where {_TITLE}")
