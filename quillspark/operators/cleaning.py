@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import WS, col, lines, strip, unlines
+from quillspark.functions.text import BLANKS, WS, col, lines, strip, unlines
 
 #: Characters after which a misread first character is put right.
 AFTER_REN = "马物生间命心眼手面身头脸群流海山世界道德品格性情欲意志力才杰雄豪王皇帝圣仙神魔鬼妖精灵魂魄气势运寿福祸灾劫难苦乐喜怒哀愁忧思念想知觉悟明暗阴阳"
@@ -67,7 +67,7 @@ def _keep(text: Column | str, wanted) -> Column:
 
 
 def remove_empty_lines(text: Column | str) -> Column:
-    return _keep(text, lambda line: line.rlike(r"[^\s\x0b\x{1c}-\x{1f}\x{85}\p{Z}]"))
+    return _keep(text, lambda line: strip(line) != "")
 
 
 def remove_page_numbers(text: Column | str) -> Column:
@@ -79,21 +79,23 @@ def is_site_line(line: Column) -> Column:
     return (line != "") & (F.length(line) <= LONGEST_SITE_LINE) & found
 
 
-def without_bracket(line: Column) -> Column:
-    """The stripped line without a site's bracket at its end."""
-    return F.regexp_replace(F.regexp_replace(strip(line), TRAILING_BRACKET, ""), f"{WS}+$", "")
+def without_bracket(bare: Column) -> Column:
+    """A stripped line without a site's bracket at its end."""
+    closed = F.right(bare, F.lit(1)).isin("）", ")", "】", "]")
+    return F.when(closed, F.rtrim(F.regexp_replace(bare, TRAILING_BRACKET, ""), F.lit(BLANKS))).otherwise(bare)
 
 
 def remove_ads(text: Column | str, custom_words: Sequence[str] = ()) -> Column:
     """Blank lines stay as they are; other lines lose their bracket, and go if nothing or a site's line is left."""
-    pairs = F.transform(lines(text), lambda line: F.struct(line.alias("own"), without_bracket(line).alias("rest")))
+    stripped = F.transform(lines(text), lambda line: F.struct(line.alias("own"), strip(line).alias("bare")))
+    pairs = F.transform(stripped, lambda p: F.struct(p["own"].alias("own"), (p["bare"] == "").alias("blank"), without_bracket(p["bare"]).alias("rest")))
 
     def stays(pair: Column) -> Column:
         rest = pair["rest"]
         custom = reduce(lambda a, b: a | b, [F.contains(rest, F.lit(w)) for w in custom_words], F.lit(False)) & (F.length(rest) <= LONGEST_CUSTOM_LINE)
-        return (strip(pair["own"]) == "") | ((rest != "") & ~is_site_line(rest) & ~custom)
+        return pair["blank"] | ((rest != "") & ~is_site_line(rest) & ~custom)
 
-    return unlines(F.transform(F.filter(pairs, stays), lambda p: F.when(strip(p["own"]) == "", p["own"]).otherwise(p["rest"])))
+    return unlines(F.transform(F.filter(pairs, stays), lambda p: F.when(p["blank"], p["own"]).otherwise(p["rest"])))
 
 
 def merge_paragraphs(text: Column | str) -> Column:

@@ -1,10 +1,13 @@
 import json
+import time
 import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import index as I
+from quillspark.operators.retrieval import hash_encode
 from quillspark.sources import readers as R
 from quillspark.sources import writers as W
 from quillspark.streaming import ingest as S
@@ -75,3 +78,35 @@ def test_stream_upserts_by_hash(spark, tmp_path):
     S.upsert_chapters(spark, incoming, target, state).awaitTermination()
     rows = {(r.doc_id, r.chapter_id): (r.text, r.batch) for r in S.latest_chapters(spark, target).collect()}
     assert rows == {(1, "c1"): ("甲", 0), (1, "c2"): ("乙改", 1), (2, "c1"): ("丙", 0)}
+
+
+def test_stream_takes_the_last_version_and_drops_lost_chapters(spark, tmp_path):
+    incoming, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write = lambda text: spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(incoming)
+    write("第一章 a\n" + "甲" * 50 + "\n第二章 b\n乙\n第三章 c\n丙")
+    S.upsert_chapters(spark, incoming, target, state).awaitTermination()
+    assert S.latest_chapters(spark, target).count() == 3
+    write("第一章 a\n" + "甲" * 80 + "\n第二章 b\n乙\n第三章 c\n丙")
+    time.sleep(1.1)
+    write("第一章 a\n甲短\n第二章 b\n乙")
+    S.upsert_chapters(spark, incoming, target, state).awaitTermination()
+    rows = {r.chapter_id: (r.text, r.batch) for r in S.latest_chapters(spark, target).collect()}
+    assert rows == {"c1": ("甲短", 1), "c2": ("乙", 0)}
+
+
+def test_index_is_built_once_and_taken_over(spark, tmp_path):
+    """A second build encodes only what changed; a failed one leaves the published version."""
+    folder = str(tmp_path / "index")
+    text = lambda n, edit="": "".join(f"第{c}章 名{c}\n" + f"这一章写的是第{c}件事，" * 40 + (edit if c == 2 else "") + "。\n" for c in range(1, n))
+    docs = lambda edit="": spark.createDataFrame([(i, text(6, edit if i == 1 else ""), f"书{i}") for i in range(3)], "doc_id long, text string, book_title string")
+    first = I.build_index(docs(), folder, hash_encode)
+    assert first["pending"] == first["chunks"] > 0 and first["reused"] == 0
+    again = I.build_index(docs(), folder, hash_encode)
+    assert again["pending"] == 0 and again["reused"] == again["chunks"] == first["chunks"]
+    edited = I.build_index(docs("改了一句"), folder, hash_encode)
+    assert 0 < edited["pending"] < 0.2 * edited["chunks"] and edited["stale"] >= 1
+    index = W.read_version(spark, folder, "chunks")
+    assert index.count() == edited["chunks"] and index.where("size(embedding) <> 64").count() == 0
+    assert W.read_version(spark, folder, "parents").count() > 0
+    stats = W.read_version(spark, folder, "stats").collect()
+    assert len(stats) == 1 and stats[0]["chunks"] == edited["chunks"] and stats[0]["max_chars"] == 672
