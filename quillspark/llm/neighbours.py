@@ -196,10 +196,12 @@ def similar(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSION
     neighbour; vectors of one direction are neighbours with cosine 1; ties go to the smaller id. Fewer than k other
     usable vectors give fewer rows.
     """
-    most = F.array_max(F.transform("embeddings", lambda x: F.abs(x.cast("double"))))
-    scaled = usable_vectors(vectors, dimensions).withColumn("most", most).withColumn("scaled", F.transform("embeddings", lambda x: x.cast("double") / F.col("most")))
-    length = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
-    rows = scaled.withColumn("length", length).withColumn("unit", F.transform("scaled", lambda x: F.round(x / F.col("length"), SAME) + 0.0))
+    def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = np.round(_unit(_matrix(batch.column("embeddings"), dimensions)), SAME) + 0.0
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embeddings"), pa.array([r.tobytes() for r in unit], pa.binary())], names=["vec_id", "embeddings", "unit"])
+
+    rows = usable_vectors(vectors, dimensions).mapInArrow(directions, "vec_id long, embeddings array<float>, unit binary")
     rows = rows.select("vec_id", "embeddings", F.xxhash64("unit").alias("k1"), F.hash("unit").alias("k2"))
     copies = rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first")).where("n > 1")
     named = rows.join(copies, ["k1", "k2"], "left").select("vec_id", "embeddings", F.coalesce("first", "vec_id").alias("first"), F.coalesce("n", F.lit(1)).alias("n"))
