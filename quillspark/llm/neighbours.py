@@ -24,6 +24,8 @@ from quillspark.session import cut_lineage, spread
 DIMENSIONS, NEIGHBOURS = 64, 5
 #: Rows the hyperplanes are fitted on at most, trees, rows aimed at in a leaf, leaves searched for each query.
 SAMPLE_ROWS, TREES, LEAF_ROWS, PROBES, LEAST_SAMPLE = 131_072, 6, 512, 18, 4
+#: Rows beyond k that are ranked exactly after a leaf's cosines are worked out in short numbers.
+SPARE = 8
 #: Decimals to which the coordinates of two unit vectors agree that count as one direction.
 SAME = 6
 #: Rows of a leaf that are compared at once, and how many times as many ask them.
@@ -161,31 +163,37 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSION
         ids = np.asarray(group["vec_id"])
         rows = _unit(np.frombuffer(b"".join(group["vector"].to_pylist()), dtype=np.float32).reshape(-1, dimensions))
         stored, asking = np.flatnonzero(kinds != 1), np.flatnonzero(kinds != 0)
+        stored = stored[np.argsort(ids[stored], kind="stable")]
+        short, names = rows.astype(np.float32), ids[stored]
         lists, sizes, cosines = [], [], []
-        for start in range(0, len(asking), 1024):
+        few = min(k + SPARE, len(stored))
+        for start in range(0, len(asking) if len(stored) else 0, 1024):
             own = asking[start : start + 1024]
-            if not len(stored):
-                break
-            cosine = np.round(rows[own] @ rows[stored].T, 12)
-            cosine[ids[own][:, None] == ids[stored][None, :]] = -np.inf
-            keep = min(k, len(stored))
-            best = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
-            value = np.take_along_axis(cosine, best, axis=1)
+            near = short[own] @ short[stored].T
+            place = np.minimum(np.searchsorted(names, ids[own]), len(names) - 1)
+            here = np.flatnonzero(names[place] == ids[own])
+            near[here, place[here]] = -np.inf
+            best = np.argpartition(near, len(stored) - few, axis=1)[:, len(stored) - few :]
+            best.sort(axis=1)  # ties fall to the smaller id
+            value = np.round(np.einsum("ij,ikj->ik", rows[own], rows[stored[best]]), 12)
+            value[np.take_along_axis(near, best, axis=1) == -np.inf] = -np.inf
+            order = np.argsort(-value, axis=1, kind="stable")[:, :k]
+            best, value = np.take_along_axis(best, order, axis=1), np.take_along_axis(value, order, axis=1)
             real = value > -np.inf
-            lists.append(ids[stored][best][real])
+            lists.append(names[best][real])
             cosines.append(value[real])
             sizes.append(real.sum(axis=1))
         sizes = np.concatenate(sizes) if sizes else np.zeros(len(asking), dtype=np.int64)
-        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(cosines) if cosines else np.empty(0)), pa.array(np.concatenate(lists) if lists else np.empty(0, dtype=np.int64))], names=["cosine", "id"])
+        pairs = pa.StructArray.from_arrays([pa.array(-np.concatenate(cosines) if cosines else np.empty(0)), pa.array(np.concatenate(lists) if lists else np.empty(0, dtype=np.int64))], names=["far", "id"])
         offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
         return pa.table({"vec_id": pa.array(ids[asking]), "near": pa.ListArray.from_arrays(offsets, pairs)})
 
     placed = _placed(vectors, shared, total, dimensions, probes, block_rows)
-    found = placed.select("leaf", "block", "part", "role", "vec_id", "vector").groupBy("leaf", "block", "part").applyInArrow(compare, "vec_id long, near array<struct<cosine:double,id:bigint>>")
-    # Each leaf gives at most k; a vector met in several leaves counts once.
-    merged = found.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    ordered = F.array_sort("near", lambda a, b: F.when(a["cosine"] > b["cosine"], -1).when(a["cosine"] < b["cosine"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    first = F.reduce(ordered, F.array().cast("array<struct<cosine:double,id:bigint>>"), lambda got, x: F.when((F.size(got) >= k) | F.exists(got, lambda y: y["id"] == x["id"]), got).otherwise(F.concat(got, F.array(x))))
+    found = placed.select("leaf", "block", "part", "role", "vec_id", "vector").groupBy("leaf", "block", "part").applyInArrow(compare, "vec_id long, near array<struct<far:double,id:bigint>>")
+    # Each leaf gives at most k. A vector met in several leaves counts once; its cosine, rounded, has two neighbouring values at most.
+    merged = found.groupBy("vec_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, 2 * k).alias("near"))
+    none = F.array().cast("array<struct<cosine:double,id:bigint>>")
+    first = F.reduce("near", none, lambda got, x: F.when((F.size(got) >= k) | F.exists(got, lambda y: y["id"] == x["id"]), got).otherwise(F.concat(got, F.array(F.struct((-x["far"]).alias("cosine"), x["id"].alias("id"))))))
     return merged.select("vec_id", first.alias("near"))
 
 
