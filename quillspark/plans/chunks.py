@@ -9,6 +9,7 @@ from quillspark.operators import chunking as K
 from quillspark.operators import index as I
 from quillspark.operators import splitters
 from quillspark.plans.registry import W, query, strip_sql
+from quillspark.plans.structure import BODIES
 from quillspark.session import table
 
 
@@ -47,8 +48,8 @@ def _lesser_sql(low: str, high: str) -> str:
     return f"case when {clause} > 0 then {low} + {clause} when {gap} > 0 and {word} < {high} - {low} then {low} + {gap} end"
 
 
-def _recursive_sql(targeted: bool, overlap: int) -> str:
-    """Chunks c of documents, each found from where the one before it was cut."""
+def _recursive_sql(targeted: bool, overlap: int, source: str = "documents where text is not null", key: str = "doc_id", before: str = "") -> str:
+    """Chunks c of texts, each found from where the one before it was cut."""
     if targeted:
         right, left = _upto("substring(text, aim + 1, high - aim)", _FIRST), f"length(regexp_extract(substring(text, low + 1, aim - low), '(?s)^.*[{_FIRST}]'))"
         found = f"case when {right} > 0 and ({left} = 0 or {right} - 1 <= aim - (low + {left} - 1)) then aim + {right} when {left} > 0 then low + {left} end"
@@ -59,11 +60,11 @@ def _recursive_sql(targeted: bool, overlap: int) -> str:
     window = "select *, least(n, start + 672) as high, greatest(start + 210, last) as low from c where not done and start < n"
     aimed = f"select *, least(greatest(start + 560, low), high) as aim from ({window})"
     cut = f"select *, case when n - start <= 210 then n else coalesce({found}, {_lesser_sql('low', 'high')}, high) end as cut from ({aimed})"
-    step = f"select doc_id, text, n, start as a, case when cut <= start then high else cut end as b, n - start <= 210 or cut >= n as done, greatest(cut - {back}, start + 1) as start, cut as last from ({cut})"
-    return f"""with recursive c as (
-select doc_id, text, length(text)::bigint as n, null::bigint as a, null::bigint as b, false as done, 0::bigint as start, 0::bigint as last from documents where text is not null
+    step = f"select {key}, text, n, start as a, case when cut <= start then high else cut end as b, n - start <= 210 or cut >= n as done, greatest(cut - {back}, start + 1) as start, cut as last from ({cut})"
+    return f"""with recursive {before} c as (
+select {key}, text, length(text)::bigint as n, null::bigint as a, null::bigint as b, false as done, 0::bigint as start, 0::bigint as last from {source}
 union all {step}),
-chunks as (select doc_id, cast(row_number() over (partition by doc_id order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", substring(text, a + 1, b - a) as chunk from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> '')"""
+chunks as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", substring(text, a + 1, b - a) as chunk from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> '')"""
 
 
 @query(_recursive_sql(False, 50) + ' select doc_id, chunk_no, start, "end", chunk from chunks')
@@ -76,7 +77,56 @@ def chunk_recursive_target(spark, d):
     return K.chunk_recursive(table(spark, d, "documents"), ["doc_id"], targeted=True)
 
 
-@query()
+@query(_recursive_sql(False, 50, "chapters", "doc_id, chapter_id", BODIES + ", ") + ' select doc_id, chapter_id, chunk_no, start, "end", chunk from chunks')
+def chunk_by_chapter(spark, d):
+    return K.chunk_by_chapter(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _runs_sql(signs: str, closers: str = "") -> str:
+    """Begin, end of signs and end of each run of signs with what closes after them, as a list."""
+    parts = f"regexp_extract_all(text, '[^{signs}]*[{signs}]+{f'[{closers}]*' if closers else ''}')"
+    steps = f"list_transform({parts}, lambda p: {{'n': length(p)::bigint, 's': length(regexp_extract(p, '[{signs}]+{f'[{closers}]*$' if closers else '$'}'))::bigint, 'c': {f"length(regexp_extract(p, '[{closers}]*$'))::bigint" if closers else '0::bigint'}, 'at': 0::bigint, 'got': cast([] as struct(a bigint, b bigint, e bigint)[])}})"
+    fold = "lambda s, e: {'n': e.n, 's': e.s, 'c': e.c, 'at': s.at + e.n, 'got': list_append(s.got, {'a': s.at + e.n - e.s, 'b': s.at + e.n - e.c, 'e': s.at + e.n})}"
+    return f"list_reduce({steps}, {fold}, {{'n': 0::bigint, 's': 0::bigint, 'c': 0::bigint, 'at': 0::bigint, 'got': cast([] as struct(a bigint, b bigint, e bigint)[])}}).got"
+
+
+def _whole_sql(part: str) -> str:
+    return "(" + " and ".join(f"length(replace({part}, '{a}', '')) = length(replace({part}, '{b}', ''))" for a, b in splitters.PAIRS) + ")"
+
+
+def _near_sql(runs: str, level: int) -> str:
+    """The nearest place to the aim, of the nearest eight, up to which all pairs are closed."""
+    inside = f"list_filter({runs}, lambda r: r.a < high and greatest(r.a, low) < least(r.b, high))"
+    place = "least(r.e, high)" if level else "least(high, least(r.e, high) + length(regexp_extract(substring(text, least(r.e, high) + 1, greatest(high - least(r.e, high), 0)), '^[ \\t]*')))"
+    places = f"list_filter(list_transform({inside}, lambda r: {place}), lambda p: p > low)"
+    ranked = f"list_transform(list_sort(list_transform({places}, lambda p: {{'d': abs(p - aim), 'p': p}}))[1:8], lambda x: x.p)"
+    return f"list_filter({ranked}, lambda p: {_whole_sql('substring(text, start + 1, p - start)')})[1]"
+
+
+def _tokenwise_sql(source: str, key: str, before: str = "") -> str:
+    """Chunks near the aimed length, each begun an overlap back, at a sentence's begin if that is near enough; a short last one goes to the one before."""
+    closers = splitters.CLOSERS.replace("'", "''")
+    closing = "least(" + ", ".join(f"coalesce(nullif(strpos(substring(text, aim + 1, greatest(least(high + 30, n) - aim, 0)), '{c if c != chr(39) else chr(39) * 2}'), 0), 100000)" for c in splitters.CLOSERS) + ")"
+    seed = f"select {key}, text, length(text)::bigint as n, {_runs_sql(chr(10))} as r0, {_runs_sql('。！？…；!?;', '”’」』）】')} as r1, {_runs_sql('，、：,:')} as r2, null::bigint as a, null::bigint as b, false as done, 0::bigint as start from {source}"
+    window = "select *, least(n, start + 672) as high, start + 210 as low from c where not done and start < n"
+    aimed = f"select *, least(greatest(start + 560, low), high) as aim from ({window})"
+    near = f"select *, case when high <= low then high else coalesce({_near_sql('r0', 0)}, {_near_sql('r1', 1)}, {_near_sql('r2', 2)}) end as found from ({aimed})"
+    hard = f"case when {_whole_sql('substring(text, start + 1, aim - start)')} or {closing} = 100000 then aim else aim + {closing} end"
+    cut = f"select *, case when n - start <= 210 then n else coalesce(found, {hard}) end as cut from ({near})"
+    size = f"select *, least(greatest(50, cast(round_even((cut - start) * 0.125::double, 0) as bigint)), 100) as size from ({cut})"
+    back = f"select *, greatest(cut - size, start) as place from ({size})"
+    stop = f"select *, start + length(regexp_extract(substring(text, start + 1, place - start), '(?s)^.*[。！？…]')) as stop from ({back})"
+    begin = f"select *, stop + length(regexp_extract(substring(text, stop + 1, cut - stop), '^[{closers}]*')) as begin from ({stop})"
+    step = f"select {key}, text, n, r0, r1, r2, start as a, cut as b, n - start <= 210 or cut >= n as done, greatest(case when stop > start and begin > start and cut - begin <= cast(floor(size * 1.5::double) as bigint) + 20 then begin else place end, start + 1) as start from ({begin})"
+    bare = strip_sql("substring(text, a + 1, b - a)")
+    return f"""with recursive {before} c as ({seed} union all {step}),
+k as (select {key}, text, a, b, length({bare}) as size from c where a is not null and {bare} <> ''),
+o as (select *, row_number() over w as no, count(*) over (partition by {key}) as most, lead(size) over w as next_size, lead(b) over w as next_b, lag(size) over w as last_size from k window w as (partition by {key} order by a)),
+m as (select {key}, text, a, case when no = most - 1 and next_size < 210 and next_size + size <= 672 then next_b else b end as b from o where not (no = most and no > 1 and size < 210 and size + last_size <= 672)),
+pieces as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", {bare} as chunk from m)"""
+
+
+@query(_tokenwise_sql("documents where text is not null", "doc_id") + ' select doc_id, chunk_no, start, "end", chunk from pieces')
 def chunk_tokenwise(spark, d):
     return K.chunk_tokenwise(table(spark, d, "documents"), ["doc_id"])
 

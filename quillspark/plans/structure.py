@@ -87,14 +87,14 @@ def chapter_hash(spark, d):
     return _documents(spark, d).where("text is not null").select("doc_id", S.chapter_hash("text").alias("hash"))
 
 
-_BODIES = f"""{_EACH}, {_HEADS},
+BODIES = f"""{_EACH}, {_HEADS},
 m as (select each.doc_id, each.line_no, line, title from each left join heads on each.doc_id = heads.doc_id and each.line_no = heads.line_no),
 p as (select *, coalesce(last_value(title ignore nulls) over w, '正文') as chapter, count(title) over w as chapter_no from m window w as (partition by doc_id order by line_no rows between unbounded preceding and current row)),
 b as (select doc_id, chapter_no, min(chapter) as title, regexp_replace(regexp_replace(string_agg(regexp_replace(line, '{W}+$', ''), chr(10) order by line_no), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\n+|\\n+$', '', 'g') as text from p where title is null group by doc_id, chapter_no),
 chapters as (select doc_id, 'c' || row_number() over w as chapter_id, title, text, left(md5(text), 16) as hash, cast(coalesce(sum(length(text) + 2) over (partition by doc_id order by chapter_no rows between unbounded preceding and 1 preceding), 0) as bigint) as start from b where {strip_sql('text')} <> '' window w as (partition by doc_id order by chapter_no))"""
 
 
-@query(f'with {_BODIES} select doc_id, chapter_id, title, text, hash, start, start + length(text) as "end" from chapters')
+@query(f'with {BODIES} select doc_id, chapter_id, title, text, hash, start, start + length(text) as "end" from chapters')
 def parse_structure(spark, d):
     return S.parse_structure(_documents(spark, d))
 
