@@ -120,10 +120,10 @@ def _tokenwise_sql(source: str, key: str, before: str = "") -> str:
     step = f"select {key}, text, n, r0, r1, r2, start as a, cut as b, n - start <= 210 or cut >= n as done, greatest(case when stop > start and begin > start and cut - begin <= cast(floor(size * 1.5::double) as bigint) + 20 then begin else place end, start + 1) as start from ({begin})"
     bare = strip_sql("substring(text, a + 1, b - a)")
     return f"""with recursive {before} c as ({seed} union all {step}),
-k as (select {key}, text, a, b, length({bare}) as size from c where a is not null and {bare} <> ''),
-o as (select *, row_number() over w as no, count(*) over (partition by {key}) as most, lead(size) over w as next_size, lead(b) over w as next_b, lag(size) over w as last_size from k window w as (partition by {key} order by a)),
-m as (select {key}, text, a, case when no = most - 1 and next_size < 210 and next_size + size <= 672 then next_b else b end as b from o where not (no = most and no > 1 and size < 210 and size + last_size <= 672)),
-pieces as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", {bare} as chunk from m)"""
+cut_ as (select {key}, text, a, b, length({bare}) as size from c where a is not null and {bare} <> ''),
+near_ as (select *, row_number() over w as no, count(*) over (partition by {key}) as most, lead(size) over w as next_size, lead(b) over w as next_b, lag(size) over w as last_size from cut_ window w as (partition by {key} order by a)),
+joined_ as (select {key}, text, a, case when no = most - 1 and next_size < 210 and next_size + size <= 672 then next_b else b end as b from near_ where not (no = most and no > 1 and size < 210 and size + last_size <= 672)),
+pieces as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", {bare} as chunk from joined_)"""
 
 
 @query(_tokenwise_sql("documents where text is not null", "doc_id") + ' select doc_id, chunk_no, start, "end", chunk from pieces')
@@ -148,7 +148,33 @@ def chunk_sentences(spark, d):
     return K.with_last_sentences(cut, ["doc_id"], 1)
 
 
-@query()
+def _tokens_sql(x: str) -> str:
+    han, letters = f"length(regexp_replace({x}, '[^\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}]', '', 'g'))", f"length(regexp_replace({x}, '[^A-Za-z]', '', 'g'))"
+    return f"cast(round_even(({han} * 0.72::double + len(regexp_extract_all({x}, '[A-Za-z]+')) * 1.3::double) + greatest(0, length({x}) - {han} - {letters}) * 0.35::double, 0) as bigint)"
+
+
+_BUILT = f"""{_tokenwise_sql("chapters", "doc_id, chapter_id", BODIES + ", ")},
+el as (select doc_id, chapter_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as line_no from chapters),
+eb as (select *, {strip_sql('line')} = '' as blank, coalesce(sum(length(line) + 1) over (partition by doc_id, chapter_id order by line_no rows between unbounded preceding and 1 preceding), 0) as off from el),
+ei as (select *, sum(blank::int) over (partition by doc_id, chapter_id order by line_no) as island from eb),
+es as (select *, row_number() over (partition by doc_id, chapter_id order by island) as scene_no from (select doc_id, chapter_id, island, string_agg(line, chr(10) order by line_no) as text, min(off) as start from ei where not blank group by doc_id, chapter_id, island)),
+placed as (select p.*, ch.title, ch.hash, ch.start as chapter_start, row_number() over (partition by p.doc_id order by cast(substring(p.chapter_id, 2) as int), chunk_no) as chunk_id, max(chunk_no) over (partition by p.doc_id, p.chapter_id) as most,
+  coalesce((select max(scene_no) from es where es.doc_id = p.doc_id and es.chapter_id = p.chapter_id and es.start <= p.start), 1) as scene_no from pieces p join chapters ch on ch.doc_id = p.doc_id and ch.chapter_id = p.chapter_id),
+told as (select placed.*, left(regexp_extract({strip_sql(f"regexp_replace(es.text, '{W}+', ' ', 'g')")}, '^([^。！？…；]*[。！？…；]?)', 1), 40) as summary from placed join es on es.doc_id = placed.doc_id and es.chapter_id = placed.chapter_id and es.scene_no = placed.scene_no),
+lead_in as (select *, concat_ws('｜', nullif(title, ''), nullif(summary, '')) as p from told),
+g as (select doc_id, chapter_id, chunk_no, length(chunk)::bigint as x, 1 as no, 1 as n, length(chunk)::bigint as t from told where chunk_no = 1
+ union all select doc_id, chapter_id, chunk_no, x, case when closed then no + 1 else no end, case when closed then 1 else n + 1 end, case when closed then x else t + x end from (
+  select o.doc_id, o.chapter_id, o.chunk_no, length(o.chunk)::bigint as x, g.no, g.n, g.t, g.n >= 4 or g.t + length(o.chunk) > 1500 or (g.t >= 800 and g.n >= 2) as closed from g join told o on o.doc_id = g.doc_id and o.chapter_id = g.chapter_id and o.chunk_no = g.chunk_no + 1)),
+gs as (select doc_id, chapter_id, no, count(*) as n, sum(x) as t, max(no) over (partition by doc_id, chapter_id) as most from g group by doc_id, chapter_id, no),
+gj as (select l.doc_id, l.chapter_id, l.no from gs l join gs b on l.doc_id = b.doc_id and l.chapter_id = b.chapter_id and b.no = l.no - 1 where l.no = l.most and l.n + b.n <= 4 and l.t + b.t <= 1500),
+gf as (select g.doc_id, g.chapter_id, g.chunk_no, case when gj.no is null then g.no else g.no - 1 end as place from g left join gj on g.doc_id = gj.doc_id and g.chapter_id = gj.chapter_id and g.no = gj.no)
+select l.doc_id, cast(null as varchar) as book_title, l.chapter_id, title as chapter, hash as chapter_hash, l.chapter_id || '_s' || scene_no as scene_id, summary as scene_summary, l.chunk_no as chunk_index, cast(chunk_id as integer) as chunk_id, chunk as text, case when p = '' then '' else p || chr(10) end as prefix,
+ cast(length(chunk) as integer) as chunk_length, {_tokens_sql('chunk')} as token_count, {_tokens_sql("(case when p = '' then '' else p || chr(10) end || chunk)")} as total_token_count, cast(chapter_start + l.start as bigint) as start_pos, cast(chapter_start + l."end" as bigint) as end_pos,
+ cast(case when l.chunk_no > 1 then chunk_id - 1 end as integer) as prev_chunk_id, cast(case when l.chunk_no < most then chunk_id + 1 end as integer) as next_chunk_id, l.doc_id || '_p' || min(chunk_id) over (partition by l.doc_id, l.chapter_id, place) as parent_id
+from lead_in l join gf on gf.doc_id = l.doc_id and gf.chapter_id = l.chapter_id and gf.chunk_no = l.chunk_no"""
+
+
+@query(_BUILT)
 def build_chunks(spark, d):
     return K.build_chunks(table(spark, d, "documents").select("doc_id", "text"))
 

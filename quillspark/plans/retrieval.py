@@ -50,17 +50,26 @@ def gram_chapter_df(spark, d):
     return X.gram_chapters(_texts(spark, d))
 
 
-@query(f"""
-with r as (select book_id, rec_id, unnest({_RUNS}) as run, unnest(range(0, len({_RUNS}))) as run_no from metadata where text is not null),
+_NAMED = f"""r as (select book_id, rec_id, unnest({_RUNS}) as run, unnest(range(0, len({_RUNS}))) as run_no from metadata where text is not null),
 g as (select book_id, rec_id, run_no, 2 as size, unnest({_gram_list('run', 2)}) as gram, unnest(range(0, greatest(length(run) - 1, 0))) as pos from r
   union all select book_id, rec_id, run_no, 3, unnest({_gram_list('run', 3)}), unnest(range(0, greatest(length(run) - 2, 0))) from r),
-c as (select book_id, gram, count(*) as n, min({{'a': rec_id, 'b': run_no, 'c': pos, 'd': size}}) as first from g where gram not in ({_NAMES}) and not contains('{X.NOT_ENDINGS}', right(gram, 1)) group by book_id, gram having count(*) >= 3)
-select book_id, cast(place as bigint) as place, gram as name, n from (select *, row_number() over (partition by book_id order by n desc, first) as place from c) where place <= 30""")
+c as (select book_id, gram, count(*) as n, min({{'a': rec_id, 'b': run_no, 'c': pos, 'd': size}}) as first from g where gram not in ({_NAMES}) and not contains('{X.NOT_ENDINGS}', right(gram, 1)) group by book_id, gram having count(*) >= 3),
+names as (select book_id, place, gram as name, n from (select *, row_number() over (partition by book_id order by n desc, first) as place from c) where place <= 30)"""
+
+
+@query(f"with {_NAMED} select book_id, cast(place as bigint) as place, name, n from names")
 def character_table(spark, d):
     return X.character_table(_texts(spark, d)).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(f"""with {_NAMED},
+l as (select rec_id, book_id, chunk_id, line_no, line from (select rec_id, book_id, chunk_id, unnest(range(0, len(string_split(text, chr(10))))) as line_no, {strip_sql('x')} as line from (select rec_id, book_id, chunk_id, text, unnest(string_split(text, chr(10))) as x from metadata)) where line <> ''),
+h as (select *, left(line, greatest(10, cast(floor(length(line) / 3.0) as bigint))) as head, regexp_matches(line, '[」』”"'']$') and length(line) < 80 as speech, regexp_matches(line, '{X.REFERRING}') as refers from l),
+ev as (select rec_id, arg_max(name, {{'a': line_no, 'b': strpos(head, name), 'c': place}}) as event from h join names on h.book_id = names.book_id and strpos(head, name) > 0 where not speech group by rec_id),
+inl as (select rec_id, line_no, arg_min(name, case when strpos(line, name) > 0 then place end) as name from h left join names on h.book_id = names.book_id where refers group by rec_id, line_no),
+inf as (select rec_id, arg_min(coalesce(name, ''), line_no) as first, arg_min(name, case when name is not null then line_no end) as any_name from inl group by rec_id),
+o as (select rec_id, last_value(event ignore nulls) over (partition by book_id order by chunk_id nulls first, rec_id rows between unbounded preceding and 1 preceding) as prior from (select rec_id, book_id, chunk_id, event from metadata left join ev using (rec_id)))
+select rec_id, case when prior is not null then coalesce(nullif(first, ''), prior) else any_name end as subject from inf join o using (rec_id)""".replace("select rec_id, book_id, chunk_id, unnest(range(0, len(string_split(text, chr(10))))) as line_no, ", "select rec_id, book_id, chunk_id, line_no, ").replace("select rec_id, book_id, chunk_id, text, unnest(string_split(text, chr(10))) as x from metadata", "select rec_id, book_id, chunk_id, unnest(string_split(text, chr(10))) as x, unnest(range(0, len(string_split(text, chr(10))))) as line_no from metadata"))
 def coref_subject(spark, d):
     records = table(spark, d, "metadata")
     return X.coref_subjects(records, X.character_table(records))
@@ -175,13 +184,16 @@ def parent_lookup_join(spark, d):
     return own.join(table(spark, d, "parent_chunks").select("parent_id", "child_count"), "parent_id", "left")
 
 
-@query(f"""with {_HITS}, {_LATEST},
+_EXPANDED = f"""with {_HITS}, {_LATEST},
 own as (select query_id, place, f.book_id, f.chunk_id, l.chapter_id, l.parent_id from final f join latest l on f.book_id = l.book_id and f.chunk_id = l.chunk_id),
 every as (select query_id, book_id, 'hit' as kind, cast(chunk_id as varchar) as id, 0 as tier, place, 0 as step from own
  union all select query_id, own.book_id, 'parent', own.parent_id, 1, place, 1 from own join parent_chunks p on own.book_id = p.book_id and own.parent_id = p.parent_id
  union all select query_id, own.book_id, 'neighbor', cast(l.chunk_id as varchar), 1, place, case when l.chunk_id < own.chunk_id then 2 else 3 end from own join latest l on l.book_id = own.book_id and l.chapter_id = own.chapter_id and l.chunk_id in (own.chunk_id - 1, own.chunk_id + 1)),
-kept as (select * from (select *, row_number() over (partition by query_id, book_id, kind = 'parent', id order by tier, place, step) as n from every) where n = 1)
-select query_id, book_id, kind, id, row_number() over (partition by query_id order by tier, place, step, id) as ord from kept""")
+kept as (select * from (select *, row_number() over (partition by query_id, book_id, kind = 'parent', id order by tier, place, step) as n from every) where n = 1),
+expanded as (select query_id, book_id, kind, id, row_number() over (partition by query_id order by tier, place, step, id) as ord from kept)"""
+
+
+@query(f"{_EXPANDED} select query_id, book_id, kind, id, ord from expanded")
 def expand_union_dedupe(spark, d):
     hits = cut_lineage(_final(spark, d).where("book_id is not null").select("query_id", "place", "book_id", "chunk_id").dropDuplicates(["query_id", "place"]))
     found = R.expand(hits, I.latest_records(table(spark, d, "metadata")), table(spark, d, "parent_chunks"))
@@ -194,7 +206,17 @@ def context_assemble(spark, d):
     return R.context_text(hits, "chapter", "text", "place")
 
 
-@query()
+_HOLDS = "coalesce(list_position(list_transform(s.got, lambda k: contains(k.t, e.text) or contains(e.text, k.t)), true), 0)"
+_LABEL = "case x.k " + " ".join(f"when '{k}' then '{v}'" for k, v in R.LABELS.items()) + " end"
+
+
+@query(f"""{_EXPANDED},
+newest as (select * from (select *, row_number() over (partition by book_id, chunk_id order by loaded_at desc, rec_id desc) as no from metadata where book_id is not null and chunk_id is not null) where no = 1),
+texts as (select query_id, ord, kind, chapter, text from expanded e join newest l on kind <> 'parent' and l.book_id = e.book_id and l.chunk_id = cast(case when kind <> 'parent' then id end as int)
+ union all select query_id, ord, 'parent', min(chapter), string_agg(text, '' order by n) from (select query_id, ord, e.book_id, unnest(child_chunk_ids) as chunk_id, unnest(range(0, len(child_chunk_ids))) as n from expanded e join parent_chunks p on kind = 'parent' and p.book_id = e.book_id and p.parent_id = e.id) m join newest l on l.book_id = m.book_id and l.chunk_id = m.chunk_id group by query_id, ord),
+items as (select query_id, coalesce(nullif(chapter, ''), '未知') as chapter, min(ord) as seen, list({{'kind': kind, 'text': text, 'got': cast([] as struct(k varchar, t varchar)[])}} order by case kind when 'hit' then 0 when 'parent' then 1 else 2 end, ord, kind, text) as l from texts where text <> '' group by query_id, coalesce(nullif(chapter, ''), '未知')),
+folded as (select query_id, chapter, seen, list_reduce(l, lambda s, e: {{'kind': e.kind, 'text': e.text, 'got': case when {_HOLDS} = 0 then list_append(s.got, {{'k': e.kind, 't': e.text}}) else list_transform(s.got, lambda k, i: case when i = {_HOLDS} and length(e.text) > length(k.t) then {{'k': e.kind, 't': e.text}} else k end) end}}, {{'kind': '', 'text': '', 'got': cast([] as struct(k varchar, t varchar)[])}}).got as got from items)
+select query_id, string_agg(array_to_string(list_transform(got, lambda x: '[' || {_LABEL} || ':' || chapter || ']' || chr(10) || x.t), chr(10) || chr(10)), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by seen) as context from folded group by query_id""")
 def context_expanded(spark, d):
     """One text of each question's hits with what stands around them."""
     records = I.latest_records(table(spark, d, "metadata")).select("book_id", "chapter", "chapter_id", "chunk_id", "parent_id", "text")
