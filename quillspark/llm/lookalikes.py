@@ -8,6 +8,7 @@ can't be in a class with another text; they are set aside by a digest before the
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import cache
@@ -82,11 +83,15 @@ def _holds(text: Column, chars: dict[str, str]) -> Column:
     return F.length(F.translate(text, "".join(chars), "")) != F.length(text)
 
 
+def _swaps(pairs) -> Column:
+    """What is put in place of what, as one constant."""
+    return F.from_json(F.lit(json.dumps([{"a": a, "b": b} for a, b in pairs])), "array<struct<a:string,b:string>>")
+
+
 def with_clean_form(rows: DataFrame, text: str = "text", to: str = "clean") -> DataFrame:
     """Adds the text in mapped characters, without invisible ones, with accented Latin letters composed."""
     (source, target), several, _, pairs = _tables()
-    spelled = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()])
-    accents = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    spelled, accents = _swaps(several.items()), _swaps(pairs)
     swap = lambda table: F.aggregate(table, F.col(to), lambda t, p: F.replace(t, p["a"], p["b"]))
     rows = rows.withColumn(to, F.translate(F.col(text), source, target))
     rows = rows.withColumn(to, F.when(_holds(F.col(to), several), swap(spelled)).otherwise(F.col(to)))
@@ -107,8 +112,7 @@ def _with_skeleton(texts: DataFrame) -> DataFrame:
     (mapped, to), *_ = _tables()
     folded = F.translate(F.when(F.col("text").rlike(_PLAIN), F.translate("text", mapped, to)), source, target)
     rows = texts.withColumn("folded", folded)
-    spelled = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in several.items()])
-    swapped = F.aggregate(spelled, F.col("folded"), lambda t, p: F.replace(t, p["a"], p["b"]))
+    swapped = F.aggregate(_swaps(several.items()), F.col("folded"), lambda t, p: F.replace(t, p["a"], p["b"]))
     rows = rows.withColumn("folded", F.when(_holds(F.col("folded"), several), swapped).otherwise(F.col("folded")))
     return rows.withColumn("skeleton", _skeleton(F.coalesce("folded", "text"))).drop("folded")
 
