@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.llm.encodings import without_suspects
 from quillspark.llm.language import Language, codes_of, same_digits
@@ -121,27 +122,29 @@ def word_candidates(words: DataFrame) -> DataFrame:
     return gained.join(totals, "right").select("place", "before", "after", "wrong", "right", "gain", "n", "total")
 
 
-def confusions(candidates: DataFrame, usual: dict[str, tuple[str, ...]], least: float = LEAST_PROBABILITY, rounds: int = ROUNDS) -> pd.DataFrame:
-    """wrong, right and log probability of what is misread often; as many rows as there are such pairs.
+def confusions(characters: DataFrame, words: DataFrame, rounds: int = ROUNDS) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """wrong, right and log probability of the characters and of the letters that are misread often.
 
     Different places have to be many, and what stands before and after has to vary: a phrase that is repeated, or has a
     gap for a name, is no misreading. Nor is it where a sign would stand for many others about as often, as in verse.
     """
-    spark = candidates.sparkSession
-    rows = cut_lineage(candidates)
-    listed = spark.createDataFrame([(w, r, 1.0) for r, ws in usual.items() for w in ws], "wrong string, right string, listed double")
+    spark = characters.sparkSession
+    kind = F.when(F.col("letters"), LEAST_LETTERS).otherwise(LEAST_PROBABILITY)
+    rows = cut_lineage(characters.withColumn("letters", F.lit(False)).unionByName(words.withColumn("letters", F.lit(True))).repartition("letters", "place"))
+    usual = [(False, w, r) for r, w in USUAL.items()] + [(True, w, r) for r, ws in USUAL_LETTERS.items() for w in ws]
+    listed = F.broadcast(spark.createDataFrame([(*u, 1.0) for u in usual], "letters boolean, wrong string, right string, prior double"))
+    pair = ["letters", "wrong", "right"]
     weighed = rows.withColumn("p", F.lit(FIRST))
     for step in range(rounds):
         own = weighed.withColumn("weight", F.exp("gain") * F.col("p"))
-        whole = own.groupBy("place").agg(F.sum("weight").alias("all"))
-        share = own.join(whole, "place").withColumn("share", F.col("weight") / (1 + F.col("all")))
+        share = own.withColumn("share", F.col("weight") / (1 + F.sum("weight").over(Window.partitionBy("letters", "place"))))  # a place has few candidates
         beside = [F.count_distinct(F.when(F.col("share") >= 0.5, F.col(c))).alias(f"{c}s") for c in ("before", "after")] if step == rounds - 1 else []
-        counted = share.groupBy("wrong", "right").agg(F.sum("share").alias("seen"), F.sum(F.col("n") * F.col("share")).alias("times"), F.max("total").alias("total"), *beside)
-        counted = counted.join(F.broadcast(listed), ["wrong", "right"], "left").withColumn("prior", F.coalesce("listed", F.lit(0.0)))
+        counted = share.groupBy(*pair).agg(F.sum("share").alias("seen"), F.sum(F.col("n") * F.col("share")).alias("times"), F.max("total").alias("total"), *beside)
+        counted = counted.join(listed, pair, "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
         counted = counted.where(F.col("seen") + F.col("prior") >= 0.5).withColumn("p", F.least((F.col("times") + F.col("prior")) / F.greatest("total", F.col("times") + F.col("prior")), F.lit(0.5)))
         if step < rounds - 1:
-            weighed = rows.join(counted.select("wrong", "right", "p"), ["wrong", "right"])
-    whole = counted.groupBy("right").agg(F.sum("seen").alias("all"))
-    counted = counted.join(whole, "right")
-    often = (F.least("befores", "afters") >= LEAST_BESIDE) & (F.col("seen") >= LEAST_SEEN) & (F.col("p") >= least) & (F.col("seen") >= LEAST_SHARE * F.col("all"))
-    return counted.where(often | (F.col("prior") > 0)).select("wrong", "right", F.log("p").alias("p"), "seen").toPandas()  # pairs of signs only
+            weighed = rows.join(counted.select(*pair, "p"), pair)
+    counted = counted.withColumn("all", F.sum("seen").over(Window.partitionBy("letters", "right")))
+    often = (F.least("befores", "afters") >= LEAST_BESIDE) & (F.col("seen") >= LEAST_SEEN) & (F.col("p") >= kind) & (F.col("seen") >= LEAST_SHARE * F.col("all"))
+    found = counted.where(often | (F.col("prior") > 0)).select(*pair, F.log("p").alias("p"), "seen").toPandas()  # pairs of signs only
+    return found[~found["letters"]], found[found["letters"]]

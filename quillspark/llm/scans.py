@@ -319,10 +319,9 @@ def learnt(records: DataFrame) -> tuple:
     """The corpus's language (broadcast, tables of fixed size) and what is misread in it: wrong, right, log probability."""
     language = records.sparkSession.sparkContext.broadcast(learn(records, words=True, changed=without_suspects))
     places = channel.odd_places(records, language)
-    characters = channel.confusions(channel.character_candidates(places, language), {r: (w,) for r, w in channel.USUAL.items()})
     texts = spread(records.select("rec_id", "text").where(F.col("text").rlike("[A-Za-z]{2}")).select("text"), "text")
     words = texts.mapInPandas(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    letters = channel.confusions(channel.word_candidates(words), channel.USUAL_LETTERS, channel.LEAST_LETTERS)
+    characters, letters = channel.confusions(channel.character_candidates(places, language), channel.word_candidates(words))
     flat = lambda rows: list(rows[["wrong", "right", "p"]].sort_values(["wrong", "right"]).itertuples(index=False, name=None))
     return language, flat(characters), flat(letters)
 
