@@ -13,6 +13,10 @@ from quillspark.plans.structure import BODIES
 from quillspark.session import table
 
 
+def _placed(chunks):
+    return chunks.withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
+
+
 def _records(spark, d):
     return table(spark, d, "metadata")
 
@@ -64,22 +68,22 @@ def _recursive_sql(targeted: bool, overlap: int, source: str = "documents where
     return f"""with recursive {before} c as (
 select {key}, text, length(text)::bigint as n, null::bigint as a, null::bigint as b, false as done, 0::bigint as start, 0::bigint as last from {source}
 union all {step}),
-chunks as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", substring(text, a + 1, b - a) as chunk from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> '')"""
+chunks as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start_pos, cast(b as integer) as end_pos, substring(text, a + 1, b - a) as chunk from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> '')"""
 
 
-@query(_recursive_sql(False, 50) + ' select doc_id, chunk_no, start, "end", chunk from chunks')
+@query(_recursive_sql(False, 50) + ' select doc_id, chunk_no, start_pos, end_pos, chunk from chunks')
 def chunk_recursive(spark, d):
-    return K.chunk_recursive(table(spark, d, "documents"), ["doc_id"])
+    return _placed(K.chunk_recursive(table(spark, d, "documents"), ["doc_id"]))
 
 
-@query(_recursive_sql(True, 50) + ' select doc_id, chunk_no, start, "end", chunk from chunks')
+@query(_recursive_sql(True, 50) + ' select doc_id, chunk_no, start_pos, end_pos, chunk from chunks')
 def chunk_recursive_target(spark, d):
-    return K.chunk_recursive(table(spark, d, "documents"), ["doc_id"], targeted=True)
+    return _placed(K.chunk_recursive(table(spark, d, "documents"), ["doc_id"], targeted=True))
 
 
-@query(_recursive_sql(False, 50, "chapters", "doc_id, chapter_id", BODIES + ", ") + ' select doc_id, chapter_id, chunk_no, start, "end", chunk from chunks')
+@query(_recursive_sql(False, 50, "chapters", "doc_id, chapter_id", BODIES + ", ") + ' select doc_id, chapter_id, chunk_no, start_pos, end_pos, chunk from chunks')
 def chunk_by_chapter(spark, d):
-    return K.chunk_by_chapter(table(spark, d, "documents").select("doc_id", "text"))
+    return _placed(K.chunk_by_chapter(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def _runs_sql(signs: str, closers: str = "") -> str:
@@ -123,29 +127,29 @@ def _tokenwise_sql(source: str, key: str, before: str = "") -> str:
 cut_ as (select {key}, text, a, b, length({bare}) as size from c where a is not null and {bare} <> ''),
 near_ as (select *, row_number() over w as no, count(*) over (partition by {key}) as most, lead(size) over w as next_size, lead(b) over w as next_b, lag(size) over w as last_size from cut_ window w as (partition by {key} order by a)),
 joined_ as (select {key}, text, a, case when no = most - 1 and next_size < 210 and next_size + size <= 672 then next_b else b end as b from near_ where not (no = most and no > 1 and size < 210 and size + last_size <= 672)),
-pieces as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", {bare} as chunk from joined_)"""
+pieces as (select {key}, cast(row_number() over (partition by {key} order by a) as integer) as chunk_no, cast(a as integer) as start_pos, cast(b as integer) as end_pos, {bare} as chunk from joined_)"""
 
 
-@query(_tokenwise_sql("documents where text is not null", "doc_id") + ' select doc_id, chunk_no, start, "end", chunk from pieces')
+@query(_tokenwise_sql("documents where text is not null", "doc_id") + ' select doc_id, chunk_no, start_pos, end_pos, chunk from pieces')
 def chunk_tokenwise(spark, d):
-    return K.chunk_tokenwise(table(spark, d, "documents"), ["doc_id"])
+    return _placed(K.chunk_tokenwise(table(spark, d, "documents"), ["doc_id"]))
 
 
 @query(f"""with recursive c as (
 select doc_id, text, length(text)::bigint as n, null::bigint as a, null::bigint as b, 0::bigint as start from documents where text is not null
 union all select doc_id, text, n, start as a, cut as b, cut as start from (
   select *, case when n - start <= 300 then n else coalesce({_lesser_sql('low', 'high')}, high) end as cut from (select *, start + 300 as high, start + 100 as low from c where start < n)))
-select doc_id, cast(row_number() over (partition by doc_id order by a) as integer) as chunk_no, cast(a as integer) as start, cast(b as integer) as "end", substring(text, a + 1, b - a) as chunk
+select doc_id, cast(row_number() over (partition by doc_id order by a) as integer) as chunk_no, cast(a as integer) as start_pos, cast(b as integer) as end_pos, substring(text, a + 1, b - a) as chunk
 from c where a is not null and {strip_sql('substring(text, a + 1, b - a)')} <> ''""")
 def chunk_oversized(spark, d):
-    return K.cut_texts(table(spark, d, "documents"), ["doc_id"], lambda t: splitters.oversized(t, 300, 100))
+    return _placed(K.cut_texts(table(spark, d, "documents"), ["doc_id"], lambda t: splitters.oversized(t, 300, 100)))
 
 
-@query(_recursive_sql(False, 0) + """ select doc_id, chunk_no, start, "end", coalesce(regexp_extract(lag(chunk) over (partition by doc_id order by chunk_no), '(?s)([^。！？!?]*[。！？!?]|[^。！？!?]+)$'), '') || chunk as chunk from chunks""")
+@query(_recursive_sql(False, 0) + """ select doc_id, chunk_no, start_pos, end_pos, coalesce(regexp_extract(lag(chunk) over (partition by doc_id order by chunk_no), '(?s)([^。！？!?]*[。！？!?]|[^。！？!?]+)$'), '') || chunk as chunk from chunks""")
 def chunk_sentences(spark, d):
     s = splitters.Spec()
     cut = K.cut_texts(table(spark, d, "documents"), ["doc_id"], lambda t: splitters.recursive(t, s.min_chars, s.max_chars, 0))
-    return K.with_last_sentences(cut, ["doc_id"], 1)
+    return _placed(K.with_last_sentences(cut, ["doc_id"], 1))
 
 
 def _tokens_sql(x: str) -> str:
@@ -159,7 +163,7 @@ eb as (select *, {strip_sql('line')} = '' as blank, coalesce(sum(length(line) +
 ei as (select *, sum(blank::int) over (partition by doc_id, chapter_id order by line_no) as island from eb),
 es as (select *, row_number() over (partition by doc_id, chapter_id order by island) as scene_no from (select doc_id, chapter_id, island, string_agg(line, chr(10) order by line_no) as text, min(off) as start from ei where not blank group by doc_id, chapter_id, island)),
 placed as (select p.*, ch.title, ch.hash, ch.start as chapter_start, row_number() over (partition by p.doc_id order by cast(substring(p.chapter_id, 2) as int), chunk_no) as chunk_id, max(chunk_no) over (partition by p.doc_id, p.chapter_id) as most,
-  coalesce((select max(scene_no) from es where es.doc_id = p.doc_id and es.chapter_id = p.chapter_id and es.start <= p.start), 1) as scene_no from pieces p join chapters ch on ch.doc_id = p.doc_id and ch.chapter_id = p.chapter_id),
+  coalesce((select max(scene_no) from es where es.doc_id = p.doc_id and es.chapter_id = p.chapter_id and es.start <= p.start_pos), 1) as scene_no from pieces p join chapters ch on ch.doc_id = p.doc_id and ch.chapter_id = p.chapter_id),
 told as (select placed.*, left(regexp_extract({strip_sql(f"regexp_replace(es.text, '{W}+', ' ', 'g')")}, '^([^。！？…；]*[。！？…；]?)', 1), 40) as summary from placed join es on es.doc_id = placed.doc_id and es.chapter_id = placed.chapter_id and es.scene_no = placed.scene_no),
 lead_in as (select *, concat_ws('｜', nullif(title, ''), nullif(summary, '')) as p from told),
 g as (select doc_id, chapter_id, chunk_no, length(chunk)::bigint as x, 1 as no, 1 as n, length(chunk)::bigint as t from told where chunk_no = 1
@@ -169,7 +173,7 @@ gs as (select doc_id, chapter_id, no, count(*) as n, sum(x) as t, max(no) over (
 gj as (select l.doc_id, l.chapter_id, l.no from gs l join gs b on l.doc_id = b.doc_id and l.chapter_id = b.chapter_id and b.no = l.no - 1 where l.no = l.most and l.n + b.n <= 4 and l.t + b.t <= 1500),
 gf as (select g.doc_id, g.chapter_id, g.chunk_no, case when gj.no is null then g.no else g.no - 1 end as place from g left join gj on g.doc_id = gj.doc_id and g.chapter_id = gj.chapter_id and g.no = gj.no)
 select l.doc_id, cast(null as varchar) as book_title, l.chapter_id, title as chapter, hash as chapter_hash, l.chapter_id || '_s' || scene_no as scene_id, summary as scene_summary, l.chunk_no as chunk_index, cast(chunk_id as integer) as chunk_id, chunk as text, case when p = '' then '' else p || chr(10) end as prefix,
- cast(length(chunk) as integer) as chunk_length, {_tokens_sql('chunk')} as token_count, {_tokens_sql("(case when p = '' then '' else p || chr(10) end || chunk)")} as total_token_count, cast(chapter_start + l.start as bigint) as start_pos, cast(chapter_start + l."end" as bigint) as end_pos,
+ cast(length(chunk) as integer) as chunk_length, {_tokens_sql('chunk')} as token_count, {_tokens_sql("(case when p = '' then '' else p || chr(10) end || chunk)")} as total_token_count, cast(chapter_start + l.start_pos as bigint) as start_pos, cast(chapter_start + l.end_pos as bigint) as end_pos,
  cast(case when l.chunk_no > 1 then chunk_id - 1 end as integer) as prev_chunk_id, cast(case when l.chunk_no < most then chunk_id + 1 end as integer) as next_chunk_id, l.doc_id || '_p' || min(chunk_id) over (partition by l.doc_id, l.chapter_id, place) as parent_id
 from lead_in l join gf on gf.doc_id = l.doc_id and gf.chapter_id = l.chapter_id and gf.chunk_no = l.chunk_no"""
 

@@ -248,15 +248,15 @@ def _judged(spark, d):
     return E.auto_judge(_hits(spark, d, 5), answers, X.book_terms(table(spark, d, "metadata")))
 
 
-@query(f"with {_HITS}, {_LEADING} select query_id, cast(rank as integer) as rank, coalesce(chapter_ok, false) as chapter, anchor, keyword, anchor or keyword as any from judged")
+@query(f"with {_HITS}, {_LEADING} select query_id, cast(rank as integer) as rank, coalesce(chapter_ok, false) as chapter, anchor, keyword, anchor or keyword as either from judged")
 def auto_judge(spark, d):
     """Each hit by chapter, by anchor, by leading terms, and by anchor or terms."""
-    return _judged(spark, d)
+    return _judged(spark, d).withColumnRenamed("any", "either")
 
 
-@query(f"with {_HITS}, {_LEADING} select cast(k as integer) as k, " + ", ".join(f"count(distinct case when {c} then query_id end) as {n}" for n, c in (("chapter", "chapter_ok"), ("anchor", "anchor"), ("keyword", "keyword"), ('"any"', "anchor or keyword"))) + " from judged, (select unnest([1, 3, 5]) as k) where rank <= k group by k")
+@query(f"with {_HITS}, {_LEADING} select cast(k as integer) as k, " + ", ".join(f"count(distinct case when {c} then query_id end) as {n}" for n, c in (("chapter", "chapter_ok"), ("anchor", "anchor"), ("keyword", "keyword"), ("either", "anchor or keyword"))) + " from judged, (select unnest([1, 3, 5]) as k) where rank <= k group by k")
 def judged_shares(spark, d):
-    return E.judged_shares(_judged(spark, d))
+    return E.judged_shares(_judged(spark, d)).withColumnRenamed("any", "either")
 
 
 _CONFIGS_SQL = ", ".join(f"({n}, '{c[0]}', {c[1]}, {c[2]}, {c[3]})" for n, c in enumerate(E.CONFIGS))
@@ -328,10 +328,10 @@ asked as (select *, regexp_replace(lead, '[，、；：]+$', '') || '，' || {_T
 fine as (select * from asked where not contains(question, entity)),
 one as (select * from (select *, row_number() over (partition by book_id, chapter order by rec_id, pos) as k from fine) where k = 1),
 two as (select * from (select *, row_number() over (partition by entity order by rec_id, pos) as k2 from one) where k2 = 1)
-select rec_id, chapter, cast(pos as integer) as "at", question, entity, kind, s as evidence from two""")
+select rec_id, chapter, cast(pos as integer) as place, question, entity, kind, s as evidence from two""")
 def natural_questions(spark, d):
     records = table(spark, d, "metadata").where("text is not null").select("rec_id", "book_id", "chapter_id", "chapter", "text")
-    return E.natural_questions(records, cut_lineage(E.local_terms(table(spark, d, "metadata").select("book_id", "chapter_id", "text"))))
+    return E.natural_questions(records, cut_lineage(E.local_terms(table(spark, d, "metadata").select("book_id", "chapter_id", "text")))).withColumnRenamed("at", "place")
 
 
 _ANSWER = "answer_terms[1]"

@@ -94,9 +94,9 @@ b as (select doc_id, chapter_no, min(chapter) as title, regexp_replace(regexp_re
 chapters as (select doc_id, 'c' || row_number() over w as chapter_id, title, text, left(md5(text), 16) as hash, cast(coalesce(sum(length(text) + 2) over (partition by doc_id order by chapter_no rows between unbounded preceding and 1 preceding), 0) as bigint) as start from b where {strip_sql('text')} <> '' window w as (partition by doc_id order by chapter_no))"""
 
 
-@query(f'with {BODIES} select doc_id, chapter_id, title, text, hash, start, start + length(text) as "end" from chapters')
+@query(f'with {BODIES} select doc_id, chapter_id, title, text, hash, start as start_pos, start + length(text) as end_pos from chapters')
 def parse_structure(spark, d):
-    return S.parse_structure(_documents(spark, d))
+    return S.parse_structure(_documents(spark, d)).withColumnsRenamed({"start": "start_pos", "end": "end_pos"})
 
 
 @query(f"""select doc_id, list_filter(list_transform(({_L})[1:5], lambda l: {strip_sql('l')}), lambda l: regexp_matches(l, '^第[^\\n]+'))[1] as title from documents where text is not null""")
