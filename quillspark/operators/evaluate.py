@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.grams import MOST, gram_of, number_of, numbered_grams, sentences_of
 from quillspark.functions.text import WS, cut_into_sentences, grams_of, han_runs, squeeze, strip
 from quillspark.operators import retrieval as R
 from quillspark.operators.context import grams
@@ -164,11 +169,87 @@ TAILS = {"place": "这是在哪里？", "item": "这是什么东西？", "factio
 LEAST_LOCAL, MOST_CHAPTERS = 25, 15
 
 
+#: Characters and grams that a task works on at once.
+CHARACTERS_AT_ONCE, GRAMS_AT_ONCE = 1_000_000, 3_000_000
+
+
+def _count_by_chapter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """number, n and span of the grams of chapters that come one after another; a gram may have several rows."""
+    every: list[np.ndarray] = []
+    once: list[np.ndarray] = []
+    held: list[str] = []
+    seen, key, size, waiting = np.zeros(0, dtype=np.int64), None, 0, 0
+
+    def take(text: str, most: int, goes_on: bool) -> None:
+        """seen has what was counted of a chapter that is too long to be worked on at once."""
+        nonlocal seen, waiting
+        numbers, places, _ = numbered_grams(text)
+        numbers = np.sort(numbers[places < most])
+        new = different = numbers[np.flatnonzero(np.diff(numbers, prepend=-1))]
+        if len(seen):
+            new = np.setdiff1d(different, seen, assume_unique=True)
+        seen = np.union1d(seen, new) if goes_on else seen[:0]
+        every.append(numbers)
+        once.append(new)
+        waiting += len(numbers)
+
+    def flush() -> pd.DataFrame:
+        nonlocal waiting
+        number, n = np.unique(np.concatenate(every), return_counts=True)
+        some, chapters = np.unique(np.concatenate(once), return_counts=True)
+        span = np.zeros(len(number), dtype=np.int64)
+        span[np.searchsorted(number, some)] = chapters
+        every.clear()
+        once.clear()
+        waiting = 0
+        return pd.DataFrame({"number": number, "n": n, "span": span})
+
+    for batch in batches:
+        for book, chapter, text in zip(batch["book_id"], batch["chapter_id"], batch["text"], strict=True):
+            if (book, chapter) != key:
+                take("\n".join(held), size + len(held), False)
+                key, size = (book, chapter), 0
+                held.clear()
+            for start in range(0, len(text), CHARACTERS_AT_ONCE) if len(text) > CHARACTERS_AT_ONCE else ():
+                take(text[start : start + CHARACTERS_AT_ONCE + MOST - 1], CHARACTERS_AT_ONCE, True)
+                if waiting >= GRAMS_AT_ONCE:
+                    yield flush()
+            if len(text) <= CHARACTERS_AT_ONCE:
+                held.append(text)
+                size += len(text)
+            if size >= CHARACTERS_AT_ONCE:
+                take("\n".join(held), size + len(held), True)
+                size = 0
+                held.clear()
+            if waiting >= GRAMS_AT_ONCE:
+                yield flush()
+    take("\n".join(held), size + len(held), False)
+    yield flush()
+
+
 def local_terms(records: DataFrame, least: int = LEAST_LOCAL, most: int = MOST_CHAPTERS) -> DataFrame:
-    """gram, n and span of grams of two to four characters that occur often in few chapters (of a book)."""
-    each = grams(records, ["book_id", "chapter_id"], (2, 3, 4)).groupBy("gram", "book_id", "chapter_id").agg(F.count(F.lit(1)).alias("n"))
-    whole = each.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("span"))
-    return whole.where((F.col("n") >= least) & (F.col("span") <= most))
+    """gram, n and span of grams of two to four characters that occur often in few chapters (of a book).
+
+    Texts are brought together by chapter, so that a task counts its chapters' grams as numbers and hands on one row a
+    gram. A chapter longer than what is worked on at once keeps its different grams in memory, 8 bytes each.
+    """
+    texts = records.select("book_id", "chapter_id", "text").where("text is not null").repartition("book_id", "chapter_id").sortWithinPartitions("book_id", "chapter_id")
+    each = texts.mapInPandas(_count_by_chapter, "number long, n long, span long")
+    whole = each.groupBy("number").agg(F.sum("n").alias("n"), F.sum("span").alias("span")).where((F.col("n") >= least) & (F.col("span") <= most))
+    return whole.select(gram_of(F.col("number")).alias("gram"), "n", "span")
+
+
+#: Places of the table that says which grams may be local terms: a prime, about half a megabyte of bits.
+TERM_PLACES = 4_194_301
+SHORTEST, LONGEST = 15, 80
+
+
+def _may_be_terms(terms: DataFrame):
+    """A table of fixed size, broadcast: the places of the terms' numbers."""
+    places = np.asarray(terms.select(F.pmod(number_of("gram"), F.lit(TERM_PLACES)).cast("int").alias("place")).distinct().toArrow()["place"])
+    table = np.zeros(TERM_PLACES + 1, dtype=bool)
+    table[places] = True
+    return terms.sparkSession.sparkContext.broadcast(np.packbits(table))
 
 
 def natural_questions(records: DataFrame, terms: DataFrame) -> DataFrame:
@@ -176,21 +257,37 @@ def natural_questions(records: DataFrame, terms: DataFrame) -> DataFrame:
 
     A sentence of 15 to 80 characters is asked for by its term of most n * length^2 / span, ties to the larger term. The
     sentence before it leads, else the one after: 12 to 70 characters without the term. Each chapter and each term
-    once, at the earliest record: the first of each chapter is taken before the first of each term.
+    once, at the earliest record: the first of each chapter is taken before the first of each term. Needs a unique rec_id.
+
+    Only grams whose place in a table of fixed size is a term's leave the tasks, without their texts.
     """
-    whole = records.where("chapter <> ''").select("rec_id", "book_id", "chapter", cut_into_sentences("text").alias("all"))
-    each = whole.select("rec_id", "book_id", "chapter", "all", F.posexplode("all").alias("at", "sentence")).where(F.length("sentence").between(15, 80))
-    runs = F.flatten(F.transform(han_runs("sentence", 2), lambda run: F.concat(*[grams_of(run, n) for n in (2, 3, 4)])))
-    weighed = each.select("rec_id", "at", F.explode(F.array_distinct(runs)).alias("gram")).join(terms, "gram")
-    best = weighed.groupBy("rec_id", "at").agg(F.max(F.struct((F.col("n") * F.length("gram") * F.length("gram") / F.col("span")).alias("w"), "gram")).alias("b"))
-    found = each.join(best.select("rec_id", "at", F.col("b.gram").alias("entity")), ["rec_id", "at"])
+    shared = _may_be_terms(terms)
+    records = records.where("chapter <> '' and text is not null")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        maybe = np.unpackbits(shared.value, count=TERM_PLACES).astype(bool)
+        for batch in batches:
+            every = [(rec, at, s) for rec, text in zip(batch["rec_id"], batch["text"], strict=True) for at, s in enumerate(sentences_of(text)) if SHORTEST <= len(s) <= LONGEST]
+            whole = "\n".join(s for _, _, s in every)
+            starts = np.cumsum([0] + [len(s) + 1 for _, _, s in every])
+            numbers, places, sizes = numbered_grams(whole)
+            kept = np.flatnonzero(maybe[numbers % TERM_PLACES])
+            owner = np.searchsorted(starts, places[kept], "right") - 1
+            found = {(k, whole[place : place + size]) for k, place, size in zip(owner.tolist(), places[kept].tolist(), sizes[kept].tolist(), strict=True)}
+            yield pd.DataFrame([(every[k][0], every[k][1], gram) for k, gram in found], columns=["rec_id", "at", "gram"])
+
+    weighed = records.select("rec_id", "text").mapInPandas(find, "rec_id long, at int, gram string").join(terms.hint("merge"), "gram")
+    weight = F.col("n") * F.length("gram") * F.length("gram") / F.col("span")
+    best = weighed.groupBy("rec_id", "at").agg(F.max(F.struct(weight.alias("w"), "gram")).alias("b"))
+    picks = best.groupBy("rec_id").agg(F.collect_list(F.struct("at", F.col("b.gram").alias("entity"))).alias("picks"))
+    whole = records.join(picks, "rec_id").select("rec_id", "book_id", "chapter", "picks", cut_into_sentences("text").alias("all"))
+    found = whole.select("rec_id", "book_id", "chapter", "all", F.explode("picks").alias("p")).select("rec_id", "book_id", "chapter", "all", "p.at", "p.entity").withColumn("sentence", F.get("all", F.col("at")))
     leads = F.filter(F.array(F.get("all", F.col("at") - 1), F.get("all", F.col("at") + 1)), lambda s: s.isNotNull() & F.length(s).between(12, 70) & ~F.contains(s, F.col("entity")))
-    asked = found.withColumn("lead", F.get(leads, 0)).where("lead is not null").withColumn("kind", kind_of(F.col("entity")))
+    asked = found.where(F.length("sentence").between(SHORTEST, LONGEST)).withColumn("lead", F.get(leads, 0)).where("lead is not null").drop("all").withColumn("kind", kind_of(F.col("entity")))
     tail = F.coalesce(*[F.when(F.col("kind") == k, t) for k, t in TAILS.items()])
     asked = asked.withColumn("question", F.concat(F.regexp_replace("lead", "[，、；：]+$", ""), F.lit("，"), tail)).where(~F.contains("question", F.col("entity")))
     for by in (["book_id", "chapter"], ["entity"]):
-        first = asked.groupBy(*by).agg(F.min(F.struct("rec_id", "at")).alias("f")).select(F.col("f.rec_id").alias("rec_id"), F.col("f.at").alias("at"))
-        asked = asked.join(first, ["rec_id", "at"])
+        asked = asked.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("rec_id", "at"))).where("_n = 1").drop("_n")
     return asked.select("rec_id", "chapter", "at", "question", "entity", "kind", F.col("sentence").alias("evidence"))
 
 
