@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,6 +95,10 @@ _SURE_UTF8 = re.compile(rb"(?:[\xe3-\xe9\xef][\x80-\xbf]{2}){2,}")
 _FOREIGN = re.compile("[가-힣｡-ﾟ{}]|[{}][{}]|[{}][^\n]{{0,4}}[{}]".format(*map(re.escape, (
     _chars("cp950", _HIGHEST, _TAILS), _chars("gb18030", _HIGHEST, _TAILS), _chars("gb18030", _TAILS, _HIGHEST), *["".join(sorted(_RARE_950))] * 2,
 ))))
+#: What a stretch of a page has to hold, else it isn't looked for.
+_SIGNS = {"cp932": re.compile("[\uff61-\uff9f]"), "cp949": re.compile("[가-힣]"), "cp950": re.compile(f"[{re.escape(''.join(sorted(_RARE_950)))}]")}
+#: Characters up to which a text's bytes are kept for the next search.
+_KEPT = 65_536
 #: Suspect stretches with no more characters between them are one.
 _BETWEEN = 6
 
@@ -111,7 +115,7 @@ def without_suspects(text: str) -> str:
         whole = [(0, len(text))]
         for page in DOUBLE:
             found += [s[:2] for s in _double_stretches(text, page, "utf-8", whole, _SURE_UTF8)]
-            for start, end, _ in _double_stretches(text, page, "gb18030", whole) if page != "gb18030" else ():
+            for start, end, _ in _double_stretches(text, page, "gb18030", whole) if page in _SIGNS and len(_SIGNS[page].findall(text)) > (page == "cp950") else ():
                 part = text[start:end]
                 if page == "cp932":
                     sure = re.search("[\uff61-\uff9f]", part)
@@ -139,15 +143,38 @@ def _written(char: str, page: str) -> bytes:
         return b"\0"
 
 
+@cache
+def _page_bytes(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each character of the basic plane in a page, filled up to four, and how many they are."""
+    parts = [_written.__wrapped__(chr(code), page) for code in range(1 << 16)]
+    filled = np.frombuffer(b"".join(p.ljust(4, b"\0") for p in parts), dtype=np.uint8).reshape(-1, 4)
+    return filled, np.array([len(p) for p in parts], dtype=np.uint8)
+
+
+@lru_cache(maxsize=16)
+def _as_bytes(text: str, page: str) -> tuple[bytes, np.ndarray]:
+    """The text's bytes in a page, a zero for what it doesn't have, and where each character's begin."""
+    codes = codes_of(text)
+    filled, sizes = _page_bytes(page)
+    plain = np.minimum(codes, 0xFFFF)
+    each, size = filled[plain], sizes[plain]
+    for k in np.flatnonzero(codes > 0xFFFF):
+        part = _written(text[k], page)
+        each[k], size[k] = np.frombuffer(part.ljust(4, b"\0"), dtype=np.uint8), len(part)
+    return each[np.arange(4) < size[:, None]].tobytes(), np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+
+
 def _double_stretches(text: str, page: str, written: str, spans: list[tuple[int, int]], looks: re.Pattern | None = None) -> list[tuple[int, int, str]]:
     """The same for a page with characters of two bytes, inside the spans only."""
     found = []
     for first, last in spans:
-        parts = [_written(c, page) for c in text[first:last]]
-        places = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-        raw = b"".join(parts)
-        for match in (looks or (_UTF8 if written == "utf-8" else _GB)).finditer(raw):
-            start, end = int(np.searchsorted(places, match.start())), int(np.searchsorted(places, match.end(), "right")) - 1
+        part = text[first:last]
+        raw, places = (_as_bytes if len(part) <= _KEPT else _as_bytes.__wrapped__)(part, page)
+        met = [m.span() for m in (looks or (_UTF8 if written == "utf-8" else _GB)).finditer(raw)]
+        if not met:
+            continue
+        starts, ends = places.searchsorted([m[0] for m in met]), places.searchsorted([m[1] for m in met], "right") - 1
+        for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
             if end - start >= 2:
                 said = raw[places[start] : places[end]].decode(written, "ignore")
                 if said:

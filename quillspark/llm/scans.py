@@ -45,7 +45,11 @@ _GAP = re.compile(rf"(?<=[{_HAN}，。]) +(?=[{_HAN}，。])")
 _HYPHEN = re.compile(r"(?<=[A-Za-zÀ-ÿ])[-‐¬\xad]\n\s*(?=[a-zÀ-ÿ])")
 _ENDS = "。！？!?.…”\"’』」）)】]:：；;—"
 _WORDS = re.compile(r"(?<![A-Za-z0-9À-ÿ\xad\u200b-\u200f\u2060\ufeff])[A-Za-z0158]*[A-Za-z][A-Za-z0158]*(?![A-Za-z0-9À-ÿ\xad\u200b-\u200f\u2060\ufeff])")
+_NARROW = re.compile("[\0-⺀]+")
 _TWO_LETTERS = re.compile("[A-Za-z]{2}")
+#: What has to be there where _STRAY and _HYPHEN find anything; these are found faster.
+_MAY_BE_STRAY = re.compile("[`^~|¦□■'·]")
+_HYPHENATED = ("-\n", "‐\n", "¬\n", "\xad\n")
 PAGE, HEADING, BROKEN, MISREADS, STRAY, GAPS = 1, 2, 4, 8, 16, 32
 REPAIRED = "rec_id long, marks int, text string"
 
@@ -57,6 +61,7 @@ class Reader:
         self.language = language
         self.known: dict[str, list[tuple[str, float]]] = {}
         self.after: dict[tuple[str | None, str], float] = {}
+        self.liked: dict[tuple[str, str], float] = {}
         self.word_total = max(1.0, float(language.words.sum()))
         self.readings: dict[int, list[tuple[int, float]]] = {}
         for wrong, right, p in characters:
@@ -114,10 +119,10 @@ class Reader:
 
     def words(self, line: str) -> tuple[str, int, float]:
         """The line's words in their likeliest sequence, how many were misread, and by how much that is likelier."""
-        found = list(_WORDS.finditer(line))
-        options = [self.candidates(m.group()) for m in found]
+        options = [self.candidates(word) for word in _WORDS.findall(line)]
         if all(len(o) == 1 for o in options):
             return line, 0, 0.0
+        found = list(_WORDS.finditer(line))
         states: dict[str | None, tuple[float, tuple]] = {None: (0.0, ())}
         for match, choice in zip(found, options, strict=True):
             following = {}
@@ -170,17 +175,19 @@ class Reader:
 
         doubtful says that a character of the text may be misread, as suspect_places found.
         """
-        chars, changed, gain = list(line), 0, 0.0
-        codes = same_digits(codes_of("\n" + line + "\n")) if doubtful else np.zeros(2, dtype=np.uint32)
-        places = self.suspect_places(codes)
-        for group in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1) if places.size else ():
-            path, more = self._viterbi(codes, int(group[0]), int(group[-1]) + 1)
-            gain += more
-            for place, code in zip(group, path, strict=True):
-                if code != codes[place]:
-                    chars[place - 1] = chr(code)
-                    changed += 1
-        fixed = "".join(chars)
+        fixed, changed, gain = line, 0, 0.0
+        codes = same_digits(codes_of("\n" + line + "\n")) if doubtful else None
+        places = self.suspect_places(codes) if doubtful else np.zeros(0, dtype=int)
+        if places.size:
+            chars = list(line)
+            for group in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+                path, more = self._viterbi(codes, int(group[0]), int(group[-1]) + 1)
+                gain += more
+                for place, code in zip(group, path, strict=True):
+                    if code != codes[place]:
+                        chars[place - 1] = chr(code)
+                        changed += 1
+            fixed = "".join(chars)
         if _TWO_LETTERS.search(fixed):
             fixed, words, more = self.words(fixed)
             changed, gain = changed + words, gain + more
@@ -200,17 +207,21 @@ class Reader:
 
     def likes(self, last: str, first: str) -> float:
         """By how much the two characters are likelier together than with a line break between them."""
-        a, b, n = (np.array([ord(c)], dtype=np.uint32) for c in (last, first, "\n"))
-        pair = self.language.log_pair
-        return float(pair(a, b)[0] - (pair(a, n)[0] + pair(n, b)[0]) / 2)
+        if (last, first) not in self.liked:
+            if len(self.liked) > 500_000:
+                self.liked.clear()
+            a, b, n = (np.array([ord(c)], dtype=np.uint32) for c in (last, first, "\n"))
+            pair = self.language.log_pair
+            self.liked[last, first] = float(pair(a, b)[0] - (pair(a, n)[0] + pair(n, b)[0]) / 2)
+        return self.liked[last, first]
 
 
 def _width(line: str) -> int:
-    return len(line) + sum(map("⺀".__lt__, line))
+    return len(line) + len(_NARROW.sub("", line))
 
 
 def _bare(text: str | None) -> str:
-    return re.sub(r"\s+", "", text or "").lower()
+    return "".join((text or "").split()).lower()
 
 
 def _kind(line: str, names: set[str]) -> int:
@@ -222,8 +233,11 @@ def _kind(line: str, names: set[str]) -> int:
     bare = _bare(line)
     if bare in names:
         return HEADING
-    cut = _TRAILING_PAGE.sub("", bare.rstrip(_EDGES)).rstrip(_EDGES)
-    return HEADING if cut and cut != bare.rstrip(_EDGES) and cut in names else 0
+    stem = bare.rstrip(_EDGES)
+    if not stem or stem[-1] != "页" and not stem[-1].isdecimal():
+        return 0
+    cut = _TRAILING_PAGE.sub("", stem).rstrip(_EDGES)
+    return HEADING if cut and cut != stem and cut in names else 0
 
 
 def _names(title: str | None, *chapters: str | None) -> set[str]:
@@ -257,10 +271,11 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True, do
     for kind in kinds:
         marks |= kind
     kept = [line for line, kind in zip(lines, kinds, strict=True) if not kind]
-    if _HYPHEN.search("\n".join(kept)):
+    body = "\n".join(kept)
+    if any(h in body for h in _HYPHENATED) and _HYPHEN.search(body):
         marks |= BROKEN
-    widths = [_width(line.rstrip()) for line in kept]
     full = [k for k in range(len(kept) - 1) if kept[k].strip() and kept[k + 1].strip() and kept[k].rstrip()[-1] not in _ENDS]
+    widths = [_width(line.rstrip()) for line in kept] if full else []
     middle = [k for k in full if kept[k].rstrip()[-1] not in "，、,-‐¬" or kept[k].rstrip()[-1] == "," and re.match("[a-z]", kept[k + 1])]
     if len(middle) >= 2:
         most = float(np.median([widths[k] for k in middle]))
@@ -272,10 +287,9 @@ def repair(text: str, names: set[str], reader: Reader, screened: bool = True, do
     if not wrapped:
         single = _single_breaks(kept, widths, full, bool(marks & (PAGE | HEADING)), reader)
         marks |= BROKEN if single else 0
-    body = "\n".join(kept)
-    if len(_GAP.findall(body)) >= 3:
+    if " " in body and len(_GAP.findall(body)) >= 3:
         marks |= GAPS
-    if _STRAY.search(body):
+    if _MAY_BE_STRAY.search(body) and _STRAY.search(body):
         marks |= STRAY
     if screened:
         fixed, changed, gains = zip(*[reader.line(line, doubtful) for line in kept], strict=True) if kept else ((), (), ())
