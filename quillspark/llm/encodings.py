@@ -184,35 +184,63 @@ def _double_stretches(text: str, page: str, written: str, spans: list[tuple[int,
 
 def _gains(text: str, stretches: list[tuple[int, int, str]], written: str, single: bool, language: Language, own: np.ndarray) -> list[tuple[int, int, str, float]]:
     """Stretches that the language finds likelier deciphered, with the difference in nats."""
+    if not stretches:
+        return []
+    framed = [(text[start - 1 : start] or "\n", said, text[end : end + 1]) for start, end, said in stretches]
+    best = [(mean, said, size) if said.strip("�") else None for (_, said, _), (mean, size) in zip(framed, _means(framed, language), strict=True)]
+    twice = []
+    for k, (before, said, after) in enumerate(framed) if single and written == "utf-8" else ():
+        again = _single_stretches(said, _known("cp1252"), "utf-8") if _RUN.search(said) else []
+        for a, b, deeper in reversed(again):  # garbled twice
+            said = said[:a] + deeper + said[b:]
+        if again and said.strip("�"):
+            twice.append((k, (before, said, after)))
+    for (k, (_, said, _)), (mean, size) in zip(twice, _means([f for _, f in twice], language), strict=True):
+        if best[k] is None or mean > best[k][0]:
+            best[k] = (mean, said, size)
+    stops = np.minimum([end + 1 for _, end, _ in stretches], len(own))
+    each = np.array([start for start, _, _ in stretches])
     kept = []
-    for start, end, said in stretches:
-        before, after = text[start - 1 : start] or "\n", text[end : end + 1]
-        best = None
-        for depth in (1, 2):
-            line = same_digits(codes_of(before + said + after))
-            each = language.log_pair(line[:-1], line[1:])
-            if said.strip("�") and (best is None or each.mean() > best[0]):
-                best = (float(each.mean()), said, len(each))
-            again = _single_stretches(said, _known("cp1252"), "utf-8") if depth == 1 and single and written == "utf-8" else []
-            if not again:
-                break
-            for a, b, deeper in reversed(again):  # garbled twice
-                said = said[:a] + deeper + said[b:]
-        if best:
-            mean, said, size = best
-            was = float(own[start : end + 1].mean())
+    for (start, end, _), found, was in zip(stretches, best, (_sums(own, each, stops) / (stops - each)).tolist(), strict=True):
+        if found:
+            mean, said, size = found
             least = SURE_RISE if single and written == "utf-8" and end - start >= 3 else LEAST_RISE
             if mean > WORST and mean > was + least:
                 kept.append((start, end, said, (mean - was) * size))
     return kept
 
 
+def _sums(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The sum of the values from each start to its stop."""
+    return np.add.reduceat(np.append(values, 0).astype(np.float64), np.stack((starts, stops), axis=1).ravel())[::2]
+
+
+def _means(framed: list[tuple[str, str, str]], language: Language) -> list[tuple[float, int]]:
+    """Of each text, with what stands before and after it, the mean log probability of its pairs and how many these are."""
+    if not framed:
+        return []
+    sizes = np.array([sum(map(len, f)) for f in framed])
+    stops = np.cumsum(sizes) - 1
+    codes = same_digits(codes_of("".join(map("".join, framed))))
+    sums = _sums(language.log_pair(codes[:-1], codes[1:]), stops - sizes + 1, stops)
+    return list(zip((sums / (sizes - 1)).tolist(), (sizes - 1).tolist(), strict=True))
+
+
 def _put(text: str, kept: list[tuple[int, int, str, float]]) -> str:
     for start, end, said, _ in reversed(kept):
         text = text[:start] + said + text[end:]
     return text
 
 
+def _with_rare_runs(usual: np.ndarray, texts: list[str]) -> set[int]:
+    """Which of the texts, line breaks between them, have a run that _rare_spans finds."""
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    usual = np.append(usual, True)
+    usual[ends] = True
+    places = np.flatnonzero(usual)
+    return set(np.searchsorted(ends, places[np.flatnonzero(np.diff(places, prepend=-1) > RARE_RUN)]).tolist())
+
+
 def _rare_spans(own: np.ndarray, rare: float) -> list[tuple[int, int]]:
     """Stretches of text around runs of rare pairs."""
     usual = np.flatnonzero(np.concatenate(([True], own >= rare, [True])))
@@ -286,12 +314,13 @@ def looked_at(records: DataFrame, language: Language) -> DataFrame:
             rows, odd = [], []
             texts = batch["text"].tolist()
             scores, at = model.log_pairs("\n".join(texts)), 0
-            for rec, source, text in zip(batch["rec_id"], batch["source"], texts, strict=True):
+            strange = _with_rare_runs(scores >= rare, texts)
+            for k, (rec, source, text) in enumerate(zip(batch["rec_id"], batch["source"], texts, strict=True)):
                 own = scores[at : at + len(text)]
                 at += len(text) + 1
                 if _LOST.search(text):
                     rows.append((rec, source, "", 0.0, 0, None, None, None))
-                spans = _rare_spans(own, rare)
+                spans = _rare_spans(own, rare) if k in strange else []
                 for page, written in DOUBLE_SWAPS if spans else ():
                     kept = _gains(text, _double_stretches(text, page, written, spans), written, False, model, own)
                     gain = sum(k[3] for k in kept)
@@ -372,7 +401,9 @@ def decipherings(suspects: DataFrame, tables: DataFrame, language: Language) ->
             yield pd.DataFrame(rows, columns=columns)
 
     each = tables.groupBy("source").agg(F.collect_list(F.struct("swap", "chars", "bytes")).alias("tables"))  # as many as there are swaps
-    return suspects.select("rec_id", "source", "text").join(each, "source").mapInPandas(run, FOUND)
+    # A few bytes are much work: as many tasks as the suspects have, which are a checkpoint's partitions.
+    tasks = max(suspects.rdd.getNumPartitions(), suspects.sparkSession.sparkContext.defaultParallelism)
+    return suspects.select("rec_id", "source", "text").join(each, "source").repartition(tasks, "rec_id").mapInPandas(run, FOUND)
 
 
 def _learn_swaps(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
